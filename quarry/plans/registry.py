@@ -1,0 +1,21 @@
+"""Registry: each query is a Spark callable ``(spark, sf_dir) -> DataFrame``
+plus, where SQL can express it, the equivalent DuckDB SQL over the test
+tables (column names identical, floats rounded to 6 digits on both sides)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def deco(fn):
+        if name in QUERIES:
+            raise ValueError(f"duplicate query {name}")
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLE[name] = sql.strip()
+        return fn
+    return deco
