@@ -1,3 +1,4 @@
 """Importing this module registers every query."""
 
 from quarry.plans import q_tokens  # noqa: F401
+from quarry.plans import q_warehouse  # noqa: F401,E402
