@@ -212,55 +212,72 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.stat.crosstab(a, b)
 
 
-def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Long contingency table over the full grid: ``a, b, observed``
-    (zero cells included, taken from the pivoted crosstab; no cross join)."""
-    ct = crosstab(df, a, b)
-    first = ct.columns[0]
-    vals = ct.columns[1:]
-    return (ct.unpivot([first], vals, "b", "observed")
-            .select(F.col(first).alias("a"), "b", F.col("observed").cast("long")))
+def contingency(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """Long contingency tables of many features against one label, over each
+    feature's full grid: ``variable, value, label, observed`` (zero cells
+    included).
+
+    One shuffle: features are unpivoted, counted per ``(variable, value)``
+    and pivoted on the label values (collected once; Spark checks the count
+    against ``spark.sql.pivotMaxValues``). Rows with a null label are left out.
+    """
+    u = unpivot_text(df.filter(F.col(label).isNotNull()), features, [label])
+    wide = u.groupBy("variable", "value").pivot(label).agg(F.count(F.lit(1))).na.fill(0)
+    labels = [c for c in wide.columns if c not in ("variable", "value")]
+    return (wide.unpivot(["variable", "value"], [F.col(f"`{c}`") for c in labels], "label",
+                         "observed")
+            .withColumn("observed", F.col("observed").cast("long")))
+
+
+def _with_expected(c: DataFrame) -> DataFrame:
+    """Adds ``e`` = row total * column total / n per variable. The windows run
+    on the contingency rows (bounded by the categories), never on input rows."""
+    row_t = F.sum("observed").over(Window.partitionBy("variable", "value"))
+    col_t = F.sum("observed").over(Window.partitionBy("variable", "label"))
+    n = F.sum("observed").over(Window.partitionBy("variable"))
+    return c.select("variable", "value", "label", "observed", (row_t * col_t / n).alias("e"),
+                    n.alias("n"))
 
 
 def expected_frequencies(df: DataFrame, a: str, b: str, ndigits: int | None = 6) -> DataFrame:
-    """``a, b, observed, expected`` with expected = row total * column total / n.
-    The windows run on the contingency table, whose size is bounded by the
-    crosstab's cap, never on the input rows."""
-    c = contingency(df, a, b)
-    row_t = F.sum("observed").over(Window.partitionBy("a"))
-    col_t = F.sum("observed").over(Window.partitionBy("b"))
-    n = F.sum("observed").over(Window.partitionBy())
-    e = c.select("a", "b", "observed", (row_t * col_t / n).alias("expected"))
-    return e.select("a", "b", "observed", _r(F.col("expected"), ndigits).alias("expected"))
+    """``a, b, observed, expected`` for the full grid of ``a`` x ``b``."""
+    e = _with_expected(contingency(df, [a], b))
+    return e.select(F.col("value").alias("a"), F.col("label").alias("b"), "observed",
+                    _r(F.col("e"), ndigits).alias("expected"))
 
 
-def chi_square(df: DataFrame, a: str, b: str, ndigits: int | None = 6) -> DataFrame:
-    """Pearson chi-square test of independence of ``a`` and ``b``:
-    ``variable, n, dof, statistic, statistic_yates, p_value``.
+def chi_square_many(df: DataFrame, features: list[str], label: str,
+                    ndigits: int | None = 6, with_p: bool = True) -> DataFrame:
+    """Pearson chi-square test of each feature against the label, all
+    features in one pass: ``variable, n, dof, statistic, statistic_yates,
+    p_value``.
 
     ``statistic_yates`` applies the continuity correction (each observed cell
     moves up to 0.5 towards its expected value) and is set for 2x2 tables
-    only (dof = 1), where ``p_value`` uses it too."""
-    c = contingency(df, a, b)
-    row_t = F.sum("observed").over(Window.partitionBy("a"))
-    col_t = F.sum("observed").over(Window.partitionBy("b"))
-    n = F.sum("observed").over(Window.partitionBy())
-    e = c.select("a", "b", F.col("observed").cast("double").alias("o"),
-                 (row_t * col_t / n).alias("e"), n.alias("n"))
-    d = F.col("e") - F.col("o")
-    o_corr = F.col("o") + F.signum(d) * F.least(F.lit(0.5), F.abs(d))
-    agg = e.agg(
+    only (dof = 1), where ``p_value`` uses it, as the reference's test does."""
+    e = _with_expected(contingency(df, features, label))
+    o, ex = F.col("observed").cast("double"), F.col("e")
+    d = ex - o
+    o_corr = o + F.signum(d) * F.least(F.lit(0.5), F.abs(d))
+    agg = e.groupBy("variable").agg(
         F.first("n").alias("n"),
-        ((F.countDistinct("a") - 1) * (F.countDistinct("b") - 1)).alias("dof"),
-        F.sum((F.col("o") - F.col("e")) ** 2 / F.col("e")).alias("stat"),
-        F.sum((o_corr - F.col("e")) ** 2 / F.col("e")).alias("stat_y"))
+        ((F.countDistinct("value") - 1) * (F.countDistinct("label") - 1)).alias("dof"),
+        F.sum((o - ex) ** 2 / ex).alias("stat"),
+        F.sum((o_corr - ex) ** 2 / ex).alias("stat_y"))
     yates = F.when(F.col("dof") == 1, F.col("stat_y"))
     used = F.coalesce(yates, F.col("stat"))
-    return agg.select(F.lit(a).alias("variable"), F.col("n").cast("long").alias("n"),
-                      F.col("dof").cast("long").alias("dof"),
-                      _r(F.col("stat"), ndigits).alias("statistic"),
-                      _r(yates, ndigits).alias("statistic_yates"),
-                      _r(chi2_sf(used, F.col("dof")), ndigits).alias("p_value"))
+    cols = [F.col("variable"), F.col("n").cast("long").alias("n"),
+            F.col("dof").cast("long").alias("dof"),
+            _r(F.col("stat"), ndigits).alias("statistic"),
+            _r(yates, ndigits).alias("statistic_yates")]
+    if with_p:
+        cols.append(_r(chi2_sf(used, F.col("dof")), ndigits).alias("p_value"))
+    return agg.select(*cols)
+
+
+def chi_square(df: DataFrame, a: str, b: str, ndigits: int | None = 6) -> DataFrame:
+    """Chi-square test of independence of ``a`` and ``b`` (one row)."""
+    return chi_square_many(df, [a], b, ndigits)
 
 
 def chi2_sf(x: Column, dof: Column) -> Column:
