@@ -234,3 +234,15 @@ FROM s
 @query("chi_square", _chi_sql("l_returnflag", "l_linestatus", "lineitem"))
 def q_chi_square(spark, sf):
     return pf.chi_square(Tables(spark, sf).lineitem, "l_returnflag", "l_linestatus")
+
+
+@query("csv_inferred", "SELECT c_nationkey, c_acctbal FROM customer")
+def q_csv_inferred(spark, sf):
+    """customer stored as header CSV, read back with inferred types; the
+    numeric columns except the key are selected by type."""
+    from quarry.session import scratch_path
+    from quarry.sources.delimited import read_csv_inferred
+    path = scratch_path(spark, "csv")
+    Tables(spark, sf).customer.write.option("header", "true").csv(path)
+    df = read_csv_inferred(spark, path)
+    return df.select(*pf.numeric_columns(df, exclude=("c_custkey",)))

@@ -136,3 +136,56 @@ SELECT token, count(token) AS count FROM t WHERE token <> '' GROUP BY token
 """)
 def text_tokens(spark, sf):
     return tk.text_tokens(Tables(spark, sf).part, "p_name")
+
+
+# ----------------------------------------------------------------- sources and sinks
+@query("weblog_round_trip", """
+SELECT event_type AS token, count(event_type) AS count FROM events GROUP BY event_type
+""")
+def weblog_round_trip(spark, sf):
+    """Events stored as comma-split web-log text, loaded back with the
+    declared schema, then the frequency job on ``search_query``."""
+    from quarry.session import scratch_path
+    from quarry.sources.delimited import read_weblog
+    from quarry.sources.sinks import store_delimited
+    from quarry.sources.standins import weblog_from_events
+    path = store_delimited(weblog_from_events(Tables(spark, sf).events),
+                           scratch_path(spark, "weblog"), sep=",")
+    return tk.token_frequencies(read_weblog(spark, path), "search_query")
+
+
+@query("weblog_tm_round_trip", _HOUR_CTE + """
+, c AS (SELECT log_yr, log_mn, log_day, log_hr, count(log_yr) AS count FROM p
+        GROUP BY log_yr, log_mn, log_day, log_hr)
+SELECT *, (SELECT max(count) FROM c) AS max_count FROM c WHERE count = (SELECT max(count) FROM c)
+""")
+def weblog_tm_round_trip(spark, sf):
+    """Timestamped log stored with a header line per part file, loaded back
+    as text, header dropped, busiest hour."""
+    from quarry.session import scratch_path
+    from quarry.sources.delimited import read_weblog_tm
+    from quarry.sources.sinks import store_delimited
+    from quarry.sources.standins import weblog_tm_from_events
+    path = store_delimited(weblog_tm_from_events(Tables(spark, sf).events),
+                           scratch_path(spark, "weblog-tm"), sep=",", header=True)
+    return tk.busiest_hour(read_weblog_tm(spark, path), "timestamp")
+
+
+@query("stream_token_count", """
+SELECT event_type AS token, count(event_type) AS count FROM events GROUP BY event_type
+""")
+def stream_token_count(spark, sf):
+    from quarry.streaming import run_available_now, stream_table, token_counts
+    t = Tables(spark, sf)
+    s = stream_table(spark, f"{sf.rstrip('/')}/events*.parquet", t.events)
+    return run_available_now(spark, token_counts(s, "event_type"), "update", "tokens")
+
+
+@query("stream_hour_counts", """
+SELECT date_trunc('hour', ts) AS window_start, count(*) AS count FROM events GROUP BY 1
+""")
+def stream_hour_counts(spark, sf):
+    from quarry.streaming import hour_counts, run_available_now, stream_table
+    t = Tables(spark, sf)
+    s = stream_table(spark, f"{sf.rstrip('/')}/events*.parquet", t.events)
+    return run_available_now(spark, hour_counts(s, "ts", "1 hour"), "update", "hours")
