@@ -146,12 +146,13 @@ def weblog_round_trip(spark, sf):
     """Events stored as comma-split web-log text, loaded back with the
     declared schema, then the frequency job on ``search_query``."""
     from quarry.session import scratch_path
-    from quarry.sources.delimited import read_weblog
     from quarry.sources.sinks import store_delimited
     from quarry.sources.standins import weblog_from_events
+    from quarry.plans.weblog_jobs import frequency_job, read_result
     path = store_delimited(weblog_from_events(Tables(spark, sf).events),
                            scratch_path(spark, "weblog"), sep=",")
-    return tk.token_frequencies(read_weblog(spark, path), "search_query")
+    out = frequency_job(spark, path, scratch_path(spark, "freq"), "search_query")
+    return read_result(spark, out)
 
 
 @query("weblog_tm_round_trip", _HOUR_CTE + """
@@ -163,12 +164,14 @@ def weblog_tm_round_trip(spark, sf):
     """Timestamped log stored with a header line per part file, loaded back
     as text, header dropped, busiest hour."""
     from quarry.session import scratch_path
-    from quarry.sources.delimited import read_weblog_tm
     from quarry.sources.sinks import store_delimited
     from quarry.sources.standins import weblog_tm_from_events
+    from quarry.plans.weblog_jobs import busiest_hour_job
     path = store_delimited(weblog_tm_from_events(Tables(spark, sf).events),
                            scratch_path(spark, "weblog-tm"), sep=",", header=True)
-    return tk.busiest_hour(read_weblog_tm(spark, path), "timestamp")
+    out = busiest_hour_job(spark, path, scratch_path(spark, "hour"))
+    schema = "log_yr int, log_mn int, log_day int, log_hr int, count long, max_count long"
+    return spark.read.schema(schema).option("sep", "\t").csv(out)
 
 
 @query("stream_token_count", """

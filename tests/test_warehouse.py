@@ -88,3 +88,33 @@ def test_in_month_reaches_scan(spark, tmp_dir):
     assert [r.visit_id for r in df.collect()] == [1]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(visit_date" in plan and "LessThan(visit_date" in plan
+
+
+def test_etl_then_checks_pass(spark, tmp_dir):
+    from quarry.plans.warehouse_etl import run_checks, run_etl
+    from quarry.sources.standins import Tables, clinical_sources
+    src = clinical_sources(Tables(spark, "/root/testdata/sf0.001"))
+    paths = run_etl(spark, src, tmp_dir + "/wh")
+    assert set(paths) == {"dim_time", "dim_patient", "dim_provider", "dim_lab", "dim_procedure",
+                          "dim_diagnosis", "fact_patient", "fact_lab", "fact_procedure",
+                          "fact_diagnosis"}
+    checks = run_checks(spark, src, paths)
+    assert checks["lab_count_vs_source"].filter("provider_id IS NOT NULL").count() == 0
+    assert all(r.null_rows == 0 for r in checks["null_date_ids"].collect())
+    assert all(r.orphan_rows == 0 for r in checks["orphans"].collect())
+    assert all(r.duplicate_keys == 0 for r in checks["duplicates"].collect())
+    assert checks["ambiguous_months"].count() == 0
+
+
+def test_web_log_jobs(spark, tmp_dir):
+    import os
+    from quarry.plans import weblog_jobs as wj
+    p = os.path.join(tmp_dir, "log.csv")
+    with open(p, "w") as f:
+        f.write("u1,q1,ff,linux,r1\nu2,q1,ff,mac,r1\nu1,q2,ch,linux,r2\n")
+    out = wj.frequency_job(spark, p, tmp_dir + "/freq", "user_id", k=1)
+    assert [tuple(r) for r in wj.read_result(spark, out).collect()] == [("u1", 2)]
+    out = wj.busiest_job(spark, p, tmp_dir + "/ref", "referrer")
+    assert [tuple(r) for r in wj.read_result(spark, out, wj.ARGMAX_RESULT).collect()] == [("r1", 2, 2)]
+    out = wj.largest_tally_job(spark, p, tmp_dir + "/tally")
+    assert [tuple(r) for r in wj.read_result(spark, out, wj.ARGMAX_RESULT).collect()] == [("ff", 2, 2)]
