@@ -7,6 +7,7 @@ from pyspark.ml.feature import (Imputer, OneHotEncoder, StringIndexer,
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.operators.profile import QUARTILES
+from quarry.operators.quantiles import exact_quantiles
 
 # Bin labels and the rule-bin thresholds of the loan job.
 QUARTILE_LABELS = ("min-Q1", "Q1-Q2", "Q2-Q3", "Q3-max")
@@ -44,15 +45,17 @@ def impute(df: DataFrame, cols: list[str], strategy: str = "mean",
 def quartile_thresholds(df: DataFrame, col: str, relative_error: float = 0.0) -> list[float]:
     """``[q1, q2, q3, max]``: exact order statistics (rank ceil(p*n)) by
     default, like a zero-error ``approxQuantile``; a positive error uses the
-    bounded GK sketch. Four numbers come back to the driver."""
+    GK sketch alone. Four numbers come back to the driver."""
     x = F.col(col).cast("double")
     if relative_error > 0:
-        qs = [F.percentile_approx(x, p, int(round(1 / relative_error))) for p in QUARTILES]
-    else:
-        qs = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY CAST(`{col}` AS DOUBLE))")
-              for p in QUARTILES]
-    row = df.agg(*[q.alias(f"q{i}") for i, q in enumerate(qs)], F.max(x).alias("mx")).first()
-    return [row["q0"], row["q1"], row["q2"], row["mx"]]
+        acc = int(round(1 / relative_error))
+        row = df.agg(*[F.percentile_approx(x, p, acc).alias(f"q{i}")
+                       for i, p in enumerate(QUARTILES)], F.max(x).alias("mx")).first()
+        return [row["q0"], row["q1"], row["q2"], row["mx"]]
+    long = exact_quantiles(df, [col], QUARTILES, interpolate=False)
+    qs = {r["p"]: r["value"] for r in long.collect()}
+    mx = df.agg(F.max(x)).first()[0]
+    return [qs.get(p) for p in QUARTILES] + [mx]
 
 
 def quartile_bins(df: DataFrame, col: str, out: str, thresholds: list[float] | None = None,

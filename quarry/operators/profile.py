@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from quarry.functions.predicates import missing_counts_exprs
+from quarry.operators.quantiles import DEFAULT_ACCURACY, exact_quantiles, quantile_row
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -85,39 +86,37 @@ def skew_kurtosis(df: DataFrame, cols: list[str], ndigits: int | None = 6) -> Da
 
 
 # ---------------------------------------------------------------- quantiles
-def _quantile_expr(c: str, p: float, interpolate: bool, relative_error: float) -> Column:
-    if relative_error > 0:
-        return F.percentile_approx(F.col(c).cast("double"), p, int(round(1.0 / relative_error)))
-    if interpolate:
-        return F.percentile(F.col(c).cast("double"), F.lit(p))
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY CAST(`{c}` AS DOUBLE))")
-
-
 def quantiles(df: DataFrame, cols: list[str], probs=QUARTILES, interpolate: bool = True,
               relative_error: float = 0.0, ndigits: int | None = 6,
-              names: tuple[str, ...] = ("q1", "q2", "q3")) -> DataFrame:
-    """``variable, q1, q2, q3`` for many columns in one pass.
+              names: tuple[str, ...] = ("q1", "q2", "q3"),
+              accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+    """``variable, q1, q2, q3`` for many columns.
 
     ``interpolate=True``: linear interpolation between order statistics;
-    ``False``: the exact stored value at rank ceil(p*n) (what a zero-error
-    ``approxQuantile`` returns). Exact quantiles keep one counter per distinct
-    value; ``relative_error > 0`` switches to the bounded-memory GK sketch.
+    ``False``: the stored value at rank ceil(p*n) (what a zero-error
+    ``approxQuantile`` returns). Exact by default, computed without gathering
+    a column's distinct values in one task (quarry.operators.quantiles);
+    ``relative_error > 0`` returns the GK sketch's answer in one pass.
     """
-    aggs = [_r(_quantile_expr(c, p, interpolate, relative_error), ndigits).alias(f"{c}__{n}")
-            for c in cols for p, n in zip(probs, names)]
-    return _stack(df.agg(*aggs), cols, list(names))
-
-
-def iqr_bounds(df: DataFrame, cols: list[str], k: float = 1.5) -> DataFrame:
+    if relative_error > 0:
+        acc = int(round(1.0 / relative_error))
+        aggs = [_r(F.percentile_approx(F.col(c).cast("double"), p, acc), ndigits)
+                .alias(f"{c}__{n}") for c in cols for p, n in zip(probs, names)]
+        return _stack(df.agg(*aggs), cols, list(names))
+    long = exact_quantiles(df, cols, probs, interpolate, accuracy=accuracy)
+    row = quantile_row(long, cols, probs, names)
+    row = row.select(*[_r(F.col(c), ndigits).alias(c) for c in row.columns])
+    return _stack(row, cols, list(names))
+
+
+def iqr_bounds(df: DataFrame, cols: list[str], k: float = 1.5,
+               accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """One row: ``{c}__lo, {c}__hi`` = Q1 - k*IQR, Q3 + k*IQR (interpolated)."""
-    aggs = []
-    for c in cols:
-        q = F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75)))
-        aggs.append(q.alias(c))
-    row = df.agg(*aggs)
+    long = exact_quantiles(df, cols, (0.25, 0.75), True, accuracy=accuracy)
+    row = quantile_row(long, cols, (0.25, 0.75), ("q1", "q3"))
     out = []
     for c in cols:
-        q1, q3 = F.col(c)[0], F.col(c)[1]
+        q1, q3 = F.col(f"{c}__q1"), F.col(f"{c}__q3")
         out += [(q1 - F.lit(k) * (q3 - q1)).alias(f"{c}__lo"),
                 (q3 + F.lit(k) * (q3 - q1)).alias(f"{c}__hi")]
     return row.select(*out)
@@ -193,17 +192,18 @@ def class_counts(df: DataFrame, cols: list[str], label: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("count")))
 
 
-def five_number_by_class(df: DataFrame, col: str, label: str, ndigits: int | None = 6
-                         ) -> DataFrame:
+def five_number_by_class(df: DataFrame, col: str, label: str, ndigits: int | None = 6,
+                         accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """``label, min, q1, median, q3, max`` of ``col`` per label value."""
     x = F.col(col).cast("double")
-    q = F.percentile(x, F.array(*[F.lit(p) for p in QUARTILES]))
-    return (df.groupBy(label).agg(F.min(x).alias("min"), q.alias("_q"), F.max(x).alias("max"))
-            .select(label, _r(F.col("min"), ndigits).alias("min"),
-                    _r(F.col("_q")[0], ndigits).alias("q1"),
-                    _r(F.col("_q")[1], ndigits).alias("median"),
-                    _r(F.col("_q")[2], ndigits).alias("q3"),
-                    _r(F.col("max"), ndigits).alias("max")))
+    mm = df.groupBy(label).agg(F.min(x).alias("min"), F.max(x).alias("max"))
+    long = exact_quantiles(df, [col], QUARTILES, True, by=[label], accuracy=accuracy)
+    q = long.groupBy(label).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
+                                  for p, n in zip(QUARTILES, ("q1", "median", "q3"))])
+    j = mm.join(q, mm[label].eqNullSafe(q[label]), "left").select(mm[label], "min", "q1",
+                                                                   "median", "q3", "max")
+    return j.select(label, *[_r(F.col(c), ndigits).alias(c)
+                             for c in ("min", "q1", "median", "q3", "max")])
 
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
