@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quarry.functions.predicates import missing_counts_exprs
 from quarry.operators.quantiles import DEFAULT_ACCURACY, exact_quantiles, quantile_row
@@ -212,31 +212,40 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.stat.crosstab(a, b)
 
 
-def contingency(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    """Long contingency tables of many features against one label, over each
-    feature's full grid: ``variable, value, label, observed`` (zero cells
-    included).
-
-    One shuffle: features are unpivoted, counted per ``(variable, value)``
-    and pivoted on the label values (collected once; Spark checks the count
-    against ``spark.sql.pivotMaxValues``). Rows with a null label are left out.
-    """
+def _wide_contingency(df: DataFrame, features: list[str], label: str):
+    """Features unpivoted, counted per ``(variable, value)`` and pivoted on
+    the label values (collected once; Spark checks their number against
+    ``spark.sql.pivotMaxValues``). Rows with a null label are left out.
+    Returns the wide frame and its label columns."""
     u = unpivot_text(df.filter(F.col(label).isNotNull()), features, [label])
     wide = u.groupBy("variable", "value").pivot(label).agg(F.count(F.lit(1))).na.fill(0)
-    labels = [c for c in wide.columns if c not in ("variable", "value")]
-    return (wide.unpivot(["variable", "value"], [F.col(f"`{c}`") for c in labels], "label",
-                         "observed")
-            .withColumn("observed", F.col("observed").cast("long")))
+    return wide, [c for c in wide.columns if c not in ("variable", "value")]
+
+
+def contingency(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """Long contingency tables of many features against one label, over each
+    feature's full grid: ``variable, value, label, observed, row_total``
+    (zero cells included; one shuffle for all features)."""
+    wide, labels = _wide_contingency(df, features, label)
+    row_total = reduce(lambda a, b: a + b, [F.col(f"`{c}`") for c in labels])
+    wide = wide.withColumn("_row_total", row_total)
+    return (wide.unpivot(["variable", "value", "_row_total"], [F.col(f"`{c}`") for c in labels],
+                         "label", "observed")
+            .select("variable", "value", "label", F.col("observed").cast("long"),
+                    F.col("_row_total").cast("long").alias("row_total")))
 
 
 def _with_expected(c: DataFrame) -> DataFrame:
-    """Adds ``e`` = row total * column total / n per variable. The windows run
-    on the contingency rows (bounded by the categories), never on input rows."""
-    row_t = F.sum("observed").over(Window.partitionBy("variable", "value"))
-    col_t = F.sum("observed").over(Window.partitionBy("variable", "label"))
-    n = F.sum("observed").over(Window.partitionBy("variable"))
-    return c.select("variable", "value", "label", "observed", (row_t * col_t / n).alias("e"),
-                    n.alias("n"))
+    """Adds ``e`` = row total * column total / n. Column totals and n are
+    grouped per (variable, label): #features x #labels rows, bounded by the
+    pivot cap, so they are broadcast; no window gathers a feature's table."""
+    col_t = c.groupBy("variable", "label").agg(F.sum("observed").alias("col_total"))
+    n = col_t.groupBy("variable").agg(F.sum("col_total").alias("n"),
+                                      F.count(F.lit(1)).alias("n_labels"))
+    tot = col_t.join(n, "variable")
+    e = c.join(F.broadcast(tot), ["variable", "label"])
+    return e.select("variable", "value", "label", "observed", "n", "n_labels",
+                    (F.col("row_total") * F.col("col_total") / F.col("n")).alias("e"))
 
 
 def expected_frequencies(df: DataFrame, a: str, b: str, ndigits: int | None = 6) -> DataFrame:
@@ -261,7 +270,7 @@ def chi_square_many(df: DataFrame, features: list[str], label: str,
     o_corr = o + F.signum(d) * F.least(F.lit(0.5), F.abs(d))
     agg = e.groupBy("variable").agg(
         F.first("n").alias("n"),
-        ((F.countDistinct("value") - 1) * (F.countDistinct("label") - 1)).alias("dof"),
+        ((F.count(F.lit(1)) / F.first("n_labels") - 1) * (F.first("n_labels") - 1)).alias("dof"),
         F.sum((o - ex) ** 2 / ex).alias("stat"),
         F.sum((o_corr - ex) ** 2 / ex).alias("stat_y"))
     yates = F.when(F.col("dof") == 1, F.col("stat_y"))
