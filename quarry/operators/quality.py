@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.functions.dates import in_month, month_start
+from quarry.operators.joins import skew_join
 from quarry.schemas import FOREIGN_KEYS, PRIMARY_KEYS
 
 
@@ -30,11 +31,24 @@ def reconcile(source: DataFrame, fact: DataFrame, keys: list[str], value: str =
 def source_measure(visits: DataFrame, lines: DataFrame | None, keys: list[str],
                    counted: str, require_item: str | None = None) -> DataFrame:
     """``COUNT(counted)`` from visits left joined to a line table, grouped by
-    ``keys`` plus the visit's month start ``month``."""
+    ``keys`` plus the visit's month start ``month``.
+
+    With ``require_item`` (the left join plus ``item IS NOT NULL``, i.e. an
+    inner join) lines join visits through the salted skew join. Without it,
+    a line column is counted per visit first, so the left join is one row
+    per visit whatever a single visit's share of the lines."""
     v = visits.withColumn("month", month_start("visit_date"))
-    j = v if lines is None else v.join(lines, "visit_id", "left")
+    if lines is None:
+        return v.groupBy(*keys, "month").agg(F.count(counted).alias("value"))
     if require_item:
-        j = j.filter(F.col(require_item).isNotNull())
+        j = skew_join(lines.filter(F.col(require_item).isNotNull()), v, "visit_id", "inner")
+        return j.groupBy(*keys, "month").agg(F.count(counted).alias("value"))
+    if counted in lines.columns and counted != "visit_id":
+        per = lines.groupBy("visit_id").agg(F.count(counted).alias("_c"))
+        j = v.join(per, "visit_id", "left")
+        return j.groupBy(*keys, "month").agg(
+            F.coalesce(F.sum("_c"), F.lit(0)).cast("long").alias("value"))
+    j = v.join(lines, "visit_id", "left")
     return j.groupBy(*keys, "month").agg(F.count(counted).alias("value"))
 
 
@@ -48,9 +62,11 @@ def month_slice_source(visits: DataFrame, lines: DataFrame, keys: list[str], cou
                        year: int, month: int, require_item: str | None = None) -> DataFrame:
     """Source side of a one-month check; the month filter is a half-open
     range on the date, so it reaches the scan."""
-    j = visits.filter(in_month("visit_date", year, month)).join(lines, "visit_id", "left")
+    v = visits.filter(in_month("visit_date", year, month))
     if require_item:
-        j = j.filter(F.col(require_item).isNotNull())
+        j = skew_join(lines.filter(F.col(require_item).isNotNull()), v, "visit_id", "inner")
+    else:
+        j = v.join(lines, "visit_id", "left")
     return j.groupBy(*keys).agg(F.count(counted).alias(counted.split(".")[-1] + "_n"))
 
 

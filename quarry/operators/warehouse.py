@@ -1,12 +1,12 @@
 """Star-schema warehouse: dimensions and monthly fact tables.
 
 Facts are built in a single pass per fact:
-* line tables are pre-aggregated per ``visit_id`` (map-side partial
-  aggregation collapses a hot visit before anything shuffles);
 * visits get their month by a broadcast of the bounded calendar;
-* one join per fact on ``visit_id`` and one grouping at the fact grain.
-AQE's skew-join split handles a visit that still dominates after
-pre-aggregation.
+* ``fact_patient`` pre-aggregates the line tables per ``visit_id`` (map-side
+  partial aggregation collapses a hot visit before anything shuffles), then
+  joins one row per visit;
+* the item facts join lines to visits once, with hot visits salted
+  (quarry.operators.joins), then group at the fact grain.
 
 Fact rows need all three keys (the targets declare them NOT NULL); rows with
 a null key are available from :func:`rejected_visits`.
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quarry.functions.dates import month_name
 from quarry.operators.calendar import dim_time as build_dim_time, visit_month
+from quarry.operators.joins import skew_join
 
 LINE_KINDS = (("lab", "lab_id", "visit_lab"), ("procedure", "procedure_id", "visit_procedure"),
               ("diagnosis", "diagnosis_id", "visit_diagnosis"))
@@ -82,10 +83,18 @@ def fact_patient(visits: DataFrame, dim: DataFrame, visit_lab: DataFrame,
 
 
 def fact_lines(visits: DataFrame, dim: DataFrame, lines: DataFrame, item: str,
-               measure: str, preaggregate: bool = True) -> DataFrame:
+               measure: str, preaggregate: bool = False, skew: str = "salt") -> DataFrame:
     """Grain provider x item x month for one line table:
     ``patient_count, visit_count, <measure>`` (row counts of lines whose
-    visit has a patient / a date, and of lines)."""
+    visit has a patient / a date, and of lines).
+
+    Lines join their visit once (many to one on ``visit_id``); the counts
+    then aggregate partially before the exchange on the fact grain.
+    ``skew='salt'`` spreads visits that hold a large share of the lines over
+    all reducers (quarry.operators.joins); ``'aqe'`` leaves it to AQE's
+    skew-join split. ``preaggregate`` first collapses repeated
+    ``(visit_id, item)`` pairs, which pays off only when they repeat a lot.
+    """
     it = lines.filter(F.col(item).isNotNull())
     if preaggregate:
         it = it.groupBy("visit_id", item).agg(F.count(item).alias("_n"))
@@ -95,7 +104,7 @@ def fact_lines(visits: DataFrame, dim: DataFrame, lines: DataFrame, item: str,
     vm = _keys_present(visit_month(visits.select("visit_id", "provider_id", "patient_id",
                                                  "visit_date"), dim),
                        ["provider_id", "date_id"])
-    j = it.join(vm, "visit_id", "inner")
+    j = skew_join(it, vm, "visit_id") if skew == "salt" else it.join(vm, "visit_id", "inner")
     zero = F.lit(0).cast("long")
     return j.groupBy(*keys).agg(
         F.sum(F.when(F.col("patient_id").isNotNull(), F.col("_n")).otherwise(zero))

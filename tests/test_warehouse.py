@@ -118,3 +118,18 @@ def test_web_log_jobs(spark, tmp_dir):
     assert [tuple(r) for r in wj.read_result(spark, out, wj.ARGMAX_RESULT).collect()] == [("r1", 2, 2)]
     out = wj.largest_tally_job(spark, p, tmp_dir + "/tally")
     assert [tuple(r) for r in wj.read_result(spark, out, wj.ARGMAX_RESULT).collect()] == [("ff", 2, 2)]
+
+
+def test_skew_join_hot_key(spark):
+    from quarry.operators.joins import hot_keys, skew_join
+    many = spark.range(0, 20000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 500).cast("long").alias("k"),
+        F.col("id").alias("v"))
+    one = spark.range(0, 400).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
+    assert 7 in {r.k for r in hot_keys(many, "k", 0.01).collect()}
+    for how in ("inner", "left"):
+        got = skew_join(many, one, "k", how, support=0.01, salts=5)
+        want = many.join(one, "k", how)
+        assert got.count() == want.count()
+        assert sorted(map(tuple, got.select("k", "v", "w").collect())) == \
+            sorted(map(tuple, want.select("k", "v", "w").collect()))
