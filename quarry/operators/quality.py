@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quarry.functions.dates import in_month, month_start
 from quarry.operators.joins import skew_join
-from quarry.schemas import FOREIGN_KEYS, PRIMARY_KEYS
+from quarry.schemas import FOREIGN_KEYS, PRIMARY_KEYS, WAREHOUSE, not_null_columns
 
 
 def reconcile(source: DataFrame, fact: DataFrame, keys: list[str], value: str = "value"
@@ -94,6 +94,15 @@ def null_key_rows(tables: dict[str, DataFrame], key: str = "date_id") -> DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
+def warehouse_not_null(tables: dict[str, DataFrame]) -> DataFrame:
+    """Nulls in every column the target schemas declare NOT NULL, one pass
+    per table: ``table_name, column_name, null_rows``."""
+    parts = [null_counts(tables[n], not_null_columns(WAREHOUSE[n]))
+             .select(F.lit(n).alias("table_name"), "column_name", "null_rows")
+             for n in WAREHOUSE if n in tables]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Key values that occur more than once: ``keys..., count``."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") > 1)

@@ -133,3 +133,21 @@ def test_skew_join_hot_key(spark):
         assert got.count() == want.count()
         assert sorted(map(tuple, got.select("k", "v", "w").collect())) == \
             sorted(map(tuple, want.select("k", "v", "w").collect()))
+
+
+def test_positional_insert_and_rebuild(spark, tmp_dir):
+    from quarry.schemas import DIM_LAB
+    from quarry.sources.sinks import conform, insert_positional, save_table
+    src = spark.createDataFrame([(1, "c1", "lab one"), (2, "c2", "lab two")],
+                                "lab_id long, cpt_code string, lab_name string")
+    spark.sql("DROP TABLE IF EXISTS quarry_dim_lab")
+    spark.createDataFrame([], DIM_LAB).write.mode("overwrite").option(
+        "path", tmp_dir + "/dim_lab_tbl").saveAsTable("quarry_dim_lab")
+    # names differ, order matches: the insert goes by position
+    insert_positional(src.toDF("a", "b", "c"), "quarry_dim_lab")
+    got = sorted(tuple(r) for r in spark.table("quarry_dim_lab").collect())
+    assert got == [(1, "c1", "lab one"), (2, "c2", "lab two")]
+    out = save_table(src.select("lab_name", "lab_id", "cpt_code"), tmp_dir + "/dim_lab", DIM_LAB)
+    assert spark.read.parquet(out).columns == ["lab_id", "cpt_code", "lab_name"]
+    assert conform(src, DIM_LAB).schema.fieldNames() == ["lab_id", "cpt_code", "lab_name"]
+    spark.sql("DROP TABLE IF EXISTS quarry_dim_lab")
