@@ -114,17 +114,26 @@ def fact_lines(visits: DataFrame, dim: DataFrame, lines: DataFrame, item: str,
         F.sum("_n").alias(measure))
 
 
-def facts(src: dict[str, DataFrame], dim: DataFrame) -> dict[str, DataFrame]:
+ITEM_FACTS = {  # fact: (line table, item column, measure)
+    "fact_lab": ("visit_lab", "lab_id", "lab_count"),
+    "fact_procedure": ("visit_procedure", "procedure_id", "procedure_count"),
+    "fact_diagnosis": ("visit_diagnosis", "diagnosis_id", "diagnosis_frequency"),
+}
+FACTS = ("fact_patient",) + tuple(ITEM_FACTS)
+
+
+def fact(src: dict[str, DataFrame], dim: DataFrame, name: str) -> DataFrame:
+    """One fact table by name."""
     v = src["visit"]
-    return {
-        "fact_patient": fact_patient(v, dim, src["visit_lab"], src["visit_procedure"],
-                                     src["visit_diagnosis"]),
-        "fact_lab": fact_lines(v, dim, src["visit_lab"], "lab_id", "lab_count"),
-        "fact_procedure": fact_lines(v, dim, src["visit_procedure"], "procedure_id",
-                                     "procedure_count"),
-        "fact_diagnosis": fact_lines(v, dim, src["visit_diagnosis"], "diagnosis_id",
-                                     "diagnosis_frequency"),
-    }
+    if name == "fact_patient":
+        return fact_patient(v, dim, src["visit_lab"], src["visit_procedure"],
+                            src["visit_diagnosis"])
+    lines, item, measure = ITEM_FACTS[name]
+    return fact_lines(v, dim, src[lines], item, measure)
+
+
+def facts(src: dict[str, DataFrame], dim: DataFrame) -> dict[str, DataFrame]:
+    return {n: fact(src, dim, n) for n in FACTS}
 
 
 def build_warehouse(src: dict[str, DataFrame]) -> dict[str, DataFrame]:

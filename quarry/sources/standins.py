@@ -18,11 +18,14 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._frames: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return read_table(self.spark, self.sf_dir, name)
+        if name not in self._frames:  # one relation per table: listed and planned once
+            self._frames[name] = read_table(self.spark, self.sf_dir, name)
+        return self._frames[name]
 
 
 # ---------------------------------------------------------------- web log
@@ -108,11 +111,30 @@ def diagnosis(t: Tables) -> DataFrame:
                          F.col("p_type").alias("icd10_code"))
 
 
+class _Sources(dict):
+    """Source tables built on first use (each stand-in is planned once)."""
+
+    def __init__(self, t: Tables):
+        super().__init__()
+        self._t = t
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name not in CLINICAL_BUILDERS:
+            raise KeyError(name)
+        self[name] = df = CLINICAL_BUILDERS[name](self._t)
+        return df
+
+
+CLINICAL_BUILDERS = {
+    "visit": visit, "visit_lab": visit_lab, "visit_procedure": visit_procedure,
+    "visit_diagnosis": visit_diagnosis, "patient": patient, "provider": provider, "lab": lab,
+    "clinical_procedures": clinical_procedures, "diagnosis": diagnosis,
+}
+
+
 def clinical_sources(t: Tables) -> dict[str, DataFrame]:
-    return {"visit": visit(t), "visit_lab": visit_lab(t), "visit_procedure": visit_procedure(t),
-            "visit_diagnosis": visit_diagnosis(t), "patient": patient(t), "provider": provider(t),
-            "lab": lab(t), "clinical_procedures": clinical_procedures(t),
-            "diagnosis": diagnosis(t)}
+    """The nine operational tables, each built when first looked up."""
+    return _Sources(t)
 
 
 # ---------------------------------------------------------------- loan-like table
