@@ -31,17 +31,39 @@ def log_features(df: DataFrame, cols: list[str], suffix: str = "Log",
 
 
 def impute(df: DataFrame, cols: list[str], strategy: str = "mean",
-           out_cols: list[str] | None = None) -> DataFrame:
+           out_cols: list[str] | None = None, fit_on: DataFrame | None = None) -> DataFrame:
     """Spark ML ``Imputer`` (null and NaN are missing). ``mode`` breaks ties
-    towards the smallest value. One fit pass for all columns."""
+    towards the smallest value. One fit pass for all columns, on ``fit_on``
+    (default: ``df`` itself)."""
     out_cols = out_cols or [f"{c}_imp" for c in cols]
-    d = df
-    for c in cols:  # the imputer wants float columns
-        d = d.withColumn(c, F.col(c).cast("double"))
-    model = Imputer(strategy=strategy, inputCols=cols, outputCols=out_cols).fit(d)
+
+    def as_double(x: DataFrame) -> DataFrame:  # the imputer wants float columns
+        return x.withColumns({c: F.col(c).cast("double") for c in cols})
+
+    d = as_double(df)
+    model = Imputer(strategy=strategy, inputCols=cols, outputCols=out_cols).fit(
+        d if fit_on is None else as_double(fit_on))
     return model.transform(d)
 
 
+def string_modes(df: DataFrame, cols: list[str]) -> dict[str, str | None]:
+    """Most frequent non-null value per column (ties: the smallest), all
+    columns in one grouped pass; one value per column reaches the driver."""
+    from quarry.operators.profile import unpivot_text
+    counts = (unpivot_text(df, cols).filter(F.col("value").isNotNull())
+              .groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n")))
+    best = counts.groupBy("variable").agg(
+        F.min_by("value", F.struct((-F.col("n")).alias("neg_n"), F.col("value"))).alias("mode"))
+    return {r["variable"]: r["mode"] for r in best.collect()}
+
+
+def impute_string_mode(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None
+                       ) -> DataFrame:
+    """Fill nulls of text columns with their mode (fitted on ``fit_on``)."""
+    modes = string_modes(df if fit_on is None else fit_on, cols)
+    return df.fillna({c: v for c, v in modes.items() if v is not None})
+
+
 def quartile_thresholds(df: DataFrame, col: str, relative_error: float = 0.0) -> list[float]:
     """``[q1, q2, q3, max]``: exact order statistics (rank ceil(p*n)) by
     default, like a zero-error ``approxQuantile``; a positive error uses the
@@ -85,13 +107,13 @@ def term_bin(df: DataFrame, col: str, out: str, threshold: float = TERM_THRESHOL
 
 
 def string_index(df: DataFrame, cols: list[str], out_cols: list[str] | None = None,
-                 handle_invalid: str = "keep"):
+                 handle_invalid: str = "keep", fit_on: DataFrame | None = None):
     """One multi-column ``StringIndexer`` fit (frequency descending, ties
-    alphabetical; with ``keep`` a null gets index = number of labels).
-    Returns ``(frame, model)``."""
+    alphabetical; with ``keep`` a null or unseen value gets index = number of
+    labels). Returns ``(frame, model)``."""
     out_cols = out_cols or [f"{c}_idx" for c in cols]
     model = StringIndexer(inputCols=cols, outputCols=out_cols, handleInvalid=handle_invalid,
-                          stringOrderType="frequencyDesc").fit(df)
+                          stringOrderType="frequencyDesc").fit(df if fit_on is None else fit_on)
     return model.transform(df), model
 
 

@@ -49,3 +49,23 @@ def test_loan_job_runs(spark):
         assert 0.0 <= res[k] <= 1.0
     assert len(res["selected"]) == 2
     assert res["screening"].count() == 6
+
+
+def test_string_modes_and_fill(spark):
+    df = spark.createDataFrame([("b", "x"), ("a", None), ("b", "y"), ("a", "y"), (None, None)],
+                               "c1 string, c2 string")
+    assert fe.string_modes(df, ["c1", "c2"]) == {"c1": "a", "c2": "y"}
+    out = fe.impute_string_mode(df, ["c1", "c2"]).collect()
+    assert [r.c1 for r in out] == ["b", "a", "b", "a", "a"]
+    assert [r.c2 for r in out] == ["x", "y", "y", "y", "y"]
+
+
+def test_loan_job_options(spark):
+    from quarry.plans import loan_job
+    from quarry.sources.standins import Tables, loan_table
+    df = loan_table(Tables(spark, "/root/testdata/sf0.001"))
+    base = loan_job.run(df)
+    opt = loan_job.run(df, loan_job.LoanRoles(impute_first=True, fit_on_train=True))
+    assert base["n_train"] == opt["n_train"] and base["n_test"] == opt["n_test"]
+    for k in ("auc_score", "auc_selected_score"):
+        assert 0.0 <= opt[k] <= 1.0
