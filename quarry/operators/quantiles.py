@@ -80,10 +80,16 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs, interpolate: bool = T
                                    F.col("key")))
     res = cum.groupBy(*by, "variable", "p").agg(
         found("r1").alias("v1"), found("r2").alias("v2"), F.first("pos").alias("pos"),
-        F.first("r1").alias("r1"), F.first("r2").alias("r2"))
+        F.first("r1").alias("r1"), F.first("r2").alias("r2"),
+        F.max(F.when(F.col("key").isNull(), F.col("cum"))).alias("below"))
     lin = ((F.col("r2") - 1 - F.col("pos")) * F.col("v1")
            + (F.col("pos") - (F.col("r1") - 1)) * F.col("v2"))
     value = F.when(F.col("r1") == F.col("r2"), F.col("v1")).otherwise(lin)
+    # The sketch bound makes a miss impossible; should it happen, fail loudly.
+    missed = (F.col("v1").isNull() | F.col("v2").isNull()
+              | (F.coalesce(F.col("below"), F.lit(0)) >= F.col("r1")))
+    value = F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank"))
+                   .cast("double")).otherwise(value)
     return res.select(*by, "variable", "p", value.alias("value"))
 
 
