@@ -35,10 +35,22 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the recommended runtime SQL options to an existing session."""
+def recommended_shuffle_partitions(input_bytes: int, target_bytes: int = 256 << 20,
+                                   minimum: int = 8) -> int:
+    """Initial shuffle partitions for an input of ``input_bytes``: about one
+    ``target_bytes`` partition each, so the largest shuffle's reducers fit in
+    executor memory; AQE then coalesces the small ones."""
+    return max(minimum, -(-int(input_bytes) // int(target_bytes)))
+
+
+def tune(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
+    """Apply the recommended runtime SQL options to an existing session and,
+    given the input size, size the shuffle partitions for it."""
     for k, v in RECOMMENDED_SQL_CONF.items():
         spark.conf.set(k, v)
+    if input_bytes:
+        spark.conf.set("spark.sql.shuffle.partitions",
+                       str(recommended_shuffle_partitions(input_bytes)))
     return spark
 
 

@@ -69,3 +69,9 @@ def test_loan_job_options(spark):
     assert base["n_train"] == opt["n_train"] and base["n_test"] == opt["n_test"]
     for k in ("auc_score", "auc_selected_score"):
         assert 0.0 <= opt[k] <= 1.0
+
+
+def test_recommended_shuffle_partitions():
+    from quarry.session import recommended_shuffle_partitions
+    assert recommended_shuffle_partitions(100 << 40) == 409600
+    assert recommended_shuffle_partitions(1000) == 8
