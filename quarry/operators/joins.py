@@ -3,21 +3,24 @@ share of the many side.
 
 1. Heavy hitters of the many side come from Spark's ``freqItems`` aggregate:
    every key holding at least ``support`` of the rows is reported (plus
-   possibly a few false positives), so the hot-key table has at most
-   ``1 / support`` rows: a proven bound, broadcast safely.
-2. Rows of hot keys get a random salt in ``[0, salts)``; all other rows get
-   salt 0. The one side repeats each hot key's rows once per salt (so it
-   grows by at most ``salts / support`` rows) and keeps one copy otherwise.
-3. The join runs on ``(key, salt)``: a hot key is spread over ``salts``
-   reducers, cold keys shuffle as usual.
-
-The salt is drawn per row from a seeded generator; a re-run task re-draws
-it, and Spark re-runs the whole indeterminate map stage when that matters.
+   possibly a few false positives), so there are at most ``1 / support``
+   candidates: a proven bound, broadcast safely.
+2. One aggregate over the key column counts the rows of each candidate and of
+   all other keys together. A hot key with ``n_k`` of ``N`` rows gets
+   ``ceil(n_k * P / N)`` salts (``P`` = target partitions), i.e. about one
+   partition's worth of rows per salt; the one side repeats that key's rows
+   once per salt, so it grows by at most ``P + 1 / support`` rows in total.
+3. The join runs on ``(key, salt)``: each hot key is spread over its salts,
+   every other key keeps salt 0 and shuffles as usual.
+
+The salt is drawn per row from a seeded generator; Spark re-runs the whole
+map stage on a fetch failure when a stage is indeterminate, so retries stay
+correct.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def hot_keys(df: DataFrame, key: str, support: float = 1e-4) -> DataFrame:
@@ -28,21 +31,39 @@ def hot_keys(df: DataFrame, key: str, support: float = 1e-4) -> DataFrame:
             .filter(F.col(key).isNotNull()).distinct())
 
 
+def hot_key_salts(df: DataFrame, key: str, support: float = 1e-4,
+                  partitions: int | None = None) -> DataFrame:
+    """``key, _salts`` for the hot keys: salts proportional to each key's
+    share of the rows (at least 1, at most ``partitions``)."""
+    p = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = F.broadcast(hot_keys(df, key, support).withColumn("_h", F.lit(True)))
+    flagged = df.select(key).join(hot, key, "left")
+    counts = (flagged.groupBy(F.when(F.col("_h"), F.col(key)).alias(key))
+              .agg(F.count(F.lit(1)).alias("_n")))
+    # counts has at most 1/support + 1 rows, so a frame-wide total is cheap.
+    total = F.sum("_n").over(Window.partitionBy())
+    salts = F.least(F.lit(p), F.greatest(F.lit(1), F.ceil(F.col("_n") * p / total)))
+    return (counts.select(key, salts.cast("int").alias("_salts"))
+            .filter(F.col(key).isNotNull()))
+
+
 def skew_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner",
-              support: float = 1e-4, salts: int | None = None, seed: int = 17) -> DataFrame:
+              support: float = 1e-4, partitions: int | None = None, seed: int = 17
+              ) -> DataFrame:
     """``many JOIN one USING (key)`` (``how`` in inner / left), with hot keys
-    of ``many`` salted over ``salts`` partitions (default: the session's
-    shuffle partitions). ``one`` should have few rows per key (a key column)."""
+    of ``many`` salted in proportion to their share. ``one`` should have few
+    rows per key (a key column)."""
     if how not in ("inner", "left"):
         raise ValueError("skew_join supports inner and left joins")
-    s = salts or int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(hot_keys(many, key, support).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(hot_key_salts(many, key, support, partitions))
     m = (many.join(hot, key, "left")
-         .withColumn("_salt", F.when(F.col("_hot"), F.floor(F.rand(seed) * s).cast("int"))
+         .withColumn("_salt", F.when(F.col("_salts").isNotNull(),
+                                     F.floor(F.rand(seed) * F.col("_salts")).cast("int"))
                      .otherwise(F.lit(0)))
-         .drop("_hot"))
+         .drop("_salts"))
     o = (one.join(hot, key, "left")
-         .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(s - 1)))
-                                        .otherwise(F.array(F.lit(0)))))
-         .drop("_hot"))
+         .withColumn("_salt", F.explode(
+             F.when(F.col("_salts").isNotNull(), F.sequence(F.lit(0), F.col("_salts") - 1))
+             .otherwise(F.array(F.lit(0)))))
+         .drop("_salts"))
     return m.join(o, [key, "_salt"], how).drop("_salt")
