@@ -17,10 +17,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.operators import features as fe, model as md, profile as pf
+from quarry.session import checkpoint_root
 
 
 @dataclass
@@ -83,7 +83,10 @@ def run(df: DataFrame, r: LoanRoles | None = None) -> dict:
     """Whole job. Returns screening table, selected features and the AUCs."""
     r = r or LoanRoles()
     d, feats = prepare(df, r)
-    d = d.persist(StorageLevel.MEMORY_AND_DISK)
+    # Several fits read the prepared rows: checkpoint them to the shared folder
+    # so a lost executor re-reads stored rows instead of re-running the chain.
+    checkpoint_root(d.sparkSession)
+    d = d.checkpoint(eager=True)
     screening = pf.chi_square_many(d, feats, "label_idx")
     asm = fe.assemble(d, feats, "chi_features")
     selected_df, selected = fe.chi_select(asm, "chi_features", "label_idx", r.top_k, "chisq")
@@ -104,7 +107,6 @@ def run(df: DataFrame, r: LoanRoles | None = None) -> dict:
         "auc_selected_score": md.roc_auc(s2, "label_idx"),
         "auc_selected_label": md.roc_auc(s2, "label_idx", "prediction"),
     }
-    d.unpersist()
     return out
 
 

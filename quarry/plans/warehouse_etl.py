@@ -1,8 +1,9 @@
 """The warehouse ETL and its checks as a job over written tables.
 
 1. dimensions are written first (the facts' foreign keys point at them);
-2. the facts are built from the *written* calendar, which cuts the lineage
-   (a lost executor recomputes from the stored tables, not from the sources);
+2. the visits are staged once; the four facts are built from the staged
+   visits and the *written* calendar, which cuts the lineage (a lost executor
+   recomputes from stored tables, not from the sources);
 3. the checks read the written tables back.
 Everything is written under one root in the shared checkpoint folder (or a
 caller-given warehouse location).
@@ -18,10 +19,16 @@ from quarry.sources.sinks import write_warehouse
 
 
 def run_etl(spark: SparkSession, src: dict[str, DataFrame], root: str) -> dict[str, str]:
+    """Write the dimensions, stage the visits once, then write the facts
+    built from the stored calendar and the staged visits."""
     dims = wh.dimensions(src)
     paths = write_warehouse(spark, dims, root)
     dim_time = spark.read.parquet(paths["dim_time"])
-    paths.update(write_warehouse(spark, wh.facts(src, dim_time), root))
+    staged = f"{root.rstrip('/')}/_staging/visit"
+    src["visit"].write.mode("overwrite").parquet(staged)
+    staged_src = {**{k: src[k] for k in ("visit_lab", "visit_procedure", "visit_diagnosis")},
+                  "visit": spark.read.parquet(staged)}
+    paths.update(write_warehouse(spark, wh.facts(staged_src, dim_time), root))
     return paths
 
 
