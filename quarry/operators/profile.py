@@ -326,7 +326,3 @@ def _chi2_sf_udf():
                           for a, b in zip(x, k)], dtype="float64")
 
     return chi2_upper
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -75,3 +75,12 @@ def test_recommended_shuffle_partitions():
     from quarry.session import recommended_shuffle_partitions
     assert recommended_shuffle_partitions(100 << 40) == 409600
     assert recommended_shuffle_partitions(1000) == 8
+
+
+def test_column_roles_and_random_split(spark):
+    from quarry.operators.profile import categorical_columns, numeric_columns
+    df = spark.createDataFrame([(1, "a", 2.0, "x")], "id int, s string, d double, key string")
+    assert numeric_columns(df, ("id",)) == ["d"]
+    assert categorical_columns(df, ("key",)) == ["s"]
+    a, b = md.random_split(spark.range(1000), (0.7, 0.3), seed=3)
+    assert a.count() + b.count() == 1000 and a.join(b, "id").count() == 0

@@ -155,3 +155,20 @@ def test_positional_insert_and_rebuild(spark, tmp_dir):
     assert spark.read.parquet(out).columns == ["lab_id", "cpt_code", "lab_name"]
     assert conform(src, DIM_LAB).schema.fieldNames() == ["lab_id", "cpt_code", "lab_name"]
     spark.sql("DROP TABLE IF EXISTS quarry_dim_lab")
+
+
+def test_web_log_time_jobs(spark, tmp_dir):
+    import os
+    from quarry.plans import weblog_jobs as wj
+    p = os.path.join(tmp_dir, "tm.csv")
+    with open(p, "w") as f:
+        f.write("timestamp,user_id,search_query,browser,os,referrer\n")
+        f.write("2024-03-01 05:10:00,u1,q,ff,linux,r\n2024-03-01 05:20:00,u2,q,ff,linux,r\n")
+        f.write("2024-03-02 06:00:00,u3,q,ch,mac,r\n")
+    out = wj.busiest_date_part_job(spark, p, tmp_dir + "/parts")
+    got = sorted(tuple(r) for r in wj.read_result(spark, out, wj.ARGMAX_RESULT).collect())
+    assert got == [("2024", 3, 3), ("3", 3, 3)]  # year and month tie at 3
+    out = wj.busiest_pair_job(spark, p.replace("tm.csv", "tm.csv"), tmp_dir + "/pair")
+    # read as the 5-field log, the first field is the time: pairs are search_query:browser
+    got = wj.read_result(spark, out, wj.ARGMAX_RESULT).collect()
+    assert got and all(r["count"] == r.max_count for r in got)
