@@ -129,3 +129,21 @@ def test_value_and_class_counts(spark):
 def test_distinct_count_counts_null(spark):
     df = spark.createDataFrame([(1,), (None,), (1,), (2,)], "a int")
     assert pf.distinct_count(df, "a").first().n_distinct == 3
+
+
+def test_constant_column_quantiles_and_iqr(spark):
+    from quarry.operators.quantiles import exact_quantiles
+    df = spark.createDataFrame([(5.0,)] * 300 + [(None,)] * 3, "c double")
+    for acc in (50, 100_000):
+        got = {r.p: r.value for r in exact_quantiles(df, ["c"], (0.0, 0.5, 1.0), True,
+                                                      accuracy=acc).collect()}
+        assert got == {0.0: 5.0, 0.5: 5.0, 1.0: 5.0}
+    r = pf.iqr_outliers(df, ["c"]).first()
+    assert (r.total_outliers, r.low_outliers, r.high_outliers) == (0, 0, 0)
+
+
+def test_single_class_label_chi_square(spark):
+    df = spark.createDataFrame([("a", "y"), ("b", "y"), ("a", "y")], "f string, lab string")
+    r = pf.chi_square(df, "f", "lab").first()
+    assert (r.n, r.dof, r.statistic) == (3, 0, 0.0)
+    assert r.statistic_yates is None and (r.p_value is None or math.isnan(r.p_value))
