@@ -95,7 +95,8 @@ def q_string_index(spark, sf):
 
 
 @query("one_hot", LOAN + _rank_cte("lang") + """
-SELECT doc_id, CAST(idx AS INTEGER) AS slot, 1.0 AS value FROM loan JOIN r_lang ON r_lang.v = loan.lang
+SELECT doc_id, CAST(idx AS INTEGER) AS slot, CAST(1.0 AS DOUBLE) AS value
+FROM loan JOIN r_lang ON r_lang.v = loan.lang
 """)
 def q_one_hot(spark, sf):
     d, _ = fe.string_index(loan_table(Tables(spark, sf)), ["lang"])
