@@ -172,3 +172,18 @@ def test_web_log_time_jobs(spark, tmp_dir):
     # read as the 5-field log, the first field is the time: pairs are search_query:browser
     got = wj.read_result(spark, out, wj.ARGMAX_RESULT).collect()
     assert got and all(r["count"] == r.max_count for r in got)
+
+
+def test_fact_lines_salted_equals_plain_with_hot_visit(spark):
+    visits = spark.range(0, 300).select(
+        F.col("id").alias("visit_id"), (F.col("id") % 7).alias("provider_id"),
+        (F.col("id") % 11).alias("patient_id"),
+        F.expr("date_add(date'2024-01-01', cast(id % 90 as int))").alias("visit_date"))
+    lines = spark.range(0, 9000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id") % 300).cast("long")
+        .alias("visit_id"), (F.col("id") % 13).alias("lab_id"))
+    dim = cal.dim_time(visits)
+    salted = wh.fact_lines(visits, dim, lines, "lab_id", "lab_count", skew="salt")
+    plain = wh.fact_lines(visits, dim, lines, "lab_id", "lab_count", skew="aqe")
+    assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, plain.collect()))
+    assert salted.agg(F.sum("lab_count")).first()[0] == 9000
