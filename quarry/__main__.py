@@ -9,8 +9,9 @@ Log jobs read a comma-split log and store a tab-separated result folder:
   datepart  LOG_TM OUT
 Warehouse (operational tables as Parquet folders named visit, visit_lab, ...):
   etl       SOURCE_DIR TARGET_DIR [--check]
-Loan job (header CSV or Parquet):
+Loan job and table profile (header CSV or Parquet):
   loan      INPUT [--key K --label L --categorical a,b ...]
+  profile   INPUT [--key K --label L]
 """
 
 from __future__ import annotations
@@ -29,6 +30,13 @@ def _session(master: str | None):
     return tune(SparkSession.builder.appName("quarry").getOrCreate())
 
 
+def _load(spark, path: str):
+    if path.endswith(".csv"):
+        from quarry.sources.delimited import read_csv_inferred
+        return read_csv_inferred(spark, path)
+    return spark.read.parquet(path)
+
+
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="quarry", description=__doc__,
                                  formatter_class=argparse.RawDescriptionHelpFormatter)
@@ -57,6 +65,10 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--term-binned", default="Loan_Amount_Term")
     p.add_argument("--mode-imputed", default="Credit_History")
     p.add_argument("--top-k", type=int, default=5)
+    p = sub.add_parser("profile")
+    p.add_argument("input")
+    p.add_argument("--key", default=None)
+    p.add_argument("--label", default=None)
     a = ap.parse_args(argv)
     spark = _session(a.master)
 
@@ -84,10 +96,14 @@ def main(argv: list[str] | None = None) -> int:
             for name, df in run_checks(spark, src, paths).items():
                 print(f"-- {name}")
                 df.show(50, truncate=False)
+    elif a.job == "profile":
+        from quarry.plans.profile_job import profile_table
+        for name, frame in profile_table(_load(spark, a.input), a.key, a.label).items():
+            print(f"-- {name}")
+            frame.show(100, truncate=False)
     elif a.job == "loan":
         from quarry.plans.loan_job import LoanRoles, run
-        df = (spark.read.parquet(a.input) if not a.input.endswith(".csv") else
-              spark.read.csv(a.input, header=True, inferSchema=True))
+        df = _load(spark, a.input)
         split = lambda s: [c for c in s.split(",") if c]
         roles = LoanRoles(key=a.key, label=a.label, categorical=split(a.categorical),
                           log_binned=split(a.log_binned), zero_binned=split(a.zero_binned),

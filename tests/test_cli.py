@@ -23,3 +23,18 @@ def test_loan_command(spark, tmp_dir, capsys):
                "--top-k", "2"])
     assert rc == 0
     assert '"auc_score"' in capsys.readouterr().out
+
+
+def test_profile_job_and_command(spark, tmp_dir, capsys):
+    from quarry.plans.profile_job import profile_table
+    df = loan_table(Tables(spark, SMALL))
+    out = profile_table(df, key="doc_id", label="quality")
+    assert set(out) >= {"shape", "missing", "key_distinct", "describe", "quartiles", "moments",
+                        "outliers", "correlation", "value_counts", "class_counts",
+                        "five_number_by_class"}
+    assert out["key_distinct"].first().n_distinct == df.count()
+    assert {r.variable for r in out["describe"].collect()} == {"n_chars", "toxic"}
+    df.write.parquet(f"{tmp_dir}/t")
+    assert main(["--master", "local[2]", "profile", f"{tmp_dir}/t", "--key", "doc_id",
+                 "--label", "quality"]) == 0
+    assert "-- five_number_by_class" in capsys.readouterr().out
