@@ -74,10 +74,9 @@ def quartile_thresholds(df: DataFrame, col: str, relative_error: float = 0.0) ->
         row = df.agg(*[F.percentile_approx(x, p, acc).alias(f"q{i}")
                        for i, p in enumerate(QUARTILES)], F.max(x).alias("mx")).first()
         return [row["q0"], row["q1"], row["q2"], row["mx"]]
-    long = exact_quantiles(df, [col], QUARTILES, interpolate=False)
-    qs = {r["p"]: r["value"] for r in long.collect()}
-    mx = df.agg(F.max(x)).first()[0]
-    return [qs.get(p) for p in QUARTILES] + [mx]
+    probs = tuple(QUARTILES) + (1.0,)  # rank n at p = 1 is the maximum
+    qs = {r["p"]: r["value"] for r in exact_quantiles(df, [col], probs, False).collect()}
+    return [qs.get(p) for p in probs]
 
 
 def quartile_bins(df: DataFrame, col: str, out: str, thresholds: list[float] | None = None,
