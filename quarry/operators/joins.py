@@ -34,7 +34,7 @@ def hot_keys(df: DataFrame, key: str, support: float = 1e-4) -> DataFrame:
 def hot_key_salts(df: DataFrame, key: str, support: float = 1e-4,
                   partitions: int | None = None) -> DataFrame:
     """``key, _salts`` for the hot keys: salts proportional to each key's
-    share of the rows (at least 1, at most ``partitions``)."""
+    share of the rows (at least 2, at most ``partitions``)."""
     p = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = F.broadcast(hot_keys(df, key, support).withColumn("_h", F.lit(True)))
     flagged = df.select(key).join(hot, key, "left")
@@ -43,8 +43,10 @@ def hot_key_salts(df: DataFrame, key: str, support: float = 1e-4,
     # counts has at most 1/support + 1 rows, so a frame-wide total is cheap.
     total = F.sum("_n").over(Window.partitionBy())
     salts = F.least(F.lit(p), F.greatest(F.lit(1), F.ceil(F.col("_n") * p / total)))
+    # A key with one salt is handled like any cold key, so only keys with at
+    # least two salts are kept (false positives of the sketch drop out here).
     return (counts.select(key, salts.cast("int").alias("_salts"))
-            .filter(F.col(key).isNotNull()))
+            .filter(F.col(key).isNotNull() & (F.col("_salts") > 1)))
 
 
 def skew_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner",

@@ -129,8 +129,7 @@ def test_skew_join_hot_key(spark):
     assert 7 in {r.k for r in hot_keys(many, "k", 0.01).collect()}
     salts = {r.k: r._salts for r in hot_key_salts(many, "k", 0.01, 12).collect()}
     n7 = many.filter("k = 7").count()  # a bit over a third of the rows
-    assert salts[7] == -(-n7 * 12 // 20000)
-    assert all(v == 1 for k, v in salts.items() if k != 7)
+    assert salts == {7: -(-n7 * 12 // 20000)}  # keys with one salt are left out
     for how in ("inner", "left"):
         got = skew_join(many, one, "k", how, support=0.01, partitions=12)
         want = many.join(one, "k", how)
