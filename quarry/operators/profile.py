@@ -194,16 +194,14 @@ def class_counts(df: DataFrame, cols: list[str], label: str) -> DataFrame:
 
 def five_number_by_class(df: DataFrame, col: str, label: str, ndigits: int | None = 6,
                          accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """``label, min, q1, median, q3, max`` of ``col`` per label value."""
-    x = F.col(col).cast("double")
-    mm = df.groupBy(label).agg(F.min(x).alias("min"), F.max(x).alias("max"))
-    long = exact_quantiles(df, [col], QUARTILES, True, by=[label], accuracy=accuracy)
-    q = long.groupBy(label).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
-                                  for p, n in zip(QUARTILES, ("q1", "median", "q3"))])
-    j = mm.join(q, mm[label].eqNullSafe(q[label]), "left").select(mm[label], "min", "q1",
-                                                                   "median", "q3", "max")
-    return j.select(label, *[_r(F.col(c), ndigits).alias(c)
-                             for c in ("min", "q1", "median", "q3", "max")])
+    """``label, min, q1, median, q3, max`` of ``col`` per label value: the
+    order statistics at p = 0, .25, .5, .75, 1 from one exact-quantile job."""
+    names = ("min", "q1", "median", "q3", "max")
+    probs = (0.0,) + tuple(QUARTILES) + (1.0,)
+    long = exact_quantiles(df, [col], probs, True, by=[label], accuracy=accuracy)
+    return long.groupBy(label).agg(
+        *[_r(F.max(F.when(F.col("p") == p, F.col("value"))), ndigits).alias(n)
+          for p, n in zip(probs, names)])
 
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
