@@ -199,9 +199,13 @@ def five_number_by_class(df: DataFrame, col: str, label: str, ndigits: int | Non
     names = ("min", "q1", "median", "q3", "max")
     probs = (0.0,) + tuple(QUARTILES) + (1.0,)
     long = exact_quantiles(df, [col], probs, True, by=[label], accuracy=accuracy)
-    return long.groupBy(label).agg(
+    stats = long.groupBy(F.col(label).alias("_g")).agg(
         *[_r(F.max(F.when(F.col("p") == p, F.col("value"))), ndigits).alias(n)
           for p, n in zip(probs, names)])
+    # labels whose values are all null keep a row of nulls
+    groups = df.select(label).distinct()
+    return (groups.join(stats, F.col(label).eqNullSafe(F.col("_g")), "left")
+            .select(label, *names))
 
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:

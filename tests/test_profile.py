@@ -147,3 +147,9 @@ def test_single_class_label_chi_square(spark):
     r = pf.chi_square(df, "f", "lab").first()
     assert (r.n, r.dof, r.statistic) == (3, 0, 0.0)
     assert r.statistic_yates is None and (r.p_value is None or math.isnan(r.p_value))
+
+
+def test_five_number_keeps_all_null_group(spark):
+    df = spark.createDataFrame([(1, 1.0), (1, 3.0), (2, None), (None, 2.0)], "lab int, x double")
+    got = {r.lab: (r["min"], r.median, r["max"]) for r in pf.five_number_by_class(df, "x", "lab").collect()}
+    assert got == {1: (1.0, 2.0, 3.0), 2: (None, None, None), None: (2.0, 2.0, 2.0)}
