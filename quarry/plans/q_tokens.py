@@ -192,3 +192,33 @@ def stream_hour_counts(spark, sf):
     t = Tables(spark, sf)
     s = stream_table(spark, f"{sf.rstrip('/')}/events*.parquet", t.events)
     return run_available_now(spark, hour_counts(s, "ts", "1 hour"), "update", "hours")
+
+
+@query("stream_log_frequency", """
+SELECT event_type AS token, count(event_type) AS count FROM events GROUP BY event_type
+""")
+def stream_log_frequency(spark, sf):
+    """The events written as a comma-split log folder, read back as a file
+    stream with the declared schema, search-query counts kept as state."""
+    from quarry.session import scratch_path
+    from quarry.sources.sinks import store_delimited
+    from quarry.sources.standins import weblog_from_events
+    from quarry.streaming import log_stream, run_available_now, token_counts
+    folder = store_delimited(weblog_from_events(Tables(spark, sf).events),
+                             scratch_path(spark, "weblog-stream"), sep=",")
+    return run_available_now(spark, token_counts(log_stream(spark, folder), "search_query"),
+                             "update", "log-tokens")
+
+
+@query("stream_busiest", """
+WITH c AS (SELECT event_type AS token, count(event_type) AS count FROM events GROUP BY event_type)
+SELECT token, count, (SELECT max(count) FROM c) AS max_count FROM c
+WHERE count = (SELECT max(count) FROM c)
+""")
+def stream_busiest(spark, sf):
+    """Running token counts from a stream, then the arg-max (ties kept) over
+    the latest counts."""
+    from quarry.streaming import run_available_now, stream_table, token_counts
+    t = Tables(spark, sf)
+    s = stream_table(spark, f"{sf.rstrip('/')}/events*.parquet", t.events)
+    return tk.keep_max(run_available_now(spark, token_counts(s, "event_type"), "update", "busy"))

@@ -24,6 +24,19 @@ def stream_table(spark: SparkSession, path: str, like: DataFrame,
     return r.parquet(path)
 
 
+def log_stream(spark: SparkSession, folder: str, timestamped: bool = False,
+               max_files_per_trigger: int | None = None) -> DataFrame:
+    """New files of a comma-split text log folder as a stream, with the
+    declared all-string schema (no inference, no quoting), like the batch
+    scan."""
+    from quarry.schemas import WEBLOG, WEBLOG_TM
+    r = (spark.readStream.schema(WEBLOG_TM if timestamped else WEBLOG)
+         .option("sep", ",").option("quote", "").option("escape", "").option("header", "false"))
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return r.csv(folder)
+
+
 def token_counts(stream: DataFrame, token: str) -> DataFrame:
     """Running count per token (non-null values counted, as in batch)."""
     return stream.groupBy(F.col(token).alias("token")).agg(F.count(token).alias("count"))
@@ -31,7 +44,9 @@ def token_counts(stream: DataFrame, token: str) -> DataFrame:
 
 def hour_counts(stream: DataFrame, ts: str = "ts", watermark: str = "1 hour") -> DataFrame:
     """Events per hour bucket; with the watermark, state is bounded by the
-    lateness allowed, not by the length of the stream."""
+    lateness allowed, not by the length of the stream. Events older than the
+    watermark (latest event time seen minus ``watermark``) when they arrive
+    are dropped, so choose it to cover the source's lateness."""
     s = stream.withColumn(ts, F.col(ts).cast("timestamp"))  # event time must carry a zone
     return (s.withWatermark(ts, watermark)
             .groupBy(F.window(ts, "1 hour").alias("w"))
