@@ -48,9 +48,15 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).distinct()
 
 
-def distinct_count(df: DataFrame, col: str) -> DataFrame:
+def distinct_count(df: DataFrame, col: str, approximate: bool = False,
+                   relative_sd: float = 0.01) -> DataFrame:
     """Number of distinct values, null counted as a value (unlike
-    ``countDistinct``)."""
+    ``countDistinct``). ``approximate`` uses the HyperLogLog++ sketch
+    (bounded memory, one pass, no shuffle of the values) plus one for null."""
+    if approximate:
+        has_null = F.max(F.col(col).isNull().cast("int"))
+        return df.agg((F.approx_count_distinct(col, relative_sd) + has_null)
+                      .cast("long").alias("n_distinct"))
     return df.select(col).distinct().agg(F.count(F.lit(1)).alias("n_distinct"))
 
 

@@ -1,5 +1,7 @@
 import math
 
+from pyspark.sql import functions as F
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -153,3 +155,11 @@ def test_five_number_keeps_all_null_group(spark):
     df = spark.createDataFrame([(1, 1.0), (1, 3.0), (2, None), (None, 2.0)], "lab int, x double")
     got = {r.lab: (r["min"], r.median, r["max"]) for r in pf.five_number_by_class(df, "x", "lab").collect()}
     assert got == {1: (1.0, 2.0, 3.0), 2: (None, None, None), None: (2.0, 2.0, 2.0)}
+
+
+def test_distinct_count_approximate(spark):
+    df = spark.range(0, 5000).select((F.col("id") % 1000).alias("a")).union(
+        spark.createDataFrame([(None,)], "a long"))
+    exact = pf.distinct_count(df, "a").first().n_distinct
+    approx = pf.distinct_count(df, "a", approximate=True).first().n_distinct
+    assert exact == 1001 and abs(approx - exact) <= 30
