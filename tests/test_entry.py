@@ -1,7 +1,6 @@
 """Driver contract: the smoke entry, and every registered query against its
 DuckDB oracle on the smallest test tables."""
 
-
 import duckdb
 import pytest
 
