@@ -13,6 +13,13 @@ that is unbounded. Here the work stays distributed and bounded:
 3. a window over only those candidates, partitioned by (column, p), finds the
    value at the wanted rank. Candidates per partition: at most ~6n / accuracy.
 
+Sizing: the sketch holds O(accuracy) entries per column (and group); the
+candidate window for one (column, p) holds at most ~6n/accuracy distinct
+values, e.g. 6e7 values (about 1 GB sorted in one task) for n = 1e12 at the
+default accuracy. Raising ``accuracy`` trades sketch memory for a smaller
+window; a second sketch over the bracket would shrink it further at the cost
+of one more scan of the columns.
+
 Rank conventions: ``interpolate=True`` is linear interpolation between the
 order statistics around p*(n-1) (pandas' default, Spark ``percentile``);
 ``False`` is the value at rank ceil(p*n) (a zero-error ``approxQuantile``,
