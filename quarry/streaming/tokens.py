@@ -47,11 +47,18 @@ def hour_counts(stream: DataFrame, ts: str = "ts", watermark: str = "1 hour") ->
     lateness allowed, not by the length of the stream. Events older than the
     watermark (latest event time seen minus ``watermark``) when they arrive
     are dropped, so choose it to cover the source's lateness."""
-    s = stream.withColumn(ts, F.col(ts).cast("timestamp"))  # event time must carry a zone
-    return (s.withWatermark(ts, watermark)
-            .groupBy(F.window(ts, "1 hour").alias("w"))
+    t = F.col(ts)
+    # Event time must carry a zone: read the zone-less clock as UTC, so hour
+    # windows follow the clock whatever the session time zone is. The
+    # zone-less hour itself is carried as the output key.
+    event = F.make_timestamp(F.year(t), F.month(t), F.dayofmonth(t), F.hour(t), F.minute(t),
+                             F.second(t), F.lit("UTC"))
+    s = stream.select(event.alias("_event"), F.date_trunc("hour", t).cast("timestamp_ntz")
+                      .alias("window_start"))
+    return (s.withWatermark("_event", watermark)
+            .groupBy(F.window("_event", "1 hour"), "window_start")
             .agg(F.count(F.lit(1)).alias("count"))
-            .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "count"))
+            .select("window_start", "count"))
 
 
 def run_available_now(spark: SparkSession, agg: DataFrame, mode: str = "update",

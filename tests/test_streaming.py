@@ -31,3 +31,28 @@ def test_multi_batch_hour_counts(spark, tmp_dir):
     got = {r.window_start.hour: r["count"] for r in
            run_available_now(spark, hour_counts(s, "ts", "1 day"), "update", "h1").collect()}
     assert got == {0: 2, 1: 1, 3: 3}
+
+
+def test_hour_counts_independent_of_session_zone(spark, tmp_dir):
+    ev = spark.createDataFrame([(1, "2024-01-01 10:20:00"), (2, "2024-01-01 10:40:00"),
+                                (3, "2024-01-01 11:05:00")], "id long, t string") \
+        .select("id", F.to_timestamp_ntz("t").alias("ts"))
+    folder = os.path.join(tmp_dir, "evz")
+    ev.write.parquet(folder)
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")  # +05:30
+    try:
+        s = stream_table(spark, folder, ev)
+        got = {(r.window_start.hour, r.window_start.minute): r["count"] for r in
+               run_available_now(spark, hour_counts(s, "ts", "1 hour"), "update", "hz").collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == {(10, 0): 2, (11, 0): 1}
+
+
+def test_csv_sampled_inference(spark, tmp_dir):
+    from quarry.sources.delimited import read_csv_inferred
+    path = os.path.join(tmp_dir, "c")
+    spark.range(0, 500).selectExpr("id", "id * 0.5 AS x").write.option("header", "true").csv(path)
+    df = read_csv_inferred(spark, path, sampling_ratio=0.5)
+    assert [f.dataType.simpleString() for f in df.schema.fields] == ["int", "double"]
