@@ -13,9 +13,10 @@ share of the many side.
 3. The join runs on ``(key, salt)``: each hot key is spread over its salts,
    every other key keeps salt 0 and shuffles as usual.
 
-The salt is drawn per row from a seeded generator; Spark re-runs the whole
-map stage on a fetch failure when a stage is indeterminate, so retries stay
-correct.
+The salt is a hash of the row's content, so a re-run task assigns every row
+the same salt whatever order it reads its input in (retries stay
+consistent). Identical copies share a salt: collapse copies first (callers
+that only count rows can pre-aggregate them map-side, as the item facts do).
 """
 
 from __future__ import annotations
@@ -58,9 +59,10 @@ def skew_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner",
     if how not in ("inner", "left"):
         raise ValueError("skew_join supports inner and left joins")
     hot = F.broadcast(hot_key_salts(many, key, support, partitions))
+    content = F.xxhash64(*[F.col(c) for c in many.columns], F.lit(seed))
     m = (many.join(hot, key, "left")
          .withColumn("_salt", F.when(F.col("_salts").isNotNull(),
-                                     F.floor(F.rand(seed) * F.col("_salts")).cast("int"))
+                                     F.pmod(content, F.col("_salts").cast("long")).cast("int"))
                      .otherwise(F.lit(0)))
          .drop("_salts"))
     o = (one.join(hot, key, "left")

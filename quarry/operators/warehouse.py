@@ -83,17 +83,18 @@ def fact_patient(visits: DataFrame, dim: DataFrame, visit_lab: DataFrame,
 
 
 def fact_lines(visits: DataFrame, dim: DataFrame, lines: DataFrame, item: str,
-               measure: str, preaggregate: bool = False, skew: str = "salt") -> DataFrame:
+               measure: str, preaggregate: bool = True, skew: str = "salt") -> DataFrame:
     """Grain provider x item x month for one line table:
     ``patient_count, visit_count, <measure>`` (row counts of lines whose
     visit has a patient / a date, and of lines).
 
-    Lines join their visit once (many to one on ``visit_id``); the counts
-    then aggregate partially before the exchange on the fact grain.
-    ``skew='salt'`` spreads visits that hold a large share of the lines over
-    all reducers (quarry.operators.joins); ``'aqe'`` leaves it to AQE's
-    skew-join split. ``preaggregate`` first collapses repeated
-    ``(visit_id, item)`` pairs, which pays off only when they repeat a lot.
+    Repeated ``(visit_id, item)`` lines are first counted map-side
+    (``preaggregate``), so copies collapse before anything shuffles; the
+    pairs then join their visit once (many to one on ``visit_id``) and the
+    counts aggregate partially before the exchange on the fact grain.
+    ``skew='salt'`` spreads visits that hold a large share of the pairs over
+    several reducers (quarry.operators.joins); ``'aqe'`` leaves it to AQE's
+    skew-join split.
     """
     it = lines.filter(F.col(item).isNotNull())
     if preaggregate:
