@@ -49,3 +49,11 @@ def test_quantile_window_is_partitioned(spark):
     plan = _plan(spark, "quartiles_exact")
     assert re.search(r"Exchange hashpartitioning\(variable#\d+, ", plan)
     assert "percentile(" not in plan.replace("percentile_approx", "")
+
+
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - FIT_QUERIES - {"missing_counts"}))
+def test_large_text_column_is_pruned(spark, name):
+    """documents.text (up to 20,000 words a row) is read only where needed."""
+    plan = _plan(spark, name)
+    for m in re.finditer(r"ReadSchema: (struct<[^>]*>)", plan):
+        assert "text:string" not in m.group(1) or "doc_id" not in m.group(1), name
