@@ -73,6 +73,9 @@ class ItemIndex:
                 self.hashes.append(hashes)
                 self.shingles.append(np.sort(_shingles(hashes)))
                 self.counts.append(Counter(self.shingles[-1].tolist()))
+        self.lengths = np.array([len(h) for h in self.hashes], np.int64)
+        self.marks = np.sort(np.concatenate([np.zeros(1, _U)] + [
+            s + A.mix(np.array([i], _U)) for i, s in enumerate(self.shingles)]))
         ladder = [1, 2, 3, 4, 5]
         while ladder[-1] < 127:
             ladder.append(min(127, max(ladder[-1] + 1, int(ladder[-1] * LADDER))))
@@ -129,8 +132,7 @@ class ItemIndex:
         sums = np.zeros((n + 1, 64), np.int8)
         np.cumsum(_bits(hashes), axis=0, dtype=np.int8, out=sums[1:])
         row_first, counts = words.row_first, np.diff(words.row_first)
-        best: dict[tuple[int, int], tuple[float, int]] = {}
-        tried = set()
+        found = []
         for length in self.classes:
             stride = max(1, length // STRIDE_SHARE)
             # starts 0, stride, 2 * stride, ... and the last possible one, row by row; a
@@ -143,18 +145,32 @@ class ItemIndex:
             start = row_first[rows] + np.minimum(step * stride, room[rows])
             span = np.minimum(length, counts[rows])
             window, item = self.candidates(length, simhash_windows(sums, start, span))
-            for w, i in zip(window.tolist(), item.tolist()):
-                row = int(rows[w])
-                place = (row, i, int(start[w]) // max(1, stride))
-                if place in tried:
-                    continue
-                tried.add(place)
-                similarity, at = self._verify(hashes, int(row_first[row]), int(row_first[row + 1]),
-                                              int(start[w]), i, stride)
-                if similarity >= THRESHOLD and similarity > best.get((row, i), (0.0, 0))[0]:
-                    best[row, i] = (similarity, at - int(row_first[row]))
+            found.append(np.stack([rows[window], item, start[window], np.full(len(window), stride)]))
+        rows, item, start, slack = np.concatenate(found, axis=1)
+        may = self._enough_in_common(hashes, row_first, rows, item, start, slack)
+        best: dict[tuple[int, int], tuple[float, int]] = {}
+        for row, i, at, stride in zip(*(x[may].tolist() for x in (rows, item, start, slack))):
+            similarity, at = self._verify(hashes, int(row_first[row]), int(row_first[row + 1]), at, i, stride)
+            if similarity >= THRESHOLD and similarity > best.get((row, i), (0.0, 0))[0]:
+                best[row, i] = (similarity, at - int(row_first[row]))
         return [(row, i, at, s) for (row, i), (s, at) in sorted(best.items())]
 
+    def _enough_in_common(self, hashes, row_first, rows, item, start, slack) -> np.ndarray:
+        """Candidates around which enough shingles of the item stand to reach the threshold
+        (all of them at once; items of fewer than five words pass)."""
+        if not len(rows) or len(hashes) < SHINGLE:
+            return np.ones(len(rows), bool)
+        grams = A.shingle_hashes(hashes, np.array([0, len(hashes)]), SHINGLE)[0]
+        lo = np.maximum(row_first[rows], start - slack)
+        hi = np.minimum(row_first[rows + 1], start + slack + self.lengths[item]) - SHINGLE + 1
+        n = np.maximum(np.minimum(hi, len(grams)) - lo, 0)
+        ends = np.cumsum(n)
+        at = np.repeat(lo - (ends - n), n) + np.arange(ends[-1])
+        mark = grams[at] + A.mix(item.astype(_U))[np.repeat(np.arange(len(item)), n)]
+        inside = self.marks[np.minimum(np.searchsorted(self.marks, mark), len(self.marks) - 1)] == mark
+        hits = np.diff(np.concatenate([[0], np.cumsum(inside)])[np.concatenate([[0], ends])])
+        return (hits >= THRESHOLD * (self.lengths[item] - SHINGLE + 1)) | (self.lengths[item] < SHINGLE)
+
     def _verify(self, hashes, lo, hi, start, item, slack) -> tuple[float, int]:
         """Similarity and first word of the best item-sized stretch that starts within
         ``slack`` words of ``start``, inside words lo..hi."""

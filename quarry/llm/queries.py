@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-
 from pyspark.sql import functions as F
 
-from quarry.llm import chat_format, cws, dac_codes, decontaminate, packing, parity_join, pii, substring_dedup
+from quarry.llm import (chat_format, cws, dac_codes, decontaminate, language_id, packing, parity_join, pii,
+                        quality_mil, substring_dedup)
 from quarry.llm.registry import query
 from quarry.llm.scratch import written
 from quarry.sources.tables import read_table
@@ -74,6 +74,15 @@ def op3_substring_dedup(spark, sf):
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op4_language_id")
+def op4_language_id(spark, sf):
+    """Language of every document, learned from those that are not held out."""
+    docs = read_table(spark, sf, "documents")
+    found = language_id.identify(docs, language_id.train(docs))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"),
+                        "lang_pred", "score", "cross_entropy", "rejected")
+
+
 @query("op5_chat_examples", r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -121,6 +130,15 @@ def op8_pseudonyms(spark, sf):
     return pii.pseudonyms(docs, count="n_replaced")
 
 
+@query("op9_quality")
+def op9_quality(spark, sf):
+    """Quality score of every document, learned from labels that are not held out."""
+    docs = read_table(spark, sf, "documents")
+    model = quality_mil.train(docs, read_table(spark, sf, "labels"))
+    return quality_mil.quality(docs, model).select(
+        "doc_id", quality_mil.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 @query("op10_token_codes")
 def op10_token_codes(spark, sf):
     """Documents stored as directly addressable codes, and read back from the files."""
