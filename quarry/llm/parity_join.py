@@ -234,6 +234,13 @@ def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame) -> DataFrame:
         both.filter(_reaches(shared, F.col("n"), F.col("m"))).select("a", "b"))
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose ends are not in one component."""
+    return (pairs.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+            .join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+            .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least doc_id reachable
     by links of Jaccard similarity 0.75 or more on distinct word 5-grams, itself included)
@@ -258,8 +265,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     order = (F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b"))
     stars = written(groups.select(*order).distinct(), "star-pairs")
     with_facts = facts.filter("doc_id IS NOT NULL")
-    links = written(verified(stars, with_facts, keyed), "star-links")
+    # each document with its least hub first; other hubs only where that leaves them apart
+    links = written(verified(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), with_facts, keyed),
+                    "star-links")
     found = written(components(links, "a", "b"), "star-components")
+    other = written(_apart(stars, found), "other-stars")
+    more = written(verified(other, with_facts, keyed), "other-links")
+    if more.limit(1).count():
+        links = links.union(more)
+        found = written(components(links, "a", "b"), "star-components")
 
     # groups that the stars leave in several components
     members = groups.select("signature", "doc_id").union(
