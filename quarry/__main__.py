@@ -94,13 +94,15 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(paths))
         if a.check:
             for name, df in run_checks(spark, src, paths).items():
-                print(f"-- {name}")
-                df.show(50, truncate=False)
+                out = f"{a.target_dir.rstrip('/')}/_findings/{name}"
+                df.write.mode("overwrite").parquet(out)
+                print(json.dumps({"check": name, "rows": spark.read.schema(df.schema).parquet(out).count(),
+                                  "findings": out}))
     elif a.job == "profile":
         from quarry.plans.profile_job import profile_table
         for name, frame in profile_table(_load(spark, a.input), a.key, a.label).items():
             print(f"-- {name}")
-            frame.show(100, truncate=False)
+            frame.show(frame.count(), truncate=False)  # one row per column or category
     elif a.job == "loan":
         from quarry.plans.loan_job import LoanRoles, run
         df = _load(spark, a.input)

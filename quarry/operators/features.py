@@ -81,14 +81,15 @@ def quartile_thresholds(df: DataFrame, col: str, relative_error: float = 0.0) ->
 
 def quartile_bins(df: DataFrame, col: str, out: str, thresholds: list[float] | None = None,
                   relative_error: float = 0.0) -> DataFrame:
-    """Right-closed quartile bins ``min-Q1, Q1-Q2, Q2-Q3, Q3-max``; values
-    above the max or null get null."""
+    """Right-closed quartile bins ``min-Q1, Q1-Q2, Q2-Q3, Q3-max``; null and NaN get null.
+    The last bin is open, so thresholds fitted on some rows place all others."""
     t = thresholds or quartile_thresholds(df, col, relative_error)
     x = F.col(col)
     expr = F.when(x <= t[0], QUARTILE_LABELS[0])
-    for lim, lab in zip(t[1:], QUARTILE_LABELS[1:]):
+    for lim, lab in zip(t[1:-1], QUARTILE_LABELS[1:-1]):
         expr = expr.when(x <= lim, lab)
-    return df.withColumn(out, expr.otherwise(F.lit(None).cast("string")))
+    last = F.when(x.isNotNull() & ~F.isnan(x.cast("double")), QUARTILE_LABELS[-1])
+    return df.withColumn(out, expr.otherwise(last))
 
 
 def zero_bin(df: DataFrame, col: str, out: str) -> DataFrame:

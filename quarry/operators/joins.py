@@ -1,73 +1,52 @@
 """A many-to-one equi-join that stays balanced when a few keys hold a large
 share of the many side.
 
-1. Heavy hitters of the many side come from Spark's ``freqItems`` aggregate:
-   every key holding at least ``support`` of the rows is reported (plus
-   possibly a few false positives), so there are at most ``1 / support``
-   candidates: a proven bound, broadcast safely.
-2. One aggregate over the key column counts the rows of each candidate and of
-   all other keys together. A hot key with ``n_k`` of ``N`` rows gets
-   ``ceil(n_k * P / N)`` salts (``P`` = target partitions), i.e. about one
-   partition's worth of rows per salt; the one side repeats that key's rows
-   once per salt, so it grows by at most ``P + 1 / support`` rows in total.
-3. The join runs on ``(key, salt)``: each hot key is spread over its salts,
-   every other key keeps salt 0 and shuffles as usual.
-
-The salt is a hash of the row's content, so a re-run task assigns every row
-the same salt whatever order it reads its input in (retries stay
-consistent). Identical copies share a salt: collapse copies first (callers
-that only count rows can pre-aggregate them map-side, as the item facts do).
+1. One count per key (partial counts first, so a hot key collapses map-side)
+   finds the keys with more rows than a partition's share ``N / P``; there are
+   fewer than ``P`` of them, whatever the data. Without any, it is a plain join.
+2. All other rows join as usual.
+3. Rows of hot keys are collapsed to distinct rows with a number of copies, and
+   joined on ``(key, salt)`` with ``ceil(n_k * P / N)`` salts, for which the one
+   side repeats that key's rows; copies are expanded after the join.
+
+The salt is a hash of the row's content, so a re-run task gives every row the
+same salt whatever order it reads its input in.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
-
+from pyspark.sql import DataFrame, functions as F
 
-def hot_keys(df: DataFrame, key: str, support: float = 1e-4) -> DataFrame:
-    """Keys that may hold at least ``support`` of the rows (at most
-    ``1 / support`` rows; null keys excluded)."""
-    items = df.select(key).stat.freqItems([key], support)
-    return (items.select(F.explode(F.col(f"{key}_freqItems")).alias(key))
-            .filter(F.col(key).isNotNull()).distinct())
 
-
-def hot_key_salts(df: DataFrame, key: str, support: float = 1e-4,
-                  partitions: int | None = None) -> DataFrame:
-    """``key, _salts`` for the hot keys: salts proportional to each key's
-    share of the rows (at least 2, at most ``partitions``)."""
+def hot_key_salts(df: DataFrame, key: str, partitions: int | None = None) -> list[tuple]:
+    """``(key, salts)`` of the keys with more than ``rows / partitions`` rows: fewer than
+    ``partitions`` pairs. Null keys are not hot (they join nothing)."""
     p = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(hot_keys(df, key, support).withColumn("_h", F.lit(True)))
-    flagged = df.select(key).join(hot, key, "left")
-    counts = (flagged.groupBy(F.when(F.col("_h"), F.col(key)).alias(key))
-              .agg(F.count(F.lit(1)).alias("_n")))
-    # counts has at most 1/support + 1 rows, so a frame-wide total is cheap.
-    total = F.sum("_n").over(Window.partitionBy())
-    salts = F.least(F.lit(p), F.greatest(F.lit(1), F.ceil(F.col("_n") * p / total)))
-    # A key with one salt is handled like any cold key, so only keys with at
-    # least two salts are kept (false positives of the sketch drop out here).
-    return (counts.select(key, salts.cast("int").alias("_salts"))
-            .filter(F.col(key).isNotNull() & (F.col("_salts") > 1)))
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("t")).select("t").scalar()
+    rows = (counts.filter(F.col(key).isNotNull() & (F.col("_n") * p > total))
+            .select(key, F.ceil(F.col("_n") * p / total).cast("int").alias("s")).collect())
+    return sorted((r[0], r[1]) for r in rows)
 
 
 def skew_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner",
-              support: float = 1e-4, partitions: int | None = None, seed: int = 17
-              ) -> DataFrame:
+              partitions: int | None = None, seed: int = 17) -> DataFrame:
     """``many JOIN one USING (key)`` (``how`` in inner / left), with hot keys
     of ``many`` salted in proportion to their share. ``one`` should have few
     rows per key (a key column)."""
     if how not in ("inner", "left"):
         raise ValueError("skew_join supports inner and left joins")
-    hot = F.broadcast(hot_key_salts(many, key, support, partitions))
-    content = F.xxhash64(*[F.col(c) for c in many.columns], F.lit(seed))
-    m = (many.join(hot, key, "left")
-         .withColumn("_salt", F.when(F.col("_salts").isNotNull(),
-                                     F.pmod(content, F.col("_salts").cast("long")).cast("int"))
-                     .otherwise(F.lit(0)))
-         .drop("_salts"))
-    o = (one.join(hot, key, "left")
-         .withColumn("_salt", F.explode(
-             F.when(F.col("_salts").isNotNull(), F.sequence(F.lit(0), F.col("_salts") - 1))
-             .otherwise(F.array(F.lit(0)))))
+    hot = hot_key_salts(many, key, partitions)
+    if not hot:
+        return many.join(one, key, how)
+    spark, cols = many.sparkSession, many.columns
+    salts = F.broadcast(spark.createDataFrame(hot, f"`{key}` {many.schema[key].dataType.simpleString()}, _salts int"))
+    cold = many.join(salts, key, "left_anti").join(one, key, how)
+    content = F.xxhash64(*[F.col(c) for c in cols], F.lit(seed))
+    m = (many.join(salts, key).groupBy(*cols, "_salts").agg(F.count(F.lit(1)).cast("int").alias("_copies"))
+         .withColumn("_salt", F.pmod(content, F.col("_salts").cast("long")).cast("int")).drop("_salts"))
+    o = (one.join(salts, key).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
          .drop("_salts"))
-    return m.join(o, [key, "_salt"], how).drop("_salt")
+    spread = (m.join(o, [key, "_salt"], how)
+              .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))))
+    return cold.unionByName(spread.select(*cold.columns))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quarry.functions.predicates import missing_counts_exprs
-from quarry.operators.quantiles import DEFAULT_ACCURACY, exact_quantiles, quantile_row
+from quarry.operators.quantiles import exact_quantiles, quantile_row
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -70,13 +70,20 @@ def missing_counts(df: DataFrame, exact: bool = False) -> DataFrame:
     return df.agg(*missing_counts_exprs(df, exact))
 
 
+def numeric(c: str) -> Column:
+    """A numeric column as double with NaN as missing. Spark orders NaN above every
+    number and lets it spread through sums; the profile treats it like null."""
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 # ---------------------------------------------------------------- moments
 def describe(df: DataFrame, cols: list[str], ndigits: int | None = 6) -> DataFrame:
     """``variable, count, mean, stddev, min, max`` (sample stddev)."""
     aggs = []
     for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.count(c).alias(f"{c}__count"), _r(F.avg(x), ndigits).alias(f"{c}__mean"),
+        x = numeric(c)
+        aggs += [F.count(x).alias(f"{c}__count"), _r(F.avg(x), ndigits).alias(f"{c}__mean"),
                  _r(F.stddev_samp(x), ndigits).alias(f"{c}__stddev"),
                  _r(F.min(x), ndigits).alias(f"{c}__min"), _r(F.max(x), ndigits).alias(f"{c}__max")]
     return _stack(df.agg(*aggs), cols, ["count", "mean", "stddev", "min", "max"])
@@ -94,8 +101,7 @@ def skew_kurtosis(df: DataFrame, cols: list[str], ndigits: int | None = 6) -> Da
 # ---------------------------------------------------------------- quantiles
 def quantiles(df: DataFrame, cols: list[str], probs=QUARTILES, interpolate: bool = True,
               relative_error: float = 0.0, ndigits: int | None = 6,
-              names: tuple[str, ...] = ("q1", "q2", "q3"),
-              accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+              names: tuple[str, ...] = ("q1", "q2", "q3")) -> DataFrame:
     """``variable, q1, q2, q3`` for many columns.
 
     ``interpolate=True``: linear interpolation between order statistics;
@@ -109,16 +115,15 @@ def quantiles(df: DataFrame, cols: list[str], probs=QUARTILES, interpolate: bool
         aggs = [_r(F.percentile_approx(F.col(c).cast("double"), p, acc), ndigits)
                 .alias(f"{c}__{n}") for c in cols for p, n in zip(probs, names)]
         return _stack(df.agg(*aggs), cols, list(names))
-    long = exact_quantiles(df, cols, probs, interpolate, accuracy=accuracy)
+    long = exact_quantiles(df, cols, probs, interpolate)
     row = quantile_row(long, cols, probs, names)
     row = row.select(*[_r(F.col(c), ndigits).alias(c) for c in row.columns])
     return _stack(row, cols, list(names))
 
 
-def iqr_bounds(df: DataFrame, cols: list[str], k: float = 1.5,
-               accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+def iqr_bounds(df: DataFrame, cols: list[str], k: float = 1.5) -> DataFrame:
     """One row: ``{c}__lo, {c}__hi`` = Q1 - k*IQR, Q3 + k*IQR (interpolated)."""
-    long = exact_quantiles(df, cols, (0.25, 0.75), True, accuracy=accuracy)
+    long = exact_quantiles(df, cols, (0.25, 0.75), True)
     row = quantile_row(long, cols, (0.25, 0.75), ("q1", "q3"))
     out = []
     for c in cols:
@@ -137,7 +142,7 @@ def iqr_outliers(df: DataFrame, cols: list[str], k: float = 1.5) -> DataFrame:
     bounds = b.select(F.struct(*b.columns).alias("b")).scalar()
     aggs = []
     for c in cols:
-        x = F.col(c).cast("double")
+        x = numeric(c)
         lo, hi = bounds[f"{c}__lo"], bounds[f"{c}__hi"]
         aggs += [F.count(F.when((x < lo) | (x > hi), 1)).alias(f"{c}__total_outliers"),
                  F.count(F.when(x < lo, 1)).alias(f"{c}__low_outliers"),
@@ -146,12 +151,12 @@ def iqr_outliers(df: DataFrame, cols: list[str], k: float = 1.5) -> DataFrame:
 
 
 def outlier_flags(df: DataFrame, cols: list[str], keep: list[str], k: float = 1.5) -> DataFrame:
-    """Per row 0/1 flags ``{c}_out, {c}_low, {c}_high`` (null compares false)."""
+    """Per row 0/1 flags ``{c}_out, {c}_low, {c}_high`` (null and NaN compare false)."""
     b = iqr_bounds(df, cols, k)
     bounds = b.select(F.struct(*b.columns).alias("b")).scalar()
     out = [F.col(c) for c in keep]
     for c in cols:
-        x = F.col(c).cast("double")
+        x = numeric(c)
         lo, hi = bounds[f"{c}__lo"], bounds[f"{c}__hi"]
         low = F.coalesce(x < lo, F.lit(False))
         high = F.coalesce(x > hi, F.lit(False))
@@ -167,7 +172,7 @@ def correlation_matrix(df: DataFrame, cols: list[str], ndigits: int | None = 6)
     aggs = []
     for i, a in enumerate(cols):
         for b in cols[i:]:
-            aggs.append(_r(F.corr(F.col(a).cast("double"), F.col(b).cast("double")), ndigits)
+            aggs.append(_r(F.corr(numeric(a), numeric(b)), ndigits)
                         .alias(f"{a}__{b}"))
     row = df.agg(*aggs)
     pairs = []
@@ -198,13 +203,12 @@ def class_counts(df: DataFrame, cols: list[str], label: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("count")))
 
 
-def five_number_by_class(df: DataFrame, col: str, label: str, ndigits: int | None = 6,
-                         accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+def five_number_by_class(df: DataFrame, col: str, label: str, ndigits: int | None = 6) -> DataFrame:
     """``label, min, q1, median, q3, max`` of ``col`` per label value: the
     order statistics at p = 0, .25, .5, .75, 1 from one exact-quantile job."""
     names = ("min", "q1", "median", "q3", "max")
     probs = (0.0,) + tuple(QUARTILES) + (1.0,)
-    long = exact_quantiles(df, [col], probs, True, by=[label], accuracy=accuracy)
+    long = exact_quantiles(df, [col], probs, True, by=[label])
     stats = long.groupBy(F.col(label).alias("_g")).agg(
         *[_r(F.max(F.when(F.col("p") == p, F.col("value"))), ndigits).alias(n)
           for p, n in zip(probs, names)])
@@ -216,16 +220,18 @@ def five_number_by_class(df: DataFrame, col: str, label: str, ndigits: int | Non
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     """Two-way contingency table, one row per ``a`` value and one column per
-    ``b`` value (Spark caps the distinct ``b`` values it will pivot)."""
-    return df.stat.crosstab(a, b)
+    ``b`` value (Spark caps the distinct ``b`` values it will pivot). Rows with a null on
+    either side are left out."""
+    return df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).stat.crosstab(a, b)
 
 
 def _wide_contingency(df: DataFrame, features: list[str], label: str):
     """Features unpivoted, counted per ``(variable, value)`` and pivoted on
     the label values (collected once; Spark checks their number against
-    ``spark.sql.pivotMaxValues``). Rows with a null label are left out.
+    ``spark.sql.pivotMaxValues``). Rows with a null label or feature value are left out,
+    as in :func:`crosstab`.
     Returns the wide frame and its label columns."""
-    u = unpivot_text(df.filter(F.col(label).isNotNull()), features, [label])
+    u = unpivot_text(df.filter(F.col(label).isNotNull()), features, [label]).filter("value IS NOT NULL")
     wide = u.groupBy("variable", "value").pivot(label).agg(F.count(F.lit(1))).na.fill(0)
     return wide, [c for c in wide.columns if c not in ("variable", "value")]
 
@@ -313,20 +319,30 @@ def _chi2_sf_udf():
             return float("nan")
         if x <= 0:
             return 1.0
-        h = x / 2.0
-        if k % 2 == 0:  # e^-h * sum_{i<k/2} h^i / i!
-            term, s = 1.0, 1.0
-            for i in range(1, k // 2):
+        # regularised incomplete gamma function, the large factor kept as a logarithm
+        a, h = k / 2.0, x / 2.0
+        log_front = a * math.log(h) - h - math.lgamma(a)
+        if h < a + 1.0:  # lower tail: h^a e^-h / Gamma(a) * sum h^i / (a (a+1) ... (a+i))
+            term = total = 1.0 / a
+            i = a
+            while term > total * 1e-17:
+                i += 1.0
                 term *= h / i
-                s += term
-            return min(1.0, math.exp(-h) * s)
-        # odd: erfc(sqrt(h)) + e^-h * sum_{i<(k-1)/2} h^(i+1/2) / Gamma(i+3/2)
-        term = math.sqrt(h) / math.gamma(1.5)
-        s = term if k > 1 else 0.0
-        for i in range(1, (k - 1) // 2):
-            term *= h / (i + 0.5)
-            s += term
-        return min(1.0, math.erfc(math.sqrt(h)) + math.exp(-h) * s)
+                total += term
+            return max(0.0, 1.0 - math.exp(log_front) * total)
+        # upper tail: a continued fraction, evaluated from the front
+        b = h + 1.0 - a
+        c, d = 1e300, 1.0 / b
+        f = d
+        for i in range(1, 100_000):
+            step = i * (a - i)
+            b += 2.0
+            d = 1.0 / (b + step * d)
+            c = b + step / c
+            f *= c * d
+            if abs(c * d - 1.0) < 1e-16:
+                break
+        return min(1.0, math.exp(log_front) * f)
 
     @F.pandas_udf(T.DoubleType())
     def chi2_upper(x: pd.Series, k: pd.Series) -> pd.Series:

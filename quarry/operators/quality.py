@@ -12,7 +12,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.functions.dates import in_month, month_start
-from quarry.operators.joins import skew_join
 from quarry.schemas import FOREIGN_KEYS, PRIMARY_KEYS, WAREHOUSE, not_null_columns
 
 
@@ -45,7 +44,7 @@ def source_measure(visits: DataFrame, lines: DataFrame | None, keys: list[str],
         # copies of a line are counted map-side first; counts are weighted by them
         pairs = (lines.filter(F.col(require_item).isNotNull())
                  .groupBy("visit_id", require_item).agg(F.count(F.lit(1)).alias("_n")))
-        j = skew_join(pairs, v, "visit_id", "inner")
+        j = pairs.join(v, "visit_id")
         present = F.col(counted).isNotNull() if counted != "visit_id" else F.lit(True)
         return j.groupBy(*keys, "month").agg(
             F.sum(F.when(present, F.col("_n")).otherwise(F.lit(0))).cast("long").alias("value"))
@@ -70,7 +69,7 @@ def month_slice_source(visits: DataFrame, lines: DataFrame, keys: list[str], cou
     range on the date, so it reaches the scan."""
     v = visits.filter(in_month("visit_date", year, month))
     if require_item:
-        j = skew_join(lines.filter(F.col(require_item).isNotNull()), v, "visit_id", "inner")
+        j = lines.filter(F.col(require_item).isNotNull()).join(v, "visit_id")
     else:
         j = v.join(lines, "visit_id", "left")
     return j.groupBy(*keys).agg(F.count(counted).alias(counted.split(".")[-1] + "_n"))

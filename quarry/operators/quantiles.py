@@ -1,27 +1,19 @@
 """Exact quantiles without gathering a column's distinct values in one task.
 
-Spark's exact ``percentile`` / ``percentile_disc`` merge one counter per
-distinct value into a single final task; for a continuous column at scale
-that is unbounded. Here the work stays distributed and bounded:
+1. Every (group, column, value) is counted, with map-side partial counts, so a
+   value or a group that holds a large share of the rows collapses before it
+   is shuffled.
+2. The counts are dealt by ranges of (group, column, value) and written to
+   the shared scratch folder; the ranges come from a sample, so they are
+   computed once. Each range is one partition, whatever the column's size.
+3. One total per (group, column, range) gives the rank at which each range
+   begins; a wanted rank falls in exactly one range.
+4. Only the ranges that hold a wanted rank are searched, each by a running
+   sum inside it.
 
-1. a GK sketch (``percentile_approx``, memory O(accuracy) per column) gives,
-   for each wanted quantile p, values at p - d and p + d (d = 3 / accuracy).
-   The sketch's rank error is at most n / accuracy, so the exact order
-   statistic lies between them;
-2. one aggregation pass counts, per (column, p), the rows below the bracket
-   and the rows per distinct value inside it (map-side partial aggregation);
-3. a window over only those candidates, partitioned by (column, p), finds the
-   value at the wanted rank. Candidates per partition: at most ~6n / accuracy.
-
-Sizing: the sketch holds O(accuracy) entries per column (and group); the
-candidate window for one (column, p) holds at most ~6n/accuracy distinct
-values, e.g. 6e7 values (about 1 GB sorted in one task) for n = 1e12 at the
-default accuracy. Raising ``accuracy`` trades sketch memory for a smaller
-window; a second sketch over the bracket would shrink it further at the cost
-of one more scan of the columns.
-
-Rank conventions: ``interpolate=True`` is linear interpolation between the
-order statistics around p*(n-1) (pandas' default, Spark ``percentile``);
+There is one path for every input size, and no task's input grows with the
+column. Rank conventions: ``interpolate=True`` is linear interpolation between
+the order statistics around p*(n-1) (pandas' default, Spark ``percentile``);
 ``False`` is the value at rank ceil(p*n) (a zero-error ``approxQuantile``,
 ``percentile_disc``). Nulls and NaN are skipped.
 """
@@ -30,74 +22,56 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-DEFAULT_ACCURACY = 100_000
+from quarry.session import scratch_path
+
+
+def _dealt_counts(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    """``g (struct of by and variable), x, c, part``: counts in range partitions."""
+    spark = df.sparkSession
+    counts = (df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
+              .unpivot(by, cols, "variable", "x")
+              .filter(F.col("x").isNotNull() & ~F.isnan("x"))
+              .groupBy(F.struct(*by, "variable").alias("g"), "x")
+              .agg(F.count(F.lit(1)).alias("c")))
+    path = scratch_path(spark, "quantile-counts")
+    dealt = counts.repartitionByRange("g", "x").withColumn("part", F.spark_partition_id())
+    dealt.write.parquet(path)
+    return spark.read.schema(dealt.schema).parquet(path)
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs, interpolate: bool = True,
-                    by: list[str] | tuple = (), accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                    by: list[str] | tuple = ()) -> DataFrame:
     """Long result: ``by..., variable, p, value`` (one row per group, column
-    and probability; groups with no values are absent)."""
+    and probability; groups with no values are absent, null is a group)."""
     by = list(by)
-    probs = [float(p) for p in probs]
-    d = 3.0 / accuracy
-    edges = sorted({min(1.0, max(0.0, p + s * d)) for p in probs for s in (-1.0, 1.0)})
-    long = (df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
-            .unpivot(by, cols, "variable", "x")
-            .filter(F.col("x").isNotNull() & ~F.isnan("x")))
-    stats = long.groupBy(*by, "variable").agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("x", edges, accuracy).alias("e"))
-    targets = F.array(*[F.struct(F.lit(p).alias("p"),
-                                 F.col("e")[edges.index(min(1.0, max(0.0, p - d)))].alias("lo"),
-                                 F.col("e")[edges.index(min(1.0, max(0.0, p + d)))].alias("hi"))
-                        for p in probs])
-    # With n >= accuracy the margin d*n = 3*eps*n exceeds the sketch's rank
-    # error eps*n by 2*eps*n >= 2 ranks on each side, so the bracket holds the
-    # wanted ranks. Smaller groups use no bracket: all their (< accuracy)
-    # values are candidates.
-    big = F.col("n") >= F.lit(accuracy)
-    t = stats.select(*by, "variable", "n", F.explode(targets).alias("t")).select(
-        *by, "variable", "n", "t.p", F.when(big, F.col("t.lo")).alias("lo"),
-        F.when(big, F.col("t.hi")).alias("hi"))
+    dealt = _dealt_counts(df, cols, by)
+    # one row per group and range it reaches into
+    parts = dealt.groupBy("g", "part").agg(F.sum("c").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("g").orderBy("part")) - F.col("size")
+    n = F.sum("size").over(Window.partitionBy("g"))
+    parts = parts.select("g", "part", "size", before.alias("before"), n.alias("n"))
+    p = F.col("p")
     if interpolate:
-        pos = F.col("p") * (F.col("n") - 1)
-        t = t.select(*by, "variable", "p", "lo", "hi", pos.alias("pos"),
-                     (F.floor(pos) + 1).alias("r1"), (F.ceil(pos) + 1).alias("r2"))
-    else:
-        r = F.greatest(F.lit(1), F.ceil(F.col("p") * F.col("n")))
-        t = t.select(*by, "variable", "p", "lo", "hi", F.lit(None).cast("double").alias("pos"),
-                     r.alias("r1"), r.alias("r2"))
-    # Without groups the target table has len(cols) * len(probs) rows: broadcast it.
-    if by:
-        tr = t.select(*[F.col(c).alias(f"_t_{c}") for c in by + ["variable"]],
-                      "p", "lo", "hi", "pos", "r1", "r2")
-        cond = [F.col(b).eqNullSafe(F.col(f"_t_{b}")) for b in by] + [
-            F.col("variable") == F.col("_t_variable")]
-        j = long.join(tr, cond).drop(*[f"_t_{c}" for c in by + ["variable"]])
+        at = p * (F.col("n") - 1)
+        ranks = F.array(F.floor(at) + 1, F.ceil(at) + 1)
+        share = at - F.floor(at)
     else:
-        j = long.join(F.broadcast(t), "variable")
-    j = j.filter(F.col("hi").isNull() | (F.col("x") <= F.col("hi")))
-    below = F.col("lo").isNotNull() & (F.col("x") < F.col("lo"))
-    key = F.when(~below, F.col("x"))  # null: below the bracket
-    cand = (j.groupBy(*by, "variable", "p", "pos", "r1", "r2", key.alias("key"))
-            .agg(F.count(F.lit(1)).alias("c")))
-    w = (Window.partitionBy(*by, "variable", "p").orderBy(F.asc_nulls_first("key"))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cum = cand.withColumn("cum", F.sum("c").over(w))
-    found = lambda r: F.min(F.when((F.col("cum") >= F.col(r)) & F.col("key").isNotNull(),
-                                   F.col("key")))
-    res = cum.groupBy(*by, "variable", "p").agg(
-        found("r1").alias("v1"), found("r2").alias("v2"), F.first("pos").alias("pos"),
-        F.first("r1").alias("r1"), F.first("r2").alias("r2"),
-        F.max(F.when(F.col("key").isNull(), F.col("cum"))).alias("below"))
-    lin = ((F.col("r2") - 1 - F.col("pos")) * F.col("v1")
-           + (F.col("pos") - (F.col("r1") - 1)) * F.col("v2"))
-    value = F.when(F.col("r1") == F.col("r2"), F.col("v1")).otherwise(lin)
-    # The sketch bound makes a miss impossible; should it happen, fail loudly.
-    missed = (F.col("v1").isNull() | F.col("v2").isNull()
-              | (F.coalesce(F.col("below"), F.lit(0)) >= F.col("r1")))
-    value = F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank"))
-                   .cast("double")).otherwise(value)
-    return res.select(*by, "variable", "p", value.alias("value"))
+        ranks = F.array(F.greatest(F.lit(1), F.ceil(p * F.col("n"))))
+        share = F.lit(0.0)
+    wanted = (parts.withColumn("p", F.explode(F.array(*[F.lit(float(q)) for q in probs])))
+              .select("g", "part", "size", "before", "p", share.alias("share"),
+                      F.posexplode(ranks).alias("side", "rank"))
+              .filter((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("size"))))
+    running = F.sum("c").over(Window.partitionBy("g", "part").orderBy("x"))
+    searched = dealt.join(wanted.select("g", "part").distinct(), ["g", "part"], "left_semi")
+    searched = searched.withColumn("upto", running)
+    found = (wanted.join(searched, ["g", "part"]).filter(F.col("before") + F.col("upto") >= F.col("rank"))
+             .groupBy("g", "p", "side").agg(F.min("x").alias("x"), F.first("share").alias("share")))
+    low, high = F.min("x"), F.max("x")
+    share = F.first("share")
+    value = F.when(low == high, low).otherwise((F.lit(1.0) - share) * low + share * high)
+    return found.groupBy("g", "p").agg(value.alias("value")).select(
+        *[F.col(f"g.{c}").alias(c) for c in by], F.col("g.variable").alias("variable"), "p", "value")
 
 
 def quantile_row(long: DataFrame, cols: list[str], probs, names) -> DataFrame:

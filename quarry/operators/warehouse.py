@@ -83,7 +83,7 @@ def fact_patient(visits: DataFrame, dim: DataFrame, visit_lab: DataFrame,
 
 
 def fact_lines(visits: DataFrame, dim: DataFrame, lines: DataFrame, item: str,
-               measure: str, preaggregate: bool = True, skew: str = "salt") -> DataFrame:
+               measure: str, preaggregate: bool = True, skew: str = "aqe") -> DataFrame:
     """Grain provider x item x month for one line table:
     ``patient_count, visit_count, <measure>`` (row counts of lines whose
     visit has a patient / a date, and of lines).
@@ -92,9 +92,9 @@ def fact_lines(visits: DataFrame, dim: DataFrame, lines: DataFrame, item: str,
     (``preaggregate``), so copies collapse before anything shuffles; the
     pairs then join their visit once (many to one on ``visit_id``) and the
     counts aggregate partially before the exchange on the fact grain.
-    ``skew='salt'`` spreads visits that hold a large share of the pairs over
-    several reducers (quarry.operators.joins); ``'aqe'`` leaves it to AQE's
-    skew-join split.
+    Visits that hold a large share of the pairs are left to AQE's skew-join
+    split; ``skew='salt'`` counts them first and salts them
+    (quarry.operators.joins), for sessions without AQE.
     """
     it = lines.filter(F.col(item).isNotNull())
     if preaggregate:

@@ -191,7 +191,21 @@ def stream_hour_counts(spark, sf):
     from quarry.streaming import hour_counts, run_available_now, stream_table
     t = Tables(spark, sf)
     s = stream_table(spark, f"{sf.rstrip('/')}/events*.parquet", t.events)
-    return run_available_now(spark, hour_counts(s, "ts", "1 hour"), "update", "hours")
+    return run_available_now(spark, hour_counts(s), "update", "hours")
+
+
+@query("stream_hour_counts_by_file", """
+SELECT date_trunc('hour', ts) AS window_start, count(*) AS count FROM events GROUP BY 1
+""")
+def stream_hour_counts_by_file(spark, sf):
+    """The same over files that come one by one and out of order."""
+    from quarry.session import scratch_path
+    from quarry.streaming import hour_counts, run_available_now, stream_table
+    events = Tables(spark, sf).events
+    folder = scratch_path(spark, "events-by-file")
+    events.repartition(4, "event_id").write.parquet(folder)
+    s = stream_table(spark, folder, events, max_files_per_trigger=1)
+    return run_available_now(spark, hour_counts(s), "update", "hours-by-file")
 
 
 @query("stream_log_frequency", """

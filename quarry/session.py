@@ -56,8 +56,8 @@ def tune(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when nothing is configured (local
-    runs and tests) is a private folder created and registered.
+    The cluster's setting always wins. Only a local session without one gets a private
+    folder; elsewhere executors would write to folders of their own, so it raises.
     """
     sc = spark.sparkContext
     root = sc.getCheckpointDir()
@@ -65,6 +65,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         root = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
             "spark.checkpoint.dir", None)
         if not root:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = tempfile.mkdtemp(prefix="quarry-ckpt-")
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir() or root

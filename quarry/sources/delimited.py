@@ -32,14 +32,10 @@ def read_weblog_tm(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv_inferred(spark: SparkSession, path: str,
-                      schema: T.StructType | None = None,
-                      sampling_ratio: float = 1.0) -> DataFrame:
-    """Header CSV. Without a schema the types are inferred from a pass over
-    the data (all of it by default, like the original job; ``sampling_ratio``
-    below 1 infers from a sample of rows, for large inputs). Pass ``schema``
-    to skip inference."""
+                      schema: T.StructType | None = None) -> DataFrame:
+    """Header CSV. Without a schema the types are inferred from all of the data, like
+    the original job; pass ``schema`` to skip that pass."""
     r = spark.read.option("header", "true")
     if schema is not None:
         return r.schema(schema).csv(path)
-    return (r.option("inferSchema", "true").option("samplingRatio", str(sampling_ratio))
-            .csv(path))
+    return r.option("inferSchema", "true").csv(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quarry.schemas import WAREHOUSE
 
@@ -10,8 +10,17 @@ from quarry.schemas import WAREHOUSE
 def store_delimited(df: DataFrame, path: str, sep: str = "\t", mode: str = "errorifexists",
                     header: bool = False) -> str:
     """Store a result as delimited part files; fails if ``path`` exists by
-    default, like the log jobs' store."""
+    default, like the log jobs' store. Nothing is quoted, as in those files: empty
+    strings are empty fields (read back as null), and a text that holds the
+    separator or a line feed ends the job with an error instead of shifting columns."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    for c in texts:
+        x = F.col(f"`{c}`")
+        split = F.contains(x, F.lit(sep)) | F.contains(x, F.lit("\n")) | F.contains(x, F.lit("\r"))
+        df = df.withColumn(c, F.when(split, F.raise_error(F.lit(f"separator in column {c}")).cast("string"))
+                           .otherwise(x))
     (df.write.mode(mode).option("sep", sep).option("quote", "").option("escape", "")
+       .option("emptyValue", "").option("nullValue", "")
        .option("header", str(header).lower()).csv(path))
     return path
 

@@ -11,7 +11,7 @@ def test_etl_command(spark, tmp_dir, capsys):
         src[n].write.parquet(f"{tmp_dir}/src/{n}")
     assert main(["--master", "local[2]", "etl", f"{tmp_dir}/src", f"{tmp_dir}/wh", "--check"]) == 0
     out = capsys.readouterr().out
-    assert "fact_lab" in out and "-- orphans" in out
+    assert "fact_lab" in out and '"check": "orphans"' in out
     assert spark.read.parquet(f"{tmp_dir}/wh/fact_patient").count() > 0
 
 

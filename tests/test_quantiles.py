@@ -25,13 +25,12 @@ def _disc(v, p):
     return s[max(1, math.ceil(p * len(s))) - 1]
 
 
-@pytest.mark.parametrize("accuracy", [50, 100_000])  # bracketed path and whole-group path
-def test_global_exact(data, accuracy):
+def test_global_exact(data):
     df, g, cont, ties = data
     ties_ok = np.array([t for i, t in enumerate(ties) if i % 97])
     for interp in (True, False):
         got = {(r.variable, r.p): r.value for r in
-               exact_quantiles(df, ["cont", "ties"], PROBS, interp, accuracy=accuracy).collect()}
+               exact_quantiles(df, ["cont", "ties"], PROBS, interp).collect()}
         for name, v in (("cont", cont), ("ties", ties_ok)):
             for p in PROBS:
                 want = np.quantile(v, p) if interp else _disc(v, p)
@@ -41,7 +40,7 @@ def test_global_exact(data, accuracy):
 def test_grouped_with_null_group(data):
     df, g, cont, _ = data
     got = {(r.gnull, r.p): r.value for r in
-           exact_quantiles(df, ["cont"], (0.25, 0.5), True, by=["gnull"], accuracy=50).collect()}
+           exact_quantiles(df, ["cont"], (0.25, 0.5), True, by=["gnull"]).collect()}
     idx = np.arange(len(g))
     for key in (0, 1, 2, None):
         mask = (idx % 131 == 0) if key is None else ((g == key) & (idx % 131 != 0))

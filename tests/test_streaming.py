@@ -50,9 +50,11 @@ def test_hour_counts_independent_of_session_zone(spark, tmp_dir):
     assert got == {(10, 0): 2, (11, 0): 1}
 
 
-def test_csv_sampled_inference(spark, tmp_dir):
-    from quarry.sources.delimited import read_csv_inferred
-    path = os.path.join(tmp_dir, "c")
-    spark.range(0, 500).selectExpr("id", "id * 0.5 AS x").write.option("header", "true").csv(path)
-    df = read_csv_inferred(spark, path, sampling_ratio=0.5)
-    assert [f.dataType.simpleString() for f in df.schema.fields] == ["int", "double"]
+def test_hours_of_late_files_are_counted(spark, tmp_dir):
+    for i, day in enumerate((20, 10, 1)):
+        spark.sql(f"SELECT id AS event_id, TIMESTAMP_NTZ '2024-01-{day:02d} 10:30:00' AS ts FROM range(5)").coalesce(1) \
+            .write.parquet(f"{tmp_dir}/d{i}")
+    like = spark.read.parquet(f"{tmp_dir}/d0")
+    s = stream_table(spark, f"{tmp_dir}/d*", like, max_files_per_trigger=1)
+    rows = run_available_now(spark, hour_counts(s), "update", "late", state=f"{tmp_dir}/state").collect()
+    assert sorted(r["count"] for r in rows) == [5, 5, 5]
