@@ -36,6 +36,8 @@ WORDS_PER_SHINGLE = 5
 THRESHOLD = Fraction(3, 4)
 FIRST_EDGE = 64
 SKETCH_BITS = 1024
+#: Words of a sketch folded in two (XOR of its halves), whose distance is a lower bound too.
+FOLDED = SKETCH_BITS // 128
 #: Frequent shingles kept for the order of blocks; any choice gives the same links.
 FREQUENT_SHINGLES = 1 << 16
 #: A shingle is frequent if it is in so large a share of the texts of some chunk.
@@ -204,12 +206,12 @@ def _facts_of(pairs: DataFrame, facts: DataFrame) -> DataFrame:
             .join(side.select(F.col("doc_id").alias("b"), F.col("f").alias("fb")), "b"))
 
 
-def _not_ruled_out():
-    """Sizes and parity sketches leave a link possible."""
+def _not_ruled_out(words: int = SKETCH_BITS // 64):
+    """Sizes and parity sketches (of so many words) leave a link possible."""
     small = F.least("fa.n_shingles", "fb.n_shingles")
     large = F.greatest("fa.n_shingles", "fb.n_shingles")
     apart = sum((F.bit_count(F.col("fa.sketch")[i].bitwiseXOR(F.col("fb.sketch")[i]))
-                 for i in range(SKETCH_BITS // 64)), F.lit(0))
+                 for i in range(words)), F.lit(0))
     t = THRESHOLD
     # |A ^ B| <= (|A| + |B|) (1 - t) / (1 + t)
     allowed = (F.col("fa.n_shingles") + F.col("fb.n_shingles")) * (t.denominator - t.numerator)
@@ -280,15 +282,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         groups.select("signature", F.col("hub").alias("doc_id"))).distinct()
     placed = written(members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "signature", "doc_id", F.coalesce("component", "doc_id").alias("component")), "signature-members")
-    mixed = (placed.groupBy("signature").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"),
-                                             F.max("component").alias("hi"))
-             .filter("size > 2 AND lo < hi").select("signature"))
-    undecided = written(placed.join(mixed, "signature", "left_semi").join(
-        with_facts.select("doc_id", F.struct("n_shingles", "set_sum", "set_xor", "sketch").alias("f")), "doc_id"),
-        "undecided")
-    left = undecided.select("signature", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("f").alias("fa"))
-    right = undecided.select("signature", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("f").alias("fb"))
-    rest = (left.join(right, "signature").filter("a < b AND ca <> cb").filter(_not_ruled_out())
+    # signatures held by the very same documents are one group
+    mixed = (placed.groupBy("signature").agg(
+        F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"),
+        F.bit_xor(F.xxhash64("doc_id")).alias("who"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("also"))
+        .filter("size > 2 AND lo < hi")
+        .groupBy("size", "who", "also").agg(F.min("signature").alias("signature")).select("signature"))
+    slim = with_facts.select("doc_id", F.col("n_shingles").alias("n"), F.array(*[
+        F.col("sketch")[i].bitwiseXOR(F.col("sketch")[i + FOLDED]) for i in range(FOLDED)]).alias("sketch"))
+    undecided = written(placed.join(mixed, "signature", "left_semi").join(slim, "doc_id"), "undecided")
+    left = undecided.select("signature", F.col("doc_id").alias("a"), F.col("component").alias("ca"),
+                            F.struct(F.col("n").alias("n_shingles"), "sketch").alias("fa"))
+    right = undecided.select("signature", F.col("doc_id").alias("b"), F.col("component").alias("cb"),
+                             F.struct(F.col("n").alias("n_shingles"), "sketch").alias("fb"))
+    rest = (left.join(right, "signature").filter("a < b AND ca <> cb").filter(_not_ruled_out(FOLDED))
             .select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
     more = written(verified(written(rest, "rest-pairs"), with_facts, keyed), "rest-links")
     if more.limit(1).count():
