@@ -277,13 +277,13 @@ def build(counts: dict[str, dict[str, int]]) -> Model:
     grams, contexts = [], [(np.zeros(0, _U), np.zeros((0, len(languages))))]
     for k in range(1, ORDER + 1):
         every = sorted({g for m in models for g in m.counts[k]})
-        rows = np.log(np.array([[m.probability(g, alphabet) for m in models] for g in every]).reshape(-1, len(languages)))
+        rows = np.log(np.array([[m.probability(g, alphabet) for m in models] for g in every]).reshape(len(every), len(languages)))
         h = _hash_of(every, k) if every else np.zeros(0, _U)
         order = np.argsort(h)
         grams.append((h[order], rows[order]))
         if k > 1:
             every = sorted({g for m in models for g in m.total[k]})
-            rows = np.log(np.array([[m.backoff(g) for m in models] for g in every]).reshape(-1, len(languages)))
+            rows = np.log(np.array([[m.backoff(g) for m in models] for g in every]).reshape(len(every), len(languages)))
             h = _hash_of(every, k - 1) if every else np.zeros(0, _U)
             order = np.argsort(h)
             contexts.append((h[order], rows[order]))
