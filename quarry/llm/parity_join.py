@@ -14,9 +14,12 @@ their symmetric difference is at most d = floor(n * (1 - t) / t) for either size
   last, so that passages shared by many documents seldom bring strangers together.
 * Documents with an equal block are compared with its first document (star). What a
   star leaves undecided, that is groups whose members are not all in one component,
-  is compared pair by pair, except where the Hamming distance of 1024-bit parity
-  sketches (a lower bound of the symmetric difference) already rules a link out.
-* Candidates are verified by exact intersection of shingle sets.
+  is compared pair by pair.
+* A candidate whose parity sketches have too large a Hamming distance (a lower bound of
+  the symmetric difference) is no link. Sketches hold two bits or more per shingle, so
+  that only pairs close to the threshold are left.
+* Those are verified by exact intersection of shingle sets. Which texts that takes is
+  told by a bitmap of their keys, so that no text is shuffled.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import arrays as A
@@ -35,9 +38,13 @@ from quarry.llm.scratch import written
 WORDS_PER_SHINGLE = 5
 THRESHOLD = Fraction(3, 4)
 FIRST_EDGE = 64
+#: Bits of the parity sketch of a small set; larger sets have a power of two, 2 to 4 a shingle.
 SKETCH_BITS = 1024
-#: Words of a sketch folded in two (XOR of its halves), whose distance is a lower bound too.
+#: Words of a sketch folded (XOR of its parts), whose distance is a lower bound too.
 FOLDED = SKETCH_BITS // 128
+#: Bits of the bitmap of keys whose sets are wanted: 8 MB. Where it fills up, more sets
+#: than wanted are built, and the joins drop them.
+KEY_BITS = 1 << 26
 #: Frequent shingles kept for the order of blocks; any choice gives the same links.
 FREQUENT_SHINGLES = 1 << 16
 #: A shingle is frequent if it is in so large a share of the texts of some chunk.
@@ -73,9 +80,10 @@ def shingle_sets(chunk: A.Chunk, k: int = WORDS_PER_SHINGLE) -> list[np.ndarray]
 
 
 def parity_sketch(shingles: np.ndarray) -> np.ndarray:
-    """SKETCH_BITS parities: every shingle flips one bit."""
-    place = (A.mix(shingles ^ _U(0x5851F42D4C957F2D)) % _U(SKETCH_BITS)).astype(np.int64)
-    parity = np.bincount(place, minlength=SKETCH_BITS).astype(np.uint8) & 1
+    """Parities, SKETCH_BITS or 2 to 4 a shingle: every shingle flips one bit."""
+    bits = max(SKETCH_BITS, 1 << (2 * len(shingles) - 1).bit_length()) if len(shingles) else SKETCH_BITS
+    place = (A.mix(shingles ^ _U(0x5851F42D4C957F2D)) & _U(bits - 1)).astype(np.int64)
+    parity = np.bincount(place, minlength=bits).astype(np.uint8) & 1
     return np.packbits(parity, bitorder="little").view("<i8")
 
 
@@ -121,7 +129,7 @@ def block_signatures(shingles: np.ndarray, frequent: np.ndarray, t: Fraction = T
 
 
 FACTS = ("doc_id bigint, n_shingles bigint, set_sum bigint, set_xor bigint, sketch array<bigint>, "
-         "frequent array<bigint>")
+         "folded array<bigint>, frequent array<bigint>")
 
 
 def document_facts(docs: DataFrame) -> DataFrame:
@@ -135,14 +143,16 @@ def document_facts(docs: DataFrame) -> DataFrame:
                 every, count = np.unique(np.concatenate(sets), return_counts=True)
                 often = every[count >= max(4, FREQUENT_SHARE * chunk.rows)].view(np.int64)
                 marked = [A.mix(s ^ _U(0x8EBC6AF09C88C6E3)) for s in sets]
+                sketches = [parity_sketch(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([
                     keys.slice(chunk.first_row, chunk.rows),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(np.array([m.sum(dtype=_U) for m in marked], _U).view(np.int64)),
                     pa.array(np.array([np.bitwise_xor.reduce(m) if len(m) else 0 for m in marked], _U).view(np.int64)),
-                    pa.array([parity_sketch(s) for s in sets], pa.list_(pa.int64())),
+                    pa.array(sketches, pa.list_(pa.int64())),
+                    pa.array([np.bitwise_xor.reduce(s.reshape(-1, FOLDED)) for s in sketches], pa.list_(pa.int64())),
                     pa.array([often] + [None] * (chunk.rows - 1), pa.list_(pa.int64())),
-                ], names=["doc_id", "n_shingles", "set_sum", "set_xor", "sketch", "frequent"])
+                ], names=["doc_id", "n_shingles", "set_sum", "set_xor", "sketch", "folded", "frequent"])
     return docs.mapInArrow(run, FACTS)
 
 
@@ -184,9 +194,32 @@ def signature_rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "signature bigint, doc_id bigint, lane bigint, hub bigint")
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
+def _key_places(keys: np.ndarray) -> np.ndarray:
+    return (A.mix(keys.view(_U)) & _U(KEY_BITS - 1)).astype(np.int64)
+
+
+def key_bitmap(keys: DataFrame) -> np.ndarray:
+    """One bit for every key (the only column, a bigint) at its place among KEY_BITS."""
+    def run(batches):
+        for batch in batches:
+            place = np.unique(_key_places(batch.column(0).to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([pa.array(place >> 6), pa.array(np.left_shift(1, place & 63))],
+                                             names=["word", "bits"])
+    words = keys.mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    found = words.toArrow()
+    bitmap = np.zeros(KEY_BITS // 64, np.int64)
+    bitmap[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return bitmap
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Shingle sets of the rows (key, body) whose keys are ``wanted``, and perhaps a few others."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(wanted))
+
     def run(batches):
         for batch in batches:
+            place = _key_places(batch.column(0).to_numpy(zero_copy_only=False))
+            batch = batch.filter(pa.array((bitmap.value[place >> 6] >> (place & 63)) & 1 == 1))
             keys = batch.column(0)
             for chunk in A.chunks(A.string_column(batch, "body")):
                 yield pa.RecordBatch.from_arrays([
@@ -206,12 +239,29 @@ def _facts_of(pairs: DataFrame, facts: DataFrame) -> DataFrame:
             .join(side.select(F.col("doc_id").alias("b"), F.col("f").alias("fb")), "b"))
 
 
-def _not_ruled_out(words: int = SKETCH_BITS // 64):
-    """Sizes and parity sketches (of so many words) leave a link possible."""
+def _as_long(sketch: Column, other: Column) -> Column:
+    """The sketch, folded once where the other one is shorter."""
+    n = F.size(other)
+    return F.when(F.size(sketch) > n, F.zip_with(
+        F.slice(sketch, F.lit(1), n), F.slice(sketch, n + 1, n), lambda x, y: x.bitwiseXOR(y))).otherwise(sketch)
+
+
+def _distance() -> Column:
+    """Hamming distance of two sketches; sizes that allow a link are at most one fold apart."""
+    a, b = F.col("fa.sketch"), F.col("fb.sketch")
+    return F.aggregate(F.zip_with(_as_long(a, b), _as_long(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+                       F.lit(0), lambda total, x: total + x)
+
+
+def _folded_distance() -> Column:
+    return sum((F.bit_count(F.col("fa.sketch")[i].bitwiseXOR(F.col("fb.sketch")[i]))
+                for i in range(FOLDED)), F.lit(0))
+
+
+def _not_ruled_out(apart: Column) -> Column:
+    """Sizes and the distance of the parity sketches leave a link possible."""
     small = F.least("fa.n_shingles", "fb.n_shingles")
     large = F.greatest("fa.n_shingles", "fb.n_shingles")
-    apart = sum((F.bit_count(F.col("fa.sketch")[i].bitwiseXOR(F.col("fb.sketch")[i]))
-                 for i in range(words)), F.lit(0))
     t = THRESHOLD
     # |A ^ B| <= (|A| + |B|) (1 - t) / (1 + t)
     allowed = (F.col("fa.n_shingles") + F.col("fb.n_shingles")) * (t.denominator - t.numerator)
@@ -222,13 +272,13 @@ def _not_ruled_out(words: int = SKETCH_BITS // 64):
 def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the distinct candidate ``pairs`` (a, b) that are links. Equal sets are
     links at once; texts are read again only for the others."""
-    known = written(_facts_of(pairs, facts).filter(_not_ruled_out()).select(
+    known = written(_facts_of(pairs, facts).filter(_not_ruled_out(_distance())).select(
         "a", "b", F.col("fa.n_shingles").alias("n"), F.col("fb.n_shingles").alias("m"),
         ((F.col("fa.n_shingles") == F.col("fb.n_shingles")) & (F.col("fa.set_sum") == F.col("fb.set_sum"))
          & (F.col("fa.set_xor") == F.col("fb.set_xor"))).alias("same")), "candidates")
     open_pairs = known.filter(~F.col("same"))
-    needed = open_pairs.select(F.col("a").alias("key")).union(open_pairs.select(F.col("b").alias("key"))).distinct()
-    sets = written(sets_of(docs.join(needed, "key", "left_semi").select("key", "body")), "shingle-sets")
+    ends = open_pairs.select("a").union(open_pairs.select("b"))
+    sets = written(sets_of(docs.select("key", "body"), ends), "shingle-sets")
     both = (open_pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b"))
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -288,14 +338,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         F.bit_xor(F.xxhash64("doc_id")).alias("who"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("also"))
         .filter("size > 2 AND lo < hi")
         .groupBy("size", "who", "also").agg(F.min("signature").alias("signature")).select("signature"))
-    slim = with_facts.select("doc_id", F.col("n_shingles").alias("n"), F.array(*[
-        F.col("sketch")[i].bitwiseXOR(F.col("sketch")[i + FOLDED]) for i in range(FOLDED)]).alias("sketch"))
+    slim = with_facts.select("doc_id", F.col("n_shingles").alias("n"), F.col("folded").alias("sketch"))
     undecided = written(placed.join(mixed, "signature", "left_semi").join(slim, "doc_id"), "undecided")
     left = undecided.select("signature", F.col("doc_id").alias("a"), F.col("component").alias("ca"),
                             F.struct(F.col("n").alias("n_shingles"), "sketch").alias("fa"))
     right = undecided.select("signature", F.col("doc_id").alias("b"), F.col("component").alias("cb"),
                              F.struct(F.col("n").alias("n_shingles"), "sketch").alias("fb"))
-    rest = (left.join(right, "signature").filter("a < b AND ca <> cb").filter(_not_ruled_out(FOLDED))
+    rest = (left.join(right, "signature").filter("a < b AND ca <> cb").filter(_not_ruled_out(_folded_distance()))
             .select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
     more = written(verified(written(rest, "rest-pairs"), with_facts, keyed), "rest-links")
     if more.limit(1).count():
