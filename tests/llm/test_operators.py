@@ -129,6 +129,23 @@ def test_sketch_distance_bounds_the_difference():
     assert 0 < apart <= 600
 
 
+def test_sketches_of_two_lengths_and_the_key_bitmap(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 1 << 62, 600, dtype=np.uint64)
+    y = np.concatenate([x[:480], rng.integers(0, 1 << 62, 20, dtype=np.uint64)])
+    a, b = parity_join.parity_sketch(x), parity_join.parity_sketch(y)
+    assert (len(a), len(b)) == (32, 16)
+    pairs = spark.createDataFrame([((a.tolist(),), (b.tolist(),)), ((b.tolist(),), (a.tolist(),))],
+                                  "fa struct<sketch array<bigint>>, fb struct<sketch array<bigint>>")
+    apart = [r.d for r in pairs.select(parity_join._distance().alias("d")).collect()]
+    assert apart[0] == apart[1] and 0 < apart[0] <= 140
+    keys = [-(1 << 63), -7, 0, 5, (1 << 63) - 1]
+    docs = spark.createDataFrame([(k, "a b c d e f") for k in [*keys, 6]], "key bigint, body string")
+    wanted = spark.createDataFrame([(k,) for k in keys], "k bigint")
+    assert {r.doc_id for r in parity_join.sets_of(docs, wanted).collect()} >= set(keys)
+    assert parity_join.sets_of(docs, wanted.limit(0)).count() == 0
+
+
 def test_repeated_windows_against_brute_force(docs, empty, rows):
     first = {}
     for k, s in rows:
