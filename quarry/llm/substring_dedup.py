@@ -178,6 +178,23 @@ def repeated_windows(rows: DataFrame, sketch, log2: int) -> DataFrame:
     return rows.mapInArrow(run, "window bigint, doc_id bigint")
 
 
+def later_windows(found: DataFrame) -> DataFrame:
+    """(doc_id, window) of the found windows that also start in a document with a smaller
+    key. A window found more often than a shuffle partition's share is hot: there are fewer
+    of those than partitions, so they are broadcast with their least key and their rows
+    are marked where they lie; only the rows of other windows are shuffled by window."""
+    partitions = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1, found.count() // partitions)
+    repeated = (found.groupBy("window")
+                .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+                .filter("first < last"))
+    hot = F.broadcast(repeated.filter(F.col("n") > share).select("window", "first"))
+    others = repeated.filter(F.col("n") <= share).select("window", "first")
+    pairs = found.join(hot, "window").unionByName(
+        found.join(hot, "window", "left_anti").join(others, "window"))
+    return pairs.filter("doc_id > first").select("doc_id", "window")
+
+
 def sketch_size(n_bytes: int) -> int:
     """log2 of the cells of a sketch row: about four cells for each expected anchor (a
     fifth of the words, of some six bytes), within bounds."""
@@ -200,10 +217,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     merged = written(merged_sketch(partition_sketches(keyed, log2), log2), "window-sketch")
     sketch = spark.sparkContext.broadcast(load_sketch(merged, log2))
     found = written(repeated_windows(keyed, sketch, log2), "window-candidates")
-    first = (found.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-             .filter("first < last").select("window", "first"))
-    marks = (found.join(first, "window").filter("doc_id > first").select("doc_id", "window")
-             .groupBy("doc_id").agg(F.collect_set("window").alias("windows")))  # of one document
+    marks = (later_windows(found).groupBy("doc_id")
+             .agg(F.collect_set("window").alias("windows")))  # of one document
     marked = rows.join(marks, rows.key == marks.doc_id, "left").select("key", "body", "windows")
 
     def run(batches):

@@ -338,3 +338,13 @@ def test_pipeline_stages(spark):
 def test_every_operator_is_registered():
     names = E.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+def test_hot_windows_are_marked_like_others(spark):
+    rows = [(7, d) for d in range(400)] + [(100 + d // 2, d) for d in range(800)] + [(9, 5)] * 300
+    found = spark.createDataFrame(rows, "window bigint, doc_id bigint")
+    least = {}
+    for w, d in rows:
+        least[w] = min(d, least.get(w, d))
+    got = [(r.doc_id, r.window) for r in substring_dedup.later_windows(found).collect()]
+    assert sorted(got) == sorted((d, w) for w, d in rows if d > least[w])
