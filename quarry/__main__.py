@@ -56,6 +56,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--check", action="store_true")
     p = sub.add_parser("loan")
     p.add_argument("input")
+    # Column names of the loan input.
     p.add_argument("--key", default="Loan_ID")
     p.add_argument("--label", default="Loan_Status")
     p.add_argument("--categorical", default="Gender,Married,Dependents,Education,"
@@ -65,6 +66,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--term-binned", default="Loan_Amount_Term")
     p.add_argument("--mode-imputed", default="Credit_History")
     p.add_argument("--top-k", type=int, default=5)
+    p.add_argument("--selector-features", default="", help="prepared columns the selector chooses from")
+    p.add_argument("--model-features", default="", help="prepared columns of the hand-picked model")
     p = sub.add_parser("profile")
     p.add_argument("input")
     p.add_argument("--key", default=None)
@@ -110,7 +113,8 @@ def main(argv: list[str] | None = None) -> int:
         roles = LoanRoles(key=a.key, label=a.label, categorical=split(a.categorical),
                           log_binned=split(a.log_binned), zero_binned=split(a.zero_binned),
                           term_binned=split(a.term_binned), mode_imputed=split(a.mode_imputed),
-                          top_k=a.top_k)
+                          top_k=a.top_k, selector_features=split(a.selector_features) or None,
+                          model_features=split(a.model_features) or None)
         res = run(df, roles)
         res["screening"].show(truncate=False)
         print(json.dumps({k: v for k, v in res.items() if k != "screening"}))

@@ -14,6 +14,8 @@ QUARTILE_LABELS = ("min-Q1", "Q1-Q2", "Q2-Q3", "Q3-max")
 ZERO_LABELS = ("0", ">0")
 TERM_THRESHOLD = 360
 TERM_LABELS = ("<360", "360", ">360")
+#: Labels a column may have before ``string_index`` refuses it (its model lists them all).
+MAX_LABELS = 100_000
 
 
 def derived_sum(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
@@ -107,21 +109,28 @@ def term_bin(df: DataFrame, col: str, out: str, threshold: float = TERM_THRESHOL
 
 
 def string_index(df: DataFrame, cols: list[str], out_cols: list[str] | None = None,
-                 handle_invalid: str = "keep", fit_on: DataFrame | None = None):
+                 handle_invalid: str = "keep", fit_on: DataFrame | None = None,
+                 max_labels: int = MAX_LABELS):
     """One multi-column ``StringIndexer`` fit (frequency descending, ties
     alphabetical; with ``keep`` a null or unseen value gets index = number of
-    labels). Returns ``(frame, model)``."""
+    labels). Returns ``(frame, model)``. The model holds every label in the driver,
+    so a column with (about, to 5%) more than ``max_labels`` of them raises first."""
     out_cols = out_cols or [f"{c}_idx" for c in cols]
+    about = (df if fit_on is None else fit_on).agg(
+        *[F.approx_count_distinct(c).alias(c) for c in cols]).first()
+    wide = {c: about[c] for c in cols if about[c] > max_labels}
+    if wide:
+        raise ValueError(f"too many labels to index (limit {max_labels}): {wide}")
     model = StringIndexer(inputCols=cols, outputCols=out_cols, handleInvalid=handle_invalid,
                           stringOrderType="frequencyDesc").fit(df if fit_on is None else fit_on)
     return model.transform(df), model
 
 
 def one_hot(df: DataFrame, cols: list[str], out_cols: list[str] | None = None,
-            drop_last: bool = True, handle_invalid: str = "error"):
+            drop_last: bool = True, handle_invalid: str = "error", fit_on: DataFrame | None = None):
     out_cols = out_cols or [f"{c}_vec" for c in cols]
     model = OneHotEncoder(inputCols=cols, outputCols=out_cols, dropLast=drop_last,
-                          handleInvalid=handle_invalid).fit(df)
+                          handleInvalid=handle_invalid).fit(df if fit_on is None else fit_on)
     return model.transform(df), model
 
 
@@ -129,11 +138,13 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep").transform(df)
 
 
-def chi_select(df: DataFrame, features: str, label: str, k: int, out: str = "selected"):
+def chi_select(df: DataFrame, features: str, label: str, k: int, out: str = "selected",
+               fit_on: DataFrame | None = None):
     """Keep the ``k`` categorical features most dependent on the categorical
-    label (chi-square). Returns ``(frame, selected feature indices)``."""
+    label (chi-square over ``fit_on``, by default ``df`` itself).
+    Returns ``(frame, selected feature indices)``."""
     sel = UnivariateFeatureSelector(featuresCol=features, outputCol=out, labelCol=label,
                                     selectionMode="numTopFeatures")
     sel.setFeatureType("categorical").setLabelType("categorical").setSelectionThreshold(k)
-    model = sel.fit(df)
+    model = sel.fit(df if fit_on is None else fit_on)
     return model.transform(df), list(model.selectedFeatures)

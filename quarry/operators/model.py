@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, functions as F
 
 def hash_split(df: DataFrame, key: str, train_percent: int = 70, seed: int = 42,
                flag: str = "is_train") -> DataFrame:
-    """Deterministic split by a hash of the key: the same row lands on the
-    same side whatever the partitioning or the executor that computes it
-    (a seeded ``randomSplit`` depends on the partition layout)."""
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100))
+    """Deterministic split by the MD5 of ``seed:key`` (its first 32 bits modulo 100): the
+    same row lands on the same side whatever the partitioning, the executor or the engine
+    that computes it (a seeded ``randomSplit`` depends on the partition layout). Rows
+    with a null key share one side."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 100
     return df.withColumn(flag, bucket < F.lit(train_percent))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quarry.functions.dates import in_month, month_start
 from quarry.schemas import FOREIGN_KEYS, PRIMARY_KEYS, WAREHOUSE, not_null_columns
@@ -159,3 +159,15 @@ def ambiguous_months(visits_by_month: DataFrame) -> DataFrame:
     """Visits that map to no month or to more than one: ``visit_id, months``."""
     return (visits_by_month.groupBy("visit_id").agg(F.count("date_id").alias("months"))
             .filter(F.col("months") != 1))
+
+
+def calendar_faults(dim: DataFrame) -> DataFrame:
+    """Calendar rows that are no whole month or not followed by the next one:
+    ``date_id, start_dt, fault`` (``start``, ``end``, ``repeated`` or ``gap``, the first
+    that holds). The window runs over the calendar alone, 12 rows a year."""
+    after = F.lead("start_dt").over(Window.orderBy("start_dt", "date_id"))
+    fault = (F.when(F.col("start_dt").isNull() | (F.col("start_dt") != F.trunc("start_dt", "MM")), "start")
+             .when(F.col("end_dt").isNull() | (F.col("end_dt") != F.last_day("start_dt")), "end")
+             .when(after == F.col("start_dt"), "repeated")
+             .when(after != F.add_months("start_dt", 1), "gap"))
+    return dim.select("date_id", "start_dt", fault.alias("fault")).filter("fault IS NOT NULL")

@@ -158,7 +158,11 @@ def q_chi_select(spark, sf):
     return d.select("doc_id", vector_to_array("selected").alias("selected"))
 
 
-@query("hash_split")
+@query("hash_split", LOAN + """
+SELECT doc_id, CAST('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 70
+       AS is_train
+FROM loan
+""")
 def q_hash_split(spark, sf):
     return md.hash_split(loan_table(Tables(spark, sf)).select("doc_id"), "doc_id")
 

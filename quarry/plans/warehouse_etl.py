@@ -39,11 +39,20 @@ def load(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
 
 def run_checks(spark: SparkSession, src: dict[str, DataFrame], paths: dict[str, str]
                ) -> dict[str, DataFrame]:
-    """Findings frames; empty frames / zero counts mean pass."""
+    """Findings frames over the written tables; empty frames / zero counts mean pass."""
     t = load(spark, paths)
     dim = t["dim_time"]
     keys_p = ["patient_id", "provider_id"]
-    return {
+    items = {}
+    kept = src["visit"].filter("provider_id IS NOT NULL AND visit_date IS NOT NULL")  # others are rejected
+    for name, (lines, item, measure) in wh.ITEM_FACTS.items():
+        keys = ["provider_id", item]
+        items[f"{name}_vs_source"] = dq.reconcile(
+            dq.source_measure(kept, src[lines], keys, item, item),
+            dq.fact_measure(t[name], dim, keys, measure), keys + ["month"]).filter("diff <> 0")
+    return items | {
+        "calendar": dq.calendar_faults(dim),
+        "not_null": dq.warehouse_not_null(t),
         "lab_count_vs_source": dq.reconcile(
             dq.source_measure(src["visit"], src["visit_lab"], keys_p, "lab_id"),
             dq.fact_measure(t["fact_patient"], dim, keys_p, "lab_count"),

@@ -84,3 +84,41 @@ def test_column_roles_and_random_split(spark):
     assert categorical_columns(df, ("key",)) == ["s"]
     a, b = md.random_split(spark.range(1000), (0.7, 0.3), seed=3)
     assert a.count() + b.count() == 1000 and a.join(b, "id").count() == 0
+
+
+def test_string_index_refuses_a_million_labels(spark):
+    import pytest
+    df = spark.range(1_000_000).select(F.col("id").cast("string").alias("s"))
+    with pytest.raises(ValueError, match="too many labels"):
+        fe.string_index(df, ["s"])
+
+
+def test_loan_job_imputes_the_term_before_binning(spark):
+    from quarry.plans import loan_job
+    rows = [(i, i % 2, "a" if i % 3 else "b", float(i + 1), float(i % 4), 360.0 if i % 5 else None)
+            for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, y int, c string, x double, z double, t double")
+    r = loan_job.LoanRoles(key="k", label="y", categorical=["c"], log_binned=["x"], zero_binned=["z"],
+                           term_binned=["t"], mode_imputed=["z"])
+    d, feats = loan_job.prepare(df, r)
+    assert {x.t_tcat for x in d.select("t_tcat").distinct().collect()} == {"360"}
+    assert "t_tcat_idx" in feats
+
+
+def test_loan_job_feature_roles_and_training_fits(spark):
+    import pytest
+    from quarry.plans import loan_job
+    from quarry.sources.standins import Tables, loan_table
+    df = loan_table(Tables(spark, "/root/testdata/sf0.001"))
+    _, feats = loan_job.prepare(df, loan_job.LoanRoles())
+    roles = loan_job.LoanRoles(fit_on_train=True, top_k=1, selector_features=feats[:3], model_features=feats[1:3])
+    base = loan_job.run(df, roles)
+    assert len(base["selected"]) == 1 and base["selected"][0] in feats[:3]
+    # other values in test rows leave what was fitted on the training rows alone
+    split = md.hash_split(df, "doc_id")
+    other = split.withColumn("lang", F.when(F.col("is_train"), F.col("lang")).otherwise(F.lit("new"))).drop("is_train")
+    moved = loan_job.run(other, roles)
+    assert moved["selected"] == base["selected"]
+    assert sorted(map(tuple, moved["screening"].collect())) == sorted(map(tuple, base["screening"].collect()))
+    with pytest.raises(ValueError, match="model_features"):
+        loan_job.run(df, loan_job.LoanRoles(model_features=["nope"]))

@@ -104,6 +104,15 @@ def test_etl_then_checks_pass(spark, tmp_dir):
     assert all(r.orphan_rows == 0 for r in checks["orphans"].collect())
     assert all(r.duplicate_keys == 0 for r in checks["duplicates"].collect())
     assert checks["ambiguous_months"].count() == 0
+    assert checks["calendar"].count() == 0
+    assert all(r.null_rows == 0 for r in checks["not_null"].collect())
+    for name in ("fact_lab", "fact_procedure", "fact_diagnosis"):
+        assert checks[f"{name}_vs_source"].count() == 0
+    lab = spark.read.parquet(paths["fact_lab"])
+    lab.withColumn("lab_count", F.when(F.col("lab_id") % 5 == 0, F.col("lab_count") + 1)
+                   .otherwise(F.col("lab_count"))).write.parquet(tmp_dir + "/bad_lab")
+    bad = run_checks(spark, src, {**paths, "fact_lab": tmp_dir + "/bad_lab"})
+    assert bad["fact_lab_vs_source"].count() == lab.filter("lab_id % 5 = 0").count() > 0
 
 
 def test_web_log_jobs(spark, tmp_dir):
