@@ -5,8 +5,8 @@ so equal windows have equal anchors and neighbouring windows mostly share one. E
 task sketches the anchors of its rows (two hash rows, saturating at two), the
 partition sketches are merged shard by shard, and the merged sketch overestimates in
 how many places a window starts: a window whose anchor is counted once is unique.
-A second pass groups the other windows exactly by their word sequence; none that
-repeats is lost. The sketch grows with the input up to MAX_CELLS; beyond, more
+A second pass groups the other windows by a 64-bit hash of their word sequence; none
+that repeats is lost, and two different sequences meet with odds of 2**-64 a pair. The sketch grows with the input up to MAX_CELLS; beyond, more
 windows reach the exact pass and the result stays the same.
 """
 
@@ -171,9 +171,14 @@ def repeated_windows(rows: DataFrame, sketch, log2: int) -> DataFrame:
                     byte = bits[(cell >> _U(3)).astype(np.int64)]
                     passes &= ((byte >> (cell & _U(7)).astype(np.uint8)) & 1).astype(bool)
                 taken = np.repeat(passes, np.diff(np.append(at, len(anchors))))
-                row_of = A.row_ids(first)[taken]
+                row_of, found = A.row_ids(first)[taken], windows[taken]
+                order = np.lexsort((found, row_of))
+                row_of, found = row_of[order], found[order]
+                new = np.ones(len(found), bool)  # not the window before it in the same document
+                new[1:] = (found[1:] != found[:-1]) | (row_of[1:] != row_of[:-1])
+                row_of, found = row_of[new], found[new]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(windows[taken].view(np.int64)), pa.array(keys[chunk.first_row + row_of], pa.int64())],
+                    [pa.array(found.view(np.int64)), pa.array(keys[chunk.first_row + row_of], pa.int64())],
                     names=["window", "doc_id"])
     return rows.mapInArrow(run, "window bigint, doc_id bigint")
 
@@ -185,9 +190,8 @@ def later_windows(found: DataFrame) -> DataFrame:
     are marked where they lie; only the rows of other windows are shuffled by window."""
     partitions = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = max(1, found.count() // partitions)
-    repeated = (found.groupBy("window")
-                .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
-                .filter("first < last"))
+    repeated = (found.groupBy("window").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+                .filter("n > 1"))
     hot = F.broadcast(repeated.filter(F.col("n") > share).select("window", "first"))
     others = repeated.filter(F.col("n") <= share).select("window", "first")
     pairs = found.join(hot, "window").unionByName(
