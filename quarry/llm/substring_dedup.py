@@ -191,7 +191,7 @@ def later_windows(found: DataFrame) -> DataFrame:
     partitions = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = max(1, found.count() // partitions)
     repeated = (found.groupBy("window").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-                .filter("n > 1"))
+                .filter("n > 1 AND first IS NOT NULL"))  # all uses read both columns: one shared exchange
     hot = F.broadcast(repeated.filter(F.col("n") > share).select("window", "first"))
     others = repeated.filter(F.col("n") <= share).select("window", "first")
     pairs = found.join(hot, "window").unionByName(
