@@ -5,9 +5,13 @@ fills). Every document is fingerprinted at these lengths: a 64-bit SimHash of th
 of each window, from running sums of the words' hash bits, at starts a fraction of the
 window apart. Item fingerprints are indexed by four 16-bit blocks with all block values
 within a quarter of the radius, so any fingerprint within the radius agrees with some
-table entry. Windows that do are verified: around the window the best item-sized
-stretch is sought, and its 5-word shingles, weighted by their counts, are compared with
-the item's by generalised Jaccard similarity.
+table entry. A fingerprint within the radius is likely, not certain, for a similar
+stretch, so each item is indexed by shingles too: a stretch that reaches the threshold
+shares at least that part of the item's shingles, hence one of any set that holds more
+than the rest; the item's rarest such set is looked up at every word. Windows and shingles
+found are verified: around them the best item-sized stretch is sought, and its 5-word
+shingles, weighted by their counts, are compared with the item's by generalised Jaccard
+similarity.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ LADDER = 1.15
 #: Starts of windows are at most this share of their length apart.
 STRIDE_SHARE = 8
 BLOCKS, BLOCK_BITS = 4, 16
+LEAD_BITS = 20
 #: The benchmark is a query set sent to every task; larger ones are refused.
 MAX_ITEMS = 100_000
 MAX_ITEM_BYTES = 256 << 20
@@ -42,9 +47,20 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
             .astype(np.int8) * 2 - 1)
 
 
+def _sum_type(longest: int):
+    """The smallest integers whose differences are exact for windows of so many words."""
+    return next(t for t in (np.int8, np.int16, np.int32) if longest <= np.iinfo(t).max)
+
+
+def _running(hashes: np.ndarray, kind) -> np.ndarray:
+    sums = np.zeros((len(hashes) + 1, 64), kind)
+    np.cumsum(_bits(hashes), axis=0, dtype=kind, out=sums[1:])
+    return sums
+
+
 def simhash_windows(sums: np.ndarray, start: np.ndarray, length) -> np.ndarray:
-    """SimHashes of the windows from running sums of :func:`_bits` (modulo 256, which is
-    exact for windows of up to 127 words)."""
+    """SimHashes of the windows from running sums of :func:`_bits` (modulo the range of
+    their type, which is exact for the windows that :func:`_sum_type` names it for)."""
     positive = (sums[start + length] - sums[start]) > 0
     return np.packbits(positive, axis=1, bitorder="little").view("<u8").ravel()
 
@@ -77,8 +93,8 @@ class ItemIndex:
         self.marks = np.sort(np.concatenate([np.zeros(1, _U)] + [
             s + A.mix(np.array([i], _U)) for i, s in enumerate(self.shingles)]))
         ladder = [1, 2, 3, 4, 5]
-        while ladder[-1] < 127:
-            ladder.append(min(127, max(ladder[-1] + 1, int(ladder[-1] * LADDER))))
+        while ladder[-1] < self.lengths.max(initial=0):
+            ladder.append(max(ladder[-1] + 1, int(ladder[-1] * LADDER)))
         self.classes: dict[int, tuple] = {}
         by_length: dict[int, list[int]] = {}
         for i, h in enumerate(self.hashes):
@@ -90,8 +106,7 @@ class ItemIndex:
         for length, members in by_length.items():
             prints = []
             for i in members:
-                sums = np.zeros((length + 1, 64), np.int8)
-                np.cumsum(_bits(self.hashes[i][:length]), axis=0, dtype=np.int8, out=sums[1:])
+                sums = _running(self.hashes[i][:length], _sum_type(length))
                 prints.append(simhash_windows(sums, np.zeros(1, np.int64), length)[0])
             prints = np.array(prints, _U)
             tables = []
@@ -102,6 +117,47 @@ class ItemIndex:
                 order = np.argsort(value, kind="stable")
                 tables.append((np.searchsorted(value[order], np.arange(65537)), owner[order]))
             self.classes[length] = (np.array(members), prints, tables)
+        self._index_shingles()
+
+    def _index_shingles(self) -> None:
+        """Of each item the shingles that fewest items hold, more than a share of
+        1 - THRESHOLD with their counts (items of fewer than five words have windows of
+        exactly their length)."""
+        holders = Counter(g for c in self.counts for g in c)
+        rare, owner = [], []
+        for i, counts in enumerate(self.counts):
+            if self.lengths[i] < SHINGLE:
+                continue
+            left = (1 - THRESHOLD) * len(self.shingles[i])
+            for g in sorted(counts, key=lambda g: (holders[g], g)):
+                if left < 0:
+                    break
+                rare.append(g)
+                owner.append(i)
+                left -= counts[g]
+        rare, owner = np.array(rare, _U), np.array(owner, np.int64)
+        order = np.argsort(rare, kind="stable")
+        self.rare, self.rare_owner = rare[order], owner[order]
+        #: Which leading bits of a shingle's hash occur: most words are ruled out by them.
+        self.rare_lead = np.zeros(1 << LEAD_BITS, bool)
+        self.rare_lead[self.rare >> _U(64 - LEAD_BITS)] = True
+
+    def shingle_candidates(self, grams: np.ndarray, row_first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, item, start, slack) of all stretches that hold an indexed shingle."""
+        at = np.flatnonzero(self.rare_lead[grams >> _U(64 - LEAD_BITS)])
+        first = np.searchsorted(self.rare, grams[at], side="left")
+        n = np.searchsorted(self.rare, grams[at], side="right") - first
+        at, first, n = at[n > 0], first[n > 0], n[n > 0]
+        item = self.rare_owner[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        at = np.repeat(at, n)
+        row = np.searchsorted(row_first, at, side="right") - 1
+        inside = at + SHINGLE <= row_first[row + 1]
+        at, row, item = at[inside], row[inside], item[inside]
+        # one candidate for all shingles of an item's length of words
+        length = self.lengths[item]
+        start = row_first[row] + (at - row_first[row]) // length * length
+        row, item, start = np.unique(np.stack([row, item, start]), axis=1)
+        return row, item, start, self.lengths[item]
 
     def candidates(self, length: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs whose fingerprints are within the radius."""
@@ -129,8 +185,7 @@ class ItemIndex:
         n = len(hashes)
         if not n or not self.classes:
             return []
-        sums = np.zeros((n + 1, 64), np.int8)
-        np.cumsum(_bits(hashes), axis=0, dtype=np.int8, out=sums[1:])
+        sums = _running(hashes, _sum_type(max(self.classes)))
         row_first, counts = words.row_first, np.diff(words.row_first)
         found = []
         for length in self.classes:
@@ -146,8 +201,11 @@ class ItemIndex:
             span = np.minimum(length, counts[rows])
             window, item = self.candidates(length, simhash_windows(sums, start, span))
             found.append(np.stack([rows[window], item, start[window], np.full(len(window), stride)]))
+        grams = (A.shingle_hashes(hashes, np.array([0, n]), SHINGLE)[0] if n >= SHINGLE
+                 else np.zeros(0, _U))
+        found.append(np.stack(self.shingle_candidates(grams, row_first)))
         rows, item, start, slack = np.concatenate(found, axis=1)
-        may = self._enough_in_common(hashes, row_first, rows, item, start, slack)
+        may = self._enough_in_common(grams, row_first, rows, item, start, slack)
         best: dict[tuple[int, int], tuple[float, int]] = {}
         for row, i, at, stride in zip(*(x[may].tolist() for x in (rows, item, start, slack))):
             similarity, at = self._verify(hashes, int(row_first[row]), int(row_first[row + 1]), at, i, stride)
@@ -155,12 +213,11 @@ class ItemIndex:
                 best[row, i] = (similarity, at - int(row_first[row]))
         return [(row, i, at, s) for (row, i), (s, at) in sorted(best.items())]
 
-    def _enough_in_common(self, hashes, row_first, rows, item, start, slack) -> np.ndarray:
+    def _enough_in_common(self, grams, row_first, rows, item, start, slack) -> np.ndarray:
         """Candidates around which enough shingles of the item stand to reach the threshold
         (all of them at once; items of fewer than five words pass)."""
-        if not len(rows) or len(hashes) < SHINGLE:
+        if not len(rows) or not len(grams):
             return np.ones(len(rows), bool)
-        grams = A.shingle_hashes(hashes, np.array([0, len(hashes)]), SHINGLE)[0]
         lo = np.maximum(row_first[rows], start - slack)
         hi = np.minimum(row_first[rows + 1], start + slack + self.lengths[item]) - SHINGLE + 1
         n = np.maximum(np.minimum(hi, len(grams)) - lo, 0)
@@ -185,13 +242,32 @@ class ItemIndex:
         size = min(n - k + 1, len(grams))
         running = np.concatenate([[0], np.cumsum(inside)])
         hits = running[size:] - running[:-size]
-        at = int(np.argmax(hits))
-        if hits[at] < THRESHOLD * len(own):
+        if hits.max() < THRESHOLD * len(own):
             return 0.0, start
-        counts, mine = self.counts[item], Counter(grams[at:at + size].tolist())
-        low = sum(min(c, mine[g]) for g, c in counts.items())
+        shared = grams[inside]
+        if len(np.unique(shared)) < len(shared):  # a repeated one counts as often as in the item
+            hits = self._in_common(grams, inside, size, self.counts[item])
+        at = int(np.argmax(hits))
+        low = int(hits[at])
         return low / (len(own) + size - low), a + at
 
+    @staticmethod
+    def _in_common(grams, inside, size, counts) -> np.ndarray:
+        """Shingles in common with the item, with counts, of every stretch of that size."""
+        mine, low, out = Counter(), 0, []
+        grams, inside = grams.tolist(), inside.tolist()
+        for i, g in enumerate(grams):
+            if inside[i]:
+                mine[g] += 1
+                low += mine[g] <= counts[g]
+            if i >= size and inside[i - size]:
+                gone = grams[i - size]
+                low -= mine[gone] <= counts[gone]
+                mine[gone] -= 1
+            if i >= size - 1:
+                out.append(low)
+        return np.array(out)
+
 
 def item_index(items: DataFrame, key: str = "item_id", text: str = "text") -> ItemIndex:
     """The index of a benchmark table, whose size is checked before it is fetched."""

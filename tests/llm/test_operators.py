@@ -348,3 +348,30 @@ def test_hot_windows_are_marked_like_others(spark):
         least[w] = min(d, least.get(w, d))
     got = [(r.doc_id, r.window) for r in substring_dedup.later_windows(found).collect()]
     assert sorted(got) == sorted((d, w) for w, d in rows if d > least[w])
+
+
+def test_long_items_with_an_edited_run_are_found():
+    """Against brute force: one run of words of an item replaced, as long as 0.75 allows."""
+    rng = random.Random(11)
+    item_words = {n: text(1000 + n, n).split() for n in (60, 127, 128, 200, 300, 400, 500)}
+    index = decontaminate.ItemIndex([(n, " ".join(w)) for n, w in item_words.items()])
+    missed = []
+    for n, w in item_words.items():
+        grams = lambda x: Counter(tuple(x[i:i + 5]) for i in range(len(x) - 4))
+        for trial in range(20):
+            run = n // 7 - 6
+            at = 0 if trial % 2 else rng.randrange(n - run + 1)
+            edited = w[:at] + [f"new{rng.randint(0, 10 ** 6)}" for _ in range(run)] + w[at + run:]
+            a, b = grams(w), grams(edited)
+            similarity = sum((a & b).values()) / sum((a | b).values())
+            assert similarity >= 0.75
+            body = " ".join(text(rng.random(), rng.randint(0, 300)).split() + edited + text(rng.random(), 200).split())
+            raw = np.frombuffer(body.encode(), np.uint8)
+            got = {index.ids[i]: s for _, i, _, s in index.matches(decontaminate.A.Chunk(0, raw, np.array([0, len(raw)])))}
+            if set(got) != {n} or got[n] < similarity - 1e-9:
+                missed.append((n, at, got))
+    assert not missed
+    item, body = "a b c d e a b c d e f g", "x a b c d e a b c d e a b c d e a b c d e f g"
+    index = decontaminate.ItemIndex([(1, item)])
+    raw = np.frombuffer(body.encode(), np.uint8)
+    assert index.matches(decontaminate.A.Chunk(0, raw, np.array([0, len(raw)]))) == [(0, 0, 11, 1.0)]
