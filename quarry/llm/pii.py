@@ -6,6 +6,12 @@ are replaced by others of the same format: the value's index in its format's dom
 through a keyed Feistel permutation. Equal values get equal pseudonyms in every
 document, different ones differ, and who has the key can go back. Punctuation, letter
 case, country codes and check digits' validity stay.
+
+Formats are sought one after the other, each where the ones before left the text. Where
+digit groups stand side by side, every span of them that has a card's length is tried:
+usual layouts first, then, after the other formats, any span, longest first. A pseudonym
+beside other digits can by chance (one in ten for each overlapping span) make a likelier
+span valid; then going back reads that one.
 """
 
 from __future__ import annotations
@@ -13,6 +19,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+from bisect import bisect_left, insort
 from functools import lru_cache
 
 import pyarrow as pa
@@ -139,11 +146,13 @@ def _iban_check(country: str, body: str) -> int:
 
 
 def _iban(s, key, back):
-    country, check, body = s[:2], s[2:4], s[4:]
-    if _iban_check(country, body) != int(check):
+    plain = s.replace(" ", "")
+    country, check, body = plain[:2], plain[2:4], plain[4:]
+    if not 11 <= len(body) <= 30 or _iban_check(country, body) != int(check):
         return None
     body = _by_class(body, key, "iban", back)
-    return f"{country}{_iban_check(country, body):02d}{body}"
+    it = iter(f"{country}{_iban_check(country, body):02d}{body}")
+    return "".join(c if c == " " else next(it) for c in s)
 
 
 def _hex(s, key, back):
@@ -194,33 +203,92 @@ def _days(order: str, sep: str) -> "_Days":
 # fixed values: the formats
 _KINDS = [
     ("mail", r"(?<![\w.+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _mail),
-    ("iban", r"(?<!\w)[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?!\w)", _iban),
+    ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}(?!\w)){2,7}(?: [A-Z0-9]{1,4})?)(?!\w)", _iban),
     ("date", r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d)", _date),
     ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", _address),
     ("social", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _social),
-    ("card", r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])", _card),
+    ("card", r"(?<![\w.-])\d+(?!\w)(?:[ -]\d+(?!\w))*", _card),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?![\w])"
               r"|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?![\w])"
               r"|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])", _phone),
+    ("other card", r"(?<![\w.-])\d+(?!\w)(?:[ -]\d+(?!\w))*", _card),
     ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])", _hex),
 ]
-_ANY = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern, _ in _KINDS))
-_MAKE = {name: make for name, _, make in _KINDS}
+_FORMATS = [(name, re.compile(pattern), make) for name, pattern, make in _KINDS]
+#: How cards are printed, besides in one group.
+_LAYOUTS = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3))
+_GROUP = re.compile(r"\d+")
+#: Characters of an IBAN by country: the likeliest end where groups follow.
+_IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 ES24 FI18 FO18 FR27 "
+    "GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IS26 IT27 KW30 KZ20 LB28 LI21 LT20 LU20 LV21 MC27 MD24 ME22 "
+    "MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SE24 SI19 SK24 SM27 TN24 TR26 VG24 XK20").split()}
+
+
+def _card_spans(text: str, start: int, end: int, usual: bool) -> list[tuple[int, int]]:
+    """Spans of 13 to 19 digits between borders of the run's digit groups."""
+    groups = [m.span() for m in _GROUP.finditer(text, start, end)]
+    if text[end:end + 1] == "-":  # what follows belongs to the last group
+        groups.pop()
+    found = []
+    for i in range(len(groups)):
+        n, sizes = 0, []
+        for a, b in groups[i:]:
+            n += b - a
+            sizes.append(b - a)
+            if n > 19:
+                break
+            if n >= 13:
+                rank = 0 if len(sizes) == 1 else 1 + _LAYOUTS.index(tuple(sizes)) if tuple(sizes) in _LAYOUTS else -n
+                if (rank >= 0) == usual:
+                    found.append((rank, groups[i][0], b))
+    return [(a, b) for _, a, b in sorted(found)]
+
+
+def _spans(name: str, m: re.Match) -> list[tuple[int, int]]:
+    """Where values of a format may stand in a match, likeliest first."""
+    if name in ("card", "other card"):
+        return _card_spans(m.string, m.start(), m.end(), name == "card")
+    if name == "iban" and " " in m.group():
+        ends = [m.start() + i for i in range(len(m.group()), 0, -1) if m.group()[i:i + 1] in ("", " ")]
+        wanted = _IBAN_LENGTHS.get(m.group()[:2])
+        size = lambda end: end - m.start() - m.string.count(" ", m.start(), end)
+        return [(m.start(), end) for end in sorted(ends, key=lambda end: size(end) != wanted)]
+    return [m.span()]
 
 
 def pseudonymise(text: str, key: bytes = TRIAL_KEY, back: bool = False) -> tuple[str, int]:
     """The text with every validated value replaced, and how many there were."""
-    n = 0
-
-    def one(m: re.Match) -> str:
-        nonlocal n
-        new = _MAKE[m.lastgroup](m.group(), key, back)
-        if new is None:
-            return m.group()
-        n += 1
-        return new
-
-    return _ANY.sub(one, text), n
+    # pieces of text not taken so far are searched with their surroundings
+    done: list[tuple[int, int, str]] = []
+    for name, pattern, make in _FORMATS:
+        at, found = 0, []
+        taken = sorted(done)
+        while m := pattern.search(text, at):
+            here = []
+            for a, b in _spans(name, m):
+                if not _meets(taken, a, b) and not _meets(here, a, b):
+                    new = make(text[a:b], key, back)
+                    if new is not None:
+                        insort(here, (a, b, new))
+                        if name == "iban":
+                            break
+            found += here
+            at = m.end() if here or name in ("card", "other card") else m.start() + 1
+            if name == "iban" and here:
+                at = here[0][1]
+        done += found
+    out, at = [], 0
+    for a, b, new in sorted(done):
+        out += [text[at:a], new]
+        at = b
+    return "".join([*out, text[at:]]), len(done)
+
+
+def _meets(taken: list[tuple[int, int, str]], a: int, b: int) -> bool:
+    """Whether one of the sorted, separate spans has characters of a..b."""
+    i = bisect_left(taken, (b,)) - 1
+    return i >= 0 and taken[i][1] > a
 
 
 _HINT = re.compile(r"[0-9@]|[A-Fa-f]{32}")

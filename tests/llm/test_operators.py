@@ -375,3 +375,30 @@ def test_long_items_with_an_edited_run_are_found():
     index = decontaminate.ItemIndex([(1, item)])
     raw = np.frombuffer(body.encode(), np.uint8)
     assert index.matches(decontaminate.A.Chunk(0, raw, np.array([0, len(raw)]))) == [(0, 0, 11, 1.0)]
+
+
+def test_numbers_beside_numbers_are_replaced():
+    card = pii.pseudonymise("4111 1111 1111 1111")[0]
+    plain, phone, iban = card.replace(" ", ""), pii.pseudonymise("555-123-4567")[0], pii.pseudonymise("GB82WEST12345698765432")[0]
+    printed = " ".join(iban[i:i + 4] for i in range(0, len(iban), 4))
+    number = "4111 1111 1111 1111"
+    for before in ("", "12 ", "7 ", "26 123 "):
+        for after in ("", " 12/26", " 123", " 12", " 1 2 3", "-123", " 2024"):
+            out, n = pii.pseudonymise(f"{before}{number}{after}.")
+            assert (out, n) == (f"{before}{card}{after}.", 1)
+    assert pii.pseudonymise("4111111111111111 123")[0] == f"{plain} 123"
+    assert pii.pseudonymise(f"{number} {number}")[0] == f"{card} {card}"
+    assert pii.pseudonymise("12-4111-1111-1111-1111-9")[0] == "12-" + card.replace(" ", "-") + "-9"
+    assert pii.pseudonymise("555-123-4567 123 items")[0] == f"{phone} 123 items"
+    assert pii.pseudonymise(f"555-123-4567 {number}")[0] == f"{phone} {card}"
+    for after in ("", " 12", " 2024", " AND 7", "."):
+        s = f"to GB82 WEST 1234 5698 7654 32{after}"
+        assert pii.pseudonymise(s) == (f"to {printed}{after}", 1)
+        assert pii.pseudonymise(f"to {printed}{after}", back=True) == (s, 1)
+    es = "ES91 2100 0418 4502 0005 1332"
+    out = pii.pseudonymise(es)[0]
+    assert out != es and pii.pseudonymise(f"{es} 2024 AB 1")[0] == f"{out} 2024 AB 1"
+    # a card in unusual groups, between numbers
+    assert pii.pseudonymise("41111 11111 11111 1")[1] == 1
+    many = " ".join(["1"] * 50_000)
+    assert pii.pseudonymise(many) == (many, 0)
