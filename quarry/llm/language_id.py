@@ -2,41 +2,45 @@
 
 Texts are lower-cased runs of letters; a word is framed by start and end marks, and
 each language has a 4-gram model over its characters with absolute discounting and
-continuation counts in the lower orders. Counts come from all training texts:
-distinct words with their frequencies first (few, whatever the input), then n-grams.
-A language keeps its MAX_GRAMS most frequent 4-grams.
-
-The models of all languages share sorted arrays of n-gram hashes, one per order, with
-a row of log probabilities beside each hash. A text's cross-entropy is the mean over
-its characters, its language the one with the least; a text whose least cross-entropy
-is above what its language's own training texts show is marked as rejected.
+continuation counts in the lower orders. Counts come from all training texts and all of
+their n-grams.
+
+Every read of the texts is one pass that writes a row per chunk: its distinct 4-grams, the
+4-grams of its distinct words, and which text holds which word how often. Counts, contexts and probabilities are tables keyed
+by n-gram with one array entry per language; only the alphabet's size, the discounts and
+the limits of rejection (a few numbers per language) reach the driver. Distinct n-grams
+meet the tables order by order, and each chunk its n-grams.
+A text's cross-entropy is the mean over its characters, its language the one with the
+least; a text whose least cross-entropy is above what its language's own training texts
+(all of them) show is marked as rejected.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter, defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import arrays as A
 from quarry.llm.scratch import written
+from quarry.operators.quantiles import exact_quantiles
 
 ORDER = 4
-#: 4-grams kept per language (about 60 bytes each where the model is used).
-MAX_GRAMS = 200_000
 MAX_LANGUAGES = 256
-#: Training texts whose cross-entropy sets the limit of rejection.
-CALIBRATION_DOCUMENTS = 4000
 REJECT_QUANTILE = 0.995
+CHUNK_BYTES = 4 << 20
 #: Nats per character that count as one unit of confidence.
 SHARPNESS = 12.0
 START, END = 2, 3
 UNDETERMINED = "und"
+PACKED = ("size", "spelt", "row", "word", "n")
 _U = A.U64
 _tables: list = []
 
@@ -88,79 +92,111 @@ def letters(column: pa.Array, chunk: A.Chunk) -> Letters:
     return Letters(codes, start[first], (stop - start)[first], back, np.searchsorted(limits, start, side="right") - 1)
 
 
+def held_out(key):
+    return F.crc32(key.cast("string")) % 4 == 2
+
+
 def _framed(found: Letters) -> tuple[np.ndarray, np.ndarray]:
     """Distinct words with three start marks and an end mark, and their limits."""
     sizes = found.length + ORDER
     limits = np.concatenate([[0], np.cumsum(sizes)])
     out = np.full(int(limits[-1]), START, np.uint32)
-    at = np.repeat(limits[:-1] + ORDER - 1 - np.cumsum(found.length) + found.length, found.length) + np.arange(found.length.sum())
-    source = np.repeat(found.start - np.cumsum(found.length) + found.length, found.length) + np.arange(found.length.sum())
-    out[at] = found.codes[source]
+    inside = np.arange(found.length.sum()) - np.repeat(np.cumsum(found.length) - found.length, found.length)
+    out[np.repeat(limits[:-1] + ORDER - 1, found.length) + inside] = found.codes[np.repeat(found.start, found.length) + inside]
     out[limits[1:] - 1] = END
     return out, limits
 
 
-def _gram_hashes(codes: np.ndarray) -> list[np.ndarray]:
-    """hashes[k][i]: the k + 1 code points that end at position i + ORDER - 1."""
-    own = _letter_tables()[1][codes]
-    n = len(codes) - ORDER + 1
-    out, run = [], np.zeros(n, _U)
-    power = 1
-    for k in range(ORDER):
-        # a code point further left weighs a higher power, so a prefix sum is not needed
-        run = run + own[ORDER - 1 - k:ORDER - 1 - k + n] * _U(power)
-        power = power * A._BASE % (1 << 64)
-        out.append(A.mix(run + _U(k + 1)))
-    return out
+def _distinct_grams(codes: np.ndarray, limits: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Distinct 4-grams of framed words, and the index of each in order."""
+    if not len(codes):
+        return [], np.zeros(0, np.int64)
+    # pairs of code points, then pairs of pairs: numbers that fit 64 bits
+    pairs = np.unique(codes[:-1].astype(np.int64) << 21 | codes[1:], return_inverse=True)[1]
+    first = np.ones(len(codes), bool)
+    for k in range(1, ORDER):
+        first[limits[1:] - k] = False
+    at = np.flatnonzero(first)
+    _, where, index = np.unique(pairs[at] << 32 | pairs[at + 2], return_index=True, return_inverse=True)
+    whole = codes[at[where][:, None] + np.arange(ORDER)].astype("<u4").tobytes().decode("utf-32-le")
+    return [whole[i:i + ORDER] for i in range(0, len(whole), ORDER)], index
+
+
+def cut_texts(docs: DataFrame, key: str, text: str, lang: str | None = None) -> DataFrame:
+    """One row per chunk of texts, written: ``keys``, ``own`` (the language of each
+    training text, else null), distinct ``grams``, and as packed integers the number of
+    4-grams of each distinct word (``size``), which they are (``spelt``), and which ``row``
+    holds which ``word`` how often (``n``)."""
+    own = F.lit(None).cast("string")
+    if lang is not None:
+        named = F.col(lang).isNotNull() & F.col(text).isNotNull() & ~F.coalesce(held_out(F.col(key)), F.lit(False))
+        own = F.when(named, F.col(lang).cast("string"))
+    rows = docs.select(F.col(key).alias("key"), own.alias("own"), F.col(text).cast("string").alias("body"))
+    kind = rows.schema["key"].dataType.simpleString()
 
+    def run(batches):
+        at = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            column = A.string_column(batch, "body")
+            for chunk in A.chunks(column, CHUNK_BYTES):
+                found = letters(column, chunk)
+                pair, n = np.unique(found.row * max(1, len(found.start)) + found.word, return_counts=True)
+                row, word = np.divmod(pair, max(1, len(found.start)))
+                grams, spelt = _distinct_grams(*_framed(found))
+                part = batch.slice(chunk.first_row, chunk.rows)
+                arrays = [pa.array([at], pa.int64())]
+                arrays += [pa.ListArray.from_arrays(pa.array([0, chunk.rows], pa.int32()), pa.concat_arrays([part.column(i)]))
+                           for i in (0, 1)]
+                arrays.append(pa.array([grams], pa.list_(pa.string())))
+                arrays += [pa.array([_packed(x)], pa.binary()) for x in (found.length + 1, spelt, row, word, n)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["chunk", "keys", "own", "grams", *PACKED])
+                at += 1
 
-def held_out(key):
-    return F.crc32(key.cast("string")) % 4 == 2
+    return written(rows.mapInArrow(run, f"chunk bigint, keys array<{kind}>, own array<string>, grams array<string>, "
+                                   + ", ".join(f"{x} binary" for x in PACKED)), "language-chunks")
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """32-bit integers, low bytes first, then the next."""
+    return zlib.compress(x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
-def training_rows(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    rows = docs.select(F.col(key).cast("string").alias("key"), F.col(lang).cast("string").alias("lang"),
-                       F.col(text).cast("string").alias("body"))
-    return rows.filter(F.col("lang").isNotNull() & F.col("body").isNotNull()
-                       & ~F.coalesce(held_out(F.col("key")), F.lit(False)))
+def _ints(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view("<i4").ravel().astype(np.int64)
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(lang, word, n) over all training texts; each task adds up its chunks' words first."""
+def gram_rows(cut: DataFrame) -> DataFrame:
+    """(lang, gram, n) over all training texts, added up by chunk."""
     def run(batches):
         for batch in batches:
-            column = A.string_column(batch, "body")
-            langs = np.array(batch.column(batch.schema.get_field_index("lang")).to_pylist(), dtype=object)
-            for chunk in A.chunks(column):
-                found = letters(column, chunk)
-                if not len(found.word):
-                    continue
-                names, code = np.unique(langs[chunk.first_row:chunk.first_row + chunk.rows].astype(str), return_inverse=True)
-                pair, n = np.unique(code[found.row] * len(found.start) + found.word, return_counts=True)
-                text = found.codes.astype("<u4").tobytes().decode("utf-32-le")
-                word = pair % len(found.start)
-                words = [text[s:s + k] for s, k in zip(found.start[word].tolist(), found.length[word].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[pair // len(found.start)].tolist(), pa.string()), pa.array(words, pa.string()),
-                     pa.array(n, pa.int64())], names=["lang", "word", "n"])
-    return rows.mapInArrow(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-
-
-def gram_counts(words: DataFrame) -> DataFrame:
-    """(lang, gram, n): 4-grams of framed words, at most MAX_GRAMS per language."""
-    framed = F.concat(F.lit(chr(START) * (ORDER - 1)), F.col("word"), F.lit(chr(END)))
-    at = F.explode(F.sequence(F.lit(1), F.char_length("word") + 1)).alias("at")
-    grams = (words.select("lang", "n", framed.alias("framed"), at)
-             .select("lang", F.substring("framed", F.col("at"), F.lit(ORDER)).alias("gram"), "n")
-             .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-
-    # one row per distinct 4-gram of a language; the window keeps the most frequent
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    return grams.withColumn("place", rank).filter(F.col("place") <= MAX_GRAMS).drop("place")
+            for r in batch.to_pylist():
+                size, spelt, row, word, n = (_ints(r[x]) for x in PACKED)
+                names = sorted({x for x in r["own"] if x is not None})
+                code = np.array([names.index(x) if x is not None else -1 for x in r["own"]], np.int64)[row]
+                for i, name in enumerate(names):
+                    words = np.bincount(word[code == i], n[code == i], len(size))
+                    total = np.bincount(spelt, np.repeat(words, size), len(r["grams"])).astype(np.int64)
+                    some = np.flatnonzero(total)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * len(some), pa.string()), pa.array([r["grams"][j] for j in some], pa.string()),
+                         pa.array(total[some], pa.int64())], names=["lang", "gram", "n"])
+    return cut.select("own", "grams", *PACKED).mapInArrow(run, "lang string, gram string, n bigint")
+
+
+def gram_counts(rows: DataFrame, languages: list[str]) -> DataFrame:
+    """(gram, n): counts of all 4-grams, one per language."""
+    per_language = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)) for x in languages]
+    return rows.groupBy("gram").agg(F.array(*per_language).alias("n"))
+
+
+def discount(n1: int, n2: int) -> float:
+    """From the numbers of n-grams seen once and twice."""
+    return min(0.95, max(0.1, n1 / (n1 + 2 * n2) if n1 else 0.5))
 
 
 class KneserNey:
-    """Interpolated Kneser-Ney over one language's 4-gram counts (driver side, bounded)."""
+    """Interpolated Kneser-Ney over one language's 4-gram counts, in plain Python: the
+    definition that :class:`Model` is tested against."""
 
     def __init__(self, grams: dict[str, int]):
         counts: list[dict[str, int]] = [{} for _ in range(ORDER + 1)]
@@ -177,7 +213,7 @@ class KneserNey:
             n1, n2 = seen.get(1, 0), seen.get(2, 0)
             self.total.append(total)
             self.kinds.append(kinds)
-            self.discount.append(min(0.95, max(0.1, n1 / (n1 + 2 * n2) if n1 else 0.5)))
+            self.discount.append(discount(n1, n2))
 
     def backoff(self, context: str) -> float:
         """Weight of the lower order after a context (1 where it was not seen)."""
@@ -198,129 +234,135 @@ class KneserNey:
 
 @dataclass
 class Model:
+    """Tables of n-gram counts and contexts by order (one array entry per language)."""
     languages: list[str]
-    grams: list[tuple[np.ndarray, np.ndarray]]      # per order: sorted hashes, log probabilities
-    contexts: list[tuple[np.ndarray, np.ndarray]]   # per order: sorted hashes, log backoff weights
-    unseen: np.ndarray
-    limits: np.ndarray
-
-    def word_scores(self, found: Letters) -> tuple[np.ndarray, np.ndarray]:
-        """Log probability of each distinct word in each language, and its characters."""
-        codes, limits = _framed(found)
-        hashes = _gram_hashes(codes)
-        ends = np.repeat(limits[:-1] - np.cumsum(found.length + 1) + found.length + 1, found.length + 1)
-        at = ends + np.arange(len(ends))
-        hashes = [h[at] for h in hashes]
-        scores = np.zeros((len(at), len(self.languages)))
-        todo = np.arange(len(at))
-        for k in range(ORDER - 1, -1, -1):  # longest known n-gram first
-            keys, rows = self.grams[k]
-            place = np.minimum(np.searchsorted(keys, hashes[k][todo]), max(len(keys) - 1, 0))
-            known = keys[place] == hashes[k][todo] if len(keys) else np.zeros(len(todo), bool)
-            scores[todo[known]] += rows[place[known]]
-            todo = todo[~known]
-            if not len(todo):
-                break
-            if k:
-                keys, rows = self.contexts[k]
-                if len(keys):
-                    context = self._context(codes, at[todo], k)
-                    place = np.minimum(np.searchsorted(keys, context), len(keys) - 1)
-                    known = keys[place] == context
-                    scores[todo[known]] += rows[place[known]]
-            else:
-                scores[todo] += self.unseen
-        first = np.concatenate([[0], np.cumsum(found.length + 1)])[:-1]
-        return np.add.reduceat(scores, first), found.length + 1
-
-    @staticmethod
-    def _context(codes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-        """Hashes of the k code points before the predicted one (at position at + ORDER - 1)."""
-        own, run, power = _letter_tables()[1], np.zeros(len(at), _U), 1
-        for j in range(k):
-            run = run + own[codes[at + ORDER - 2 - j]] * _U(power)
-            power = power * A._BASE % (1 << 64)
-        return A.mix(run + _U(k))
-
-    def cross_entropies(self, column: pa.Array) -> np.ndarray:
-        """Mean negative log probability per character, rows x languages; nan without letters."""
-        parts = []
-        for chunk in A.chunks(column):
-            out = np.full((chunk.rows, len(self.languages)), np.nan)
-            found = letters(column, chunk)
-            if len(found.word) and self.languages:
-                scores, size = self.word_scores(found)
-                total = np.stack([np.bincount(found.row, scores[found.word, j], chunk.rows)
-                                  for j in range(len(self.languages))], axis=1)
-                chars = np.bincount(found.row, size[found.word], chunk.rows)
-                some = chars > 0
-                out[some] = -total[some] / chars[some, None]
-            parts.append(out)
-        return np.concatenate(parts) if parts else np.zeros((0, len(self.languages)))
-
-
-def _hash_of(texts: list[str], k: int) -> np.ndarray:
-    """Hashes of strings of k code points, equal to :func:`_gram_hashes` and ``_context``."""
-    codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").reshape(-1, k)
-    own, run, power = _letter_tables()[1], np.zeros(len(texts), _U), 1
-    for j in range(k):
-        run = run + own[codes[:, k - 1 - j]] * _U(power)
-        power = power * A._BASE % (1 << 64)
-    return A.mix(run + _U(k))
-
-
-def build(counts: dict[str, dict[str, int]]) -> Model:
-    """The shared sorted arrays from the 4-gram counts of each language."""
-    languages = sorted(counts)
-    models = [KneserNey(counts[x]) for x in languages]
-    alphabet = len({g for m in models for g in m.counts[1]}) + 1
-    grams, contexts = [], [(np.zeros(0, _U), np.zeros((0, len(languages))))]
-    for k in range(1, ORDER + 1):
-        every = sorted({g for m in models for g in m.counts[k]})
-        rows = np.log(np.array([[m.probability(g, alphabet) for m in models] for g in every]).reshape(len(every), len(languages)))
-        h = _hash_of(every, k) if every else np.zeros(0, _U)
-        order = np.argsort(h)
-        grams.append((h[order], rows[order]))
-        if k > 1:
-            every = sorted({g for m in models for g in m.total[k]})
-            rows = np.log(np.array([[m.backoff(g) for m in models] for g in every]).reshape(len(every), len(languages)))
-            h = _hash_of(every, k - 1) if every else np.zeros(0, _U)
-            order = np.argsort(h)
-            contexts.append((h[order], rows[order]))
-    unseen = np.log(np.array([m.backoff("") / alphabet for m in models])) if models else np.zeros(0)
-    return Model(languages, grams, contexts, unseen, np.full(len(languages), np.inf))
+    alphabet: int = 1
+    counts: dict[int, DataFrame] = field(default_factory=dict)      # gram, n
+    contexts: dict[int, DataFrame] = field(default_factory=dict)    # context, total, kinds
+    totals: list[tuple[int, int]] = field(default_factory=list)     # of single characters: total, kinds
+    discounts: dict[int, list[float]] = field(default_factory=dict)
+    limits: list[float] = field(default_factory=list)
+
+    def probabilities(self, grams: DataFrame, k: int = ORDER) -> DataFrame:
+        """(gram, p) for distinct n-grams of order k, from those one character shorter."""
+        each = range(len(self.languages))
+        found = grams.join(self.counts[k], "gram", "left")
+        seen = [F.greatest(F.coalesce(F.col("n")[i], F.lit(0)) - self.discounts[k][i], F.lit(0.0)) for i in each]
+        if k == 1:
+            p = [seen[i] / total + self.discounts[1][i] * kinds / total / self.alphabet
+                 for i, (total, kinds) in enumerate(self.totals)]
+            return found.select("gram", F.array(*p).alias("p"))
+        shorter = F.substring("gram", 2, k - 1)
+        lower = self.probabilities(grams.select(shorter.alias("gram")).distinct(), k - 1)
+        found = (found.withColumn("context", F.substring("gram", 1, k - 1)).withColumn("shorter", shorter)
+                 .join(self.contexts[k], "context", "left")
+                 .join(lower.select(F.col("gram").alias("shorter"), F.col("p").alias("lower")), "shorter"))
+        p = []
+        for i in each:
+            total, less = F.col("total")[i], F.col("lower")[i]
+            p.append(F.when(total > 0, seen[i] / total + self.discounts[k][i] * F.col("kinds")[i] / total * less)
+                     .otherwise(less))
+        return found.select("gram", F.array(*p).alias("p"))
+
+    def cross_entropies(self, cut: DataFrame) -> DataFrame:
+        """(key, own, entropies) of every text: mean negative log probability per character
+        in each language; null without letters."""
+        n_languages, kind = len(self.languages), cut.schema["keys"].dataType.elementType.simpleString()
+        schema = f"key {kind}, own string, entropies array<double>"
+        if not n_languages:
+            none = F.lit(None).cast("array<double>").alias("entropies")
+            return cut.select(F.explode(F.arrays_zip("keys", "own")).alias("r")).select(
+                F.col("r.keys").alias("key"), F.col("r.own").alias("own"), none)
+        placed = cut.select("chunk", F.posexplode("grams").alias("place", "gram"))
+        p = self.probabilities(placed.select("gram").distinct())
+        scored = placed.join(p.select("gram", F.transform("p", lambda x: F.ln(x)).alias("s")), "gram")
+        scored = scored.groupBy("chunk").agg(F.collect_list(F.struct("place", "s")).alias("scores"))
+        chunks = cut.select("chunk", "keys", "own", *PACKED)
+
+        def run(batches):
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    one = batch.slice(at, 1)
+                    take = lambda name: one.column(one.schema.get_field_index(name))
+                    size, spelt, row, word, n = (_ints(take(x)[0].as_py()) for x in PACKED)
+                    pairs, scores = take("scores").flatten(), np.zeros((len(size), n_languages))
+                    if len(pairs):
+                        place, s = pairs.flatten()
+                        of_gram = np.zeros((len(pairs), n_languages))
+                        of_gram[place.to_numpy(zero_copy_only=False)] = s.flatten().to_numpy(
+                            zero_copy_only=False).reshape(-1, n_languages)
+                        scores = np.add.reduceat(of_gram[spelt], np.cumsum(size) - size)
+                    keys, own = take("keys").flatten(), take("own").flatten()
+                    total = np.stack([np.bincount(row, scores[word, j] * n, len(keys)) for j in range(n_languages)], axis=1)
+                    chars = np.bincount(row, size[word] * n, len(keys))
+                    some = chars > 0
+                    out = -total[some] / chars[some, None]
+                    ends = np.concatenate([[0], np.cumsum(some) * n_languages]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()), mask=pa.array(~some))
+                    yield pa.RecordBatch.from_arrays([keys, own, lists], names=["key", "own", "entropies"])
+
+        return chunks.join(scored, "chunk", "left").mapInArrow(run, schema)
+
+
+def count_model(rows: DataFrame) -> Model:
+    """The model, without limits, from (lang, gram, n)."""
+    languages = sorted(r.lang for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    model, each = Model(languages), range(len(languages))
+    if not languages:
+        return model
+    model.counts[ORDER] = written(gram_counts(rows, languages), "language-grams")
+    is_seen = [F.when(F.col("n")[i] > 0, 1).otherwise(0) for i in each]
+    for k in range(ORDER, 0, -1):
+        grams = model.counts[k]
+        once, twice, total, kinds = (
+            [F.sum(x) for x in xs] for xs in ([F.when(F.col("n")[i] == 1, 1).otherwise(0) for i in each],
+                                              [F.when(F.col("n")[i] == 2, 1).otherwise(0) for i in each],
+                                              [F.col("n")[i] for i in each], is_seen))
+        r = grams.agg(*[F.array(*x) for x in (once, twice, total, kinds)], F.count(F.lit(1))).first()
+        model.discounts[k] = [discount(a, b) for a, b in zip(r[0], r[1])]
+        if k == 1:
+            model.totals, model.alphabet = list(zip(r[2], r[3])), r[4] + 1
+            break
+        contexts = grams.groupBy(F.substring("gram", 1, k - 1).alias("context"))
+        model.contexts[k] = written(contexts.agg(F.array(*total).alias("total"), F.array(*kinds).alias("kinds")),
+                                    "language-contexts")
+        # continuation counts: distinct left neighbours
+        lower = grams.groupBy(F.substring("gram", 2, k - 1).alias("gram")).agg(F.array(*kinds).alias("n"))
+        model.counts[k - 1] = written(lower, "language-grams")
+    return model
+
+
+def _trained(docs: DataFrame, key: str, text: str, lang: str) -> tuple[Model, DataFrame]:
+    """The model, and the cross-entropies of all of ``docs`` in it."""
+    cut = cut_texts(docs, key, text, lang)
+    model = count_model(written(gram_rows(cut), "language-counts"))
+    found = written(model.cross_entropies(cut), "language-entropies")
+    if model.languages:
+        place = F.array_position(F.array(*[F.lit(x) for x in model.languages]), F.col("own")).cast("int")
+        own = found.filter("own is not null and entropies is not null").select(
+            "own", F.element_at("entropies", place).alias("entropy"))
+        limit = {r.own: 1.1 * r.value for r in exact_quantiles(own, ["entropy"], [REJECT_QUANTILE], by=["own"]).collect()}
+        model.limits = [limit[x] for x in model.languages]
+    return model, found
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """A model of the languages named in the training rows (those not held out, with
-    text and language). No such row gives a model without languages."""
-    rows = training_rows(docs, key, text, lang)
-    fetched = gram_counts(written(word_counts(rows), "language-words")).toPandas()
-    counts: dict[str, dict[str, int]] = {}
-    for name, part in fetched.groupby("lang"):
-        counts[name] = dict(zip(part.gram.tolist(), part.n.tolist()))
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"{len(counts)} languages: more than {MAX_LANGUAGES}")
-    model = build(counts)
-    sample = (rows.orderBy(F.xxhash64("key"), "key").select("key", "lang").limit(CALIBRATION_DOCUMENTS))
-    chosen = rows.join(F.broadcast(sample.select("key").distinct()), "key")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def score(batches):
-        for batch in batches:
-            ce = shared.value.cross_entropies(A.string_column(batch, "body"))
-            names = {x: i for i, x in enumerate(shared.value.languages)}
-            own = np.array([names.get(x, 0) for x in batch.column(batch.schema.get_field_index("lang")).to_pylist()], int)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own, pa.int32()), pa.array(ce[np.arange(len(own)), own] if len(names) else np.zeros(len(own)))],
-                names=["language", "entropy"])
-
-    seen = chosen.mapInArrow(score, "language int, entropy double").toPandas().dropna()
-    for i in range(len(model.languages)):
-        own = seen.entropy[seen.language == i]
-        if len(own):
-            model.limits[i] = 1.1 * float(np.quantile(own, REJECT_QUANTILE))
-    return model
+    text and language). No such row gives a model without languages.
+
+    A language's limit of rejection is 1.1 times the 0.995 quantile of all its training
+    texts' cross-entropies; it has at least one, as its letters come from them.
+    """
+    return _trained(docs, key, text, lang)[0]
+
+
+def train_and_identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """:func:`identify` of ``docs`` with the model trained on them, whose texts are read
+    once for both."""
+    model, found = _trained(docs, key, text, lang)
+    return _judged(found, model)
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -332,26 +374,16 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     texts are read whole; equal scores go to the first language by name; repeated rows
     are judged each; an empty table gives no row; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("body"))
-
-    def run(batches):
-        found = shared.value
-        for batch in batches:
-            ce = found.cross_entropies(A.string_column(batch, "body"))
-            if not found.languages:
-                ce = np.full((batch.num_rows, 1), np.nan)
-            none = np.isnan(ce[:, 0])
-            best = np.argmin(np.where(none[:, None], 0, ce), axis=1)
-            least = ce[np.arange(len(best)), best]
-            score = 1 / np.exp(-SHARPNESS * (ce - least[:, None])).sum(axis=1)
-            limits = found.limits if found.languages else np.zeros(1)
-            names = found.languages or [UNDETERMINED]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([UNDETERMINED if n else names[b] for n, b in zip(none, best)], pa.string()),
-                 pa.array(np.where(none, 0.0, score)), pa.array(least, mask=none),
-                 pa.array(none | (least > limits[best]))],
-                names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
-
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return _judged(model.cross_entropies(cut_texts(docs, key, text)), model)
+
+
+def _judged(found: DataFrame, model: Model) -> DataFrame:
+    none, ce = F.col("entropies").isNull(), F.col("entropies")
+    least = F.array_min(ce)
+    at = F.array_position(ce, least).cast("int")
+    score = 1 / F.aggregate(ce, F.lit(0.0), lambda total, x: total + F.exp(-SHARPNESS * (x - least)))
+    names, limits = (F.array(*[F.lit(x) for x in xs]) for xs in (model.languages or [UNDETERMINED], model.limits or [0.0]))
+    return found.select(
+        F.col("key").alias("doc_id"), F.when(none, UNDETERMINED).otherwise(F.element_at(names, at)).alias("lang_pred"),
+        F.when(none, 0.0).otherwise(score).alias("score"), least.alias("cross_entropy"),
+        (none | F.coalesce(least > F.element_at(limits, at), F.lit(False))).alias("rejected"))

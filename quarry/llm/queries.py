@@ -78,7 +78,7 @@ def op3_substring_dedup(spark, sf):
 def op4_language_id(spark, sf):
     """Language of every document, learned from those that are not held out."""
     docs = read_table(spark, sf, "documents")
-    found = language_id.identify(docs, language_id.train(docs))
+    found = language_id.train_and_identify(docs)
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"),
                         "lang_pred", "score", "cross_entropy", "rejected")
 

@@ -402,3 +402,29 @@ def test_numbers_beside_numbers_are_replaced():
     assert pii.pseudonymise("41111 11111 11111 1")[1] == 1
     many = " ".join(["1"] * 50_000)
     assert pii.pseudonymise(many) == (many, 0)
+
+
+def test_language_model_holds_every_gram(spark):
+    """Against Kneser-Ney in plain Python, with more 4-grams than once were kept."""
+    letters = [chr(0x4E00 + i) for i in range(600)]
+    rng = random.Random(7)
+    table = [(i, "xx", "".join(rng.choice(letters) for _ in range(2000))) for i in range(250)]
+    table += [(1000 + i, "yy", text(i, 30)) for i in range(20)]
+    docs = spark.createDataFrame(table, "doc_id long, lang string, text string")
+    model = language_id.train(docs)
+    held = {r.doc_id for r in docs.filter(language_id.held_out(F.col("doc_id"))).collect()}
+    counts = {"xx": Counter(), "yy": Counter()}
+    for k, lang, body in table:
+        for w in re.findall(r"[^\W\d_]+", body) if k not in held else []:
+            framed = "\2\2\2" + w + "\3"
+            counts[lang].update(framed[i:i + 4] for i in range(len(w) + 1))
+    assert len(counts["xx"]) > 200_000
+    assert model.counts[4].count() == len(set(counts["xx"]) | set(counts["yy"]))
+    exact = [language_id.KneserNey(counts[x]) for x in ("xx", "yy")]
+    alphabet = len({g for m in exact for g in m.counts[1]}) + 1
+    assert model.alphabet == alphabet
+    some = rng.sample(sorted(counts["xx"]), 200) + sorted(counts["yy"])[:200] + ["\2\2\2q", "zqzq", "\2\2\2" + letters[0]]
+    got = model.probabilities(spark.createDataFrame([(g,) for g in sorted(set(some))], "gram string")).collect()
+    assert len(got) == len(set(some))
+    for r in got:
+        assert r.p == pytest.approx([m.probability(r.gram, alphabet) for m in exact], rel=1e-9)
