@@ -428,3 +428,17 @@ def test_language_model_holds_every_gram(spark):
     assert len(got) == len(set(some))
     for r in got:
         assert r.p == pytest.approx([m.probability(r.gram, alphabet) for m in exact], rel=1e-9)
+
+
+def test_rejection_limits_come_from_all_training_texts_of_a_language(spark):
+    rows = [(i, "xx", "aba bab abba " * 2) for i in range(6000)] + [(6000 + i, "yy", text(i, 1 + i % 9)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language_id.train(docs)
+    found = language_id.identify(docs, model).join(docs, "doc_id").filter(~language_id.held_out(F.col("doc_id")))
+    own = [r.cross_entropy for r in found.filter("lang = 'yy' and lang_pred = 'yy'").collect()]
+    assert len(own) == found.filter("lang = 'yy'").count() > 20
+    assert model.limits[1] == pytest.approx(1.1 * np.quantile(own, language_id.REJECT_QUANTILE), rel=1e-9)
+    assert found.filter("lang = 'yy' and rejected").count() == 0
+    noise = spark.createDataFrame([(1, "qqq zzz jjj vvv yyy www")], "doc_id long, text string")
+    assert language_id.identify(noise, model).first().rejected
+    assert sorted(language_id.train_and_identify(docs).collect()) == sorted(language_id.identify(docs, model).collect())
