@@ -7,8 +7,9 @@ fits, else one cut to size. Only the last window of a packing block can stay ope
 it is cut into shorter tiers, so that less than the shortest tier is padded.
 
 A task packs the rows it has read, in blocks of bounded size: no shuffle, and no
-window spans two tasks. Sequences of one tier are grouped into steps of equal
-token counts.
+window spans two tasks. The pieces are written; then the windows of each tier are
+numbered over all tasks (one row per tier and task tells where a task begins) and grouped
+into steps of equal token counts, padding included.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from bisect import bisect_right, insort
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import arrays as A
+from quarry.llm.scratch import written
 from quarry.llm.tokens import encoded_rows
 
 TIERS = (2048, 1024, 512, 256)
@@ -108,7 +110,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, key: str = "doc_id", tex
         lengths = [len(s) for s in streams]
         for tier, window in plan_windows(lengths, tiers):
             per_tier[tier] = per_tier.get(tier, 0) + 1
-            step = (per_tier[tier] - 1) // max(1, step_tokens // tier)
+            step = per_tier[tier] - 1  # numbered over all tasks below
             offset = 0
             for doc, start, n in window:
                 raw = streams[doc][start:start + n].astype("<u4").tobytes()
@@ -139,4 +141,11 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, key: str = "doc_id", tex
             base, out = pack_block(keys, streams, base, per_tier)
             yield out
 
-    return rows.mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
+    pieces = written(rows.mapInArrow(run, PIECES + (", ids binary" if with_ids else "")), "packed-pieces")
+    task = F.shiftright("sequence_id", 32)
+    sizes = pieces.groupBy("tier", task.alias("task")).agg((F.max("step_group") + 1).alias("windows"))
+    before = F.sum("windows").over(Window.partitionBy("tier").orderBy("task")) - F.col("windows")
+    begins = sizes.select(F.col("tier").alias("of_tier"), "task", before.alias("before"))
+    found = pieces.join(F.broadcast(begins), (F.col("tier") == F.col("of_tier")) & (task == F.col("task")))
+    per_step = F.greatest(F.lit(1), F.floor(F.lit(step_tokens) / F.col("tier")))
+    return found.withColumn("step_group", F.floor((F.col("before") + F.col("step_group")) / per_step)).select(*names)

@@ -442,3 +442,15 @@ def test_rejection_limits_come_from_all_training_texts_of_a_language(spark):
     noise = spark.createDataFrame([(1, "qqq zzz jjj vvv yyy www")], "doc_id long, text string")
     assert language_id.identify(noise, model).first().rejected
     assert sorted(language_id.train_and_identify(docs).collect()) == sorted(language_id.identify(docs, model).collect())
+
+
+def test_step_groups_are_even_over_all_tasks(spark):
+    rows = [(i, text(i, 50 + i % 400)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    pieces = packing.pack(docs, VOCABULARY, 1, step_tokens=4096).toPandas()
+    windows = pieces.drop_duplicates("sequence_id")
+    assert (windows.sequence_id // 2 ** 32).nunique() == 6
+    for tier, own in windows.groupby("tier"):
+        groups = own.groupby("step_group").size().sort_index()
+        assert list(groups.index) == list(range(len(groups)))
+        assert (groups.iloc[:-1] * tier == 4096).all() and groups.iloc[-1] * tier <= 4096
