@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import (chat_format, cws, dac_codes, decontaminate, language_id, packing, parity_join, pii,
-                        quality_mil, substring_dedup)
+from quarry.llm import (chat_format, cws, dac_codes, decontaminate, language_id, merkle, packing, parity_join,
+                        pii, quality_mil, substring_dedup)
 from quarry.llm.registry import query
 from quarry.llm.scratch import written
 from quarry.sources.tables import read_table
@@ -145,3 +145,77 @@ def op10_token_codes(spark, sf):
     blocks = dac_codes.token_blocks(read_table(spark, sf, "documents"),
                                     public_tokenizers.path(VOCABULARY), end_id=2)
     return dac_codes.read_documents(written(blocks, "token-codes"))
+
+
+#: CRC-32 of a string ``x`` of ASCII characters, as DuckDB SQL over the table ``crc`` below.
+_CRC_TABLE = """crc AS (SELECT list(v ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)))"""
+
+
+@query("op12_merkle", f"""
+WITH RECURSIVE {_CRC_TABLE},
+parts AS (
+  SELECT doc_id, source, doc_id::VARCHAR AS a, source AS b, lang AS c, n_chars::VARCHAR AS d, text AS e,
+         coalesce(xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''),
+           lambda ch: ascii(ch)::BIGINT)), lambda s, x: xor(s >> 8, crc.t[(xor(s, x) & 255) + 1])), 4294967295) % 2 = 0,
+           false) AS tampered
+  FROM documents, crc),
+leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(e) || ':' || e, '-')) AS leaf,
+         sha256(head || coalesce(strlen(f) || ':' || f, '-')) AS changed
+  FROM (SELECT *, CASE WHEN tampered THEN replace(e, chr(10), '') ELSE e END AS f,
+               coalesce(strlen(a) || ':' || a, '-') || coalesce(strlen(b) || ':' || b, '-')
+               || coalesce(strlen(c) || ':' || c, '-') || coalesce(strlen(d) || ':' || d, '-') AS head FROM parts)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, changed) - 1 AS pos FROM leaves),
+below AS (
+  SELECT 0 AS level, source, pos, leaf AS digest, count(*) OVER (PARTITION BY source) AS n FROM placed
+  UNION ALL
+  SELECT any_value(level) + 1, source, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 2) // 3
+  FROM below WHERE n > 1 GROUP BY source, pos // 3),
+subroots AS (
+  SELECT source, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM below WHERE n = 1),
+above AS (
+  SELECT 0 AS level, pos, digest, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT any_value(level) + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 2) // 3
+  FROM above WHERE n > 1 GROUP BY pos // 3),
+runs AS (
+  SELECT 'below' AS part, level, source, pos // 3 AS run, list(digest ORDER BY pos) AS digests
+  FROM below WHERE n > 1 GROUP BY ALL
+  UNION ALL
+  SELECT 'above', level, NULL, pos // 3, list(digest ORDER BY pos) FROM above WHERE n > 1 GROUP BY ALL),
+fold AS (
+  SELECT p.doc_id, p.leaf, p.changed, p.source, 'below' AS part, 0 AS level, p.pos, p.changed AS digest, '' AS proof,
+         false AS done, row_number() OVER () AS id
+  FROM placed p
+  UNION ALL
+  SELECT f.doc_id, f.leaf, f.changed, f.source,
+         CASE WHEN r.run IS NULL THEN 'above' ELSE f.part END, CASE WHEN r.run IS NULL THEN 0 ELSE f.level + 1 END,
+         CASE WHEN r.run IS NOT NULL THEN f.pos // 3 ELSE s.pos END,
+         CASE WHEN r.run IS NULL THEN f.digest ELSE sha256(array_to_string(list_transform(r.digests,
+           lambda x, i: CASE WHEN i = f.pos % 3 + 1 THEN f.digest ELSE x END), '')) END,
+         CASE WHEN r.run IS NULL THEN f.proof ELSE f.proof || array_to_string(list_filter(r.digests,
+           lambda x, i: i <> f.pos % 3 + 1), '') END,
+         f.part = 'above' AND r.run IS NULL, f.id
+  FROM fold f LEFT JOIN runs r ON r.part = f.part AND r.level = f.level AND r.run = f.pos // 3
+         AND (f.part = 'above' OR r.source IS NOT DISTINCT FROM f.source)
+       JOIN subroots s ON s.source IS NOT DISTINCT FROM f.source
+  WHERE NOT f.done)
+SELECT f.doc_id, f.leaf, s.digest AS subroot, root.digest AS root, sha256(f.proof) AS proof_sha256,
+       f.digest AS folded_root, f.digest = root.digest AS verified
+FROM fold f JOIN subroots s ON s.source IS NOT DISTINCT FROM f.source, (SELECT digest FROM above WHERE n = 1) root
+WHERE f.done
+""")
+def op12_merkle(spark, sf):
+    """Merkle manifest of the documents, and every possibly tampered row folded into it."""
+    docs = read_table(spark, sf, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    text = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    head = ("doc_id", "source", "lang", "n_chars")
+    rows = docs.select("source", F.col("doc_id").alias("key"), merkle.leaf_digest(*head, "text").alias("leaf"),
+                       F.struct(*head, text.alias("text")).alias("row"))
+    rows = rows.select("source", "key", "leaf", merkle.leaf_digest(*[f"row.{c}" for c in (*head, "text")]).alias("changed"))
+    return merkle.verify(rows).select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256",
+                                      "folded_root", "verified")
