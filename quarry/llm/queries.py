@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from quarry.llm import (chat_format, cws, dac_codes, decontaminate, language_id, merkle, packing, parity_join,
-                        pii, quality_mil, substring_dedup)
+                        pii, quality_mil, spelling, substring_dedup)
 from quarry.llm.registry import query
 from quarry.llm.scratch import written
 from quarry.sources.tables import read_table
@@ -147,12 +147,59 @@ def op10_token_codes(spark, sf):
     return dac_codes.read_documents(written(blocks, "token-codes"))
 
 
-#: CRC-32 of a string ``x`` of ASCII characters, as DuckDB SQL over the table ``crc`` below.
+#: The table of CRC-32 as DuckDB SQL, derived from its polynomial.
 _CRC_TABLE = """crc AS (SELECT list(v ORDER BY i) AS t FROM (
   SELECT i, list_reduce(list_prepend(i, range(8)),
     lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)))"""
 
 
+
+@query("op11_spelling", f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r FROM documents)
+  WHERE length(r) >= 6),
+counted AS (SELECT doc_id, w, count(*) AS c FROM runs GROUP BY ALL),
+hashed AS (
+  SELECT w, c, coalesce(xor(list_reduce(list_prepend(4294967295, flatten(list_transform(
+           string_split(doc_id::VARCHAR || ':' || w, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT]
+             ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)]::BIGINT[] END))),
+           lambda s, x: xor(s >> 8, crc.t[(xor(s, x) & 255) + 1])), 4294967295), 1) AS h
+  FROM counted, crc),
+words AS (
+  SELECT w AS word, sum(c)::BIGINT AS n
+  FROM (SELECT c, CASE WHEN h % 199 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w
+        FROM hashed)
+  WHERE length(w) >= 6 GROUP BY w HAVING sum(c) >= 5),
+gaps AS (
+  SELECT word, n, i, left(word, i - 1) AS a, substr(word, i + 1) AS b
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT x.word, x.n, y.word AS other, y.n AS other_n
+  FROM gaps x JOIN gaps y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION
+  SELECT g.word, g.n, w.word, w.n FROM gaps g JOIN words w ON w.word = g.a || g.b
+  UNION
+  SELECT w.word, w.n, g.word, g.n FROM gaps g JOIN words w ON w.word = g.a || g.b),
+best AS (
+  SELECT word, count(*) AS n_near, first(n) AS n,
+         first(other ORDER BY other_n DESC, encode(other)) AS form, max(other_n) AS form_n
+  FROM near GROUP BY word),
+formed AS (SELECT word, form, form_n FROM best WHERE form_n >= 5 * n),
+chain AS (
+  SELECT word, word AS now FROM words
+  UNION ALL
+  SELECT chain.word, formed.form FROM chain JOIN formed ON formed.word = chain.now)
+SELECT w.word, f.form, r.now AS root, w.n, coalesce(b.n_near, 0) AS n_near, f.form_n
+FROM words w LEFT JOIN best b USING (word) LEFT JOIN formed f USING (word)
+JOIN chain r ON r.word = w.word WHERE r.now NOT IN (SELECT word FROM formed)
+""")
+def op11_spelling(spark, sf):
+    """Words one edit apart, and the common form of each."""
+    return spelling.variants(spelling.vocabulary(read_table(spark, sf, "documents"), drop_every=199))
+
+
 @query("op12_merkle", f"""
 WITH RECURSIVE {_CRC_TABLE},
 parts AS (
