@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from quarry.llm import (chat_format, cws, dac_codes, decontaminate, language_id, merkle, packing, parity_join,
-                        pii, quality_mil, spelling, substring_dedup)
+                        pii, quality_mil, spelling, substring_dedup, wrappers)
 from quarry.llm.registry import query
 from quarry.llm.scratch import written
 from quarry.sources.tables import read_table
@@ -266,3 +266,21 @@ def op12_merkle(spark, sf):
     rows = rows.select("source", "key", "leaf", merkle.leaf_digest(*[f"row.{c}" for c in (*head, "text")]).alias("changed"))
     return merkle.verify(rows).select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256",
                                       "folded_root", "verified")
+
+
+@query("op13_main_text", r"""
+WITH articles AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS a FROM pages),
+blocks AS (
+  SELECT page_id, url, list_filter(list_transform(
+           regexp_split_to_array(regexp_replace(regexp_replace(a, '<br>', ' ', 'g'), '</?b>', '', 'g'), '</?(p|h1)>'),
+           lambda b: trim(regexp_replace(replace(replace(replace(replace(replace(b, '&lt;', '<'), '&gt;', '>'),
+             '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))), lambda b: b <> '') AS bs
+  FROM articles)
+SELECT page_id, url, array_to_string(bs, chr(10) || chr(10)) AS text,
+       length(array_to_string(bs, chr(10) || chr(10))) AS n_chars
+FROM blocks
+""")
+def op13_main_text(spark, sf):
+    """Main text of every page, by one wrapper per host."""
+    return wrappers.main_text(read_table(spark, sf, "pages"))

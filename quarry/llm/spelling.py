@@ -135,18 +135,18 @@ def near_words(words: list[str]) -> Iterator[tuple[int, int]]:
                 j = lower[j]
 
 
-def _leads_to(shared: int, shorter: int, front: int, back: int) -> bool:
-    """Whether a pair with ``shared`` first characters in common belongs to the list
-    whose words have ``front`` first and ``back`` last characters in common."""
-    a = b = 0
-    while (a, b) != (front, back):
-        half = (shorter - a - b) // 2
-        if shared >= a + half:
-            a += half
-        else:
-            b += half
-        if a > front or b > back or not half:
+def _leads_to(shared: int, shorter: int, path: str) -> bool:
+    """Whether a pair with ``shared`` first characters in common belongs to the list that
+    was dealt along ``path``: halves in front (``f``) or at the back (``b``)."""
+    front = back = 0
+    for way in path:
+        half = (shorter - front - back) // 2
+        if (shared >= front + half) != (way == "f"):
             return False
+        if way == "f":
+            front += half
+        else:
+            back += half
     return True
 
 
@@ -168,31 +168,31 @@ def _pairs_of(batches):
 
 def _scan(rows: pd.DataFrame, starts) -> pd.DataFrame:
     found = []
-    columns = [rows[c].tolist() for c in ("shorter", "front", "back", "turned", "word", "n")]
+    columns = [rows[c].tolist() for c in ("shorter", "path", "word", "n")]
     for lo, hi in zip(starts, [*starts[1:], len(rows)]):
-        shorter, front, back, turned = (c[lo] for c in columns[:4])
-        words, n = columns[4][lo:hi], columns[5][lo:hi]
-        for i, j in near_words([w[::-1] for w in words] if turned else words):
+        shorter, path = columns[0][lo], columns[1][lo]
+        words, n = columns[2][lo:hi], columns[3][lo:hi]
+        for i, j in near_words([w[::-1] for w in words] if path[-1] == "b" else words):
             u, v = words[i], words[j]
-            if min(len(u), len(v)) == shorter and _leads_to(common_prefix(u, v), shorter, front, back):
+            if min(len(u), len(v)) == shorter and _leads_to(common_prefix(u, v), shorter, path):
                 found += [(u, n[i], v, n[j]), (v, n[j], u, n[i])]
     return pd.DataFrame(found, columns=["word", "n", "near", "near_n"])
 
 
-#: What makes a list: the shorter length of its pairs, how many characters are shared in front and
-#: at the back, and which; ``turned`` lists are in the order of the reversed words.
-_LIST = ["shorter", "front", "back", "head", "tail"]
+#: What makes a list: the shorter length of its pairs, the halves along which it was dealt, and
+#: the characters shared in front and at the back. After a half at the back the order is that
+#: of the reversed words.
+_LIST = ["shorter", "path", "head", "tail"]
 
 
 def _dealt(words: DataFrame) -> DataFrame:
-    """``words`` (word, n, shorter, front, back) as members of two lists each: one half
+    """``words`` (word, n, shorter, path, front, back) as members of two lists each: one half
     more of what is not yet shared, in front or at the back."""
     half = ((F.col("shorter") - F.col("front") - F.col("back")) / 2).cast("int")
-    halves = F.explode(F.array(F.struct((F.col("front") + half).alias("front"), F.col("back").alias("back"),
-                                        F.lit(False).alias("turned")),
-                               F.struct(F.col("front").alias("front"), (F.col("back") + half).alias("back"),
-                                        F.lit(True).alias("turned"))))
-    out = words.select("word", "n", "shorter", halves.alias("x")).select("word", "n", "shorter", "x.*")
+    ways = F.explode(F.array(
+        F.struct(F.concat("path", F.lit("f")).alias("path"), (F.col("front") + half).alias("front"), "back"),
+        F.struct(F.concat("path", F.lit("b")).alias("path"), "front", (F.col("back") + half).alias("back"))))
+    out = words.select("word", "n", "shorter", ways.alias("x")).select("word", "n", "shorter", "x.*")
     return out.withColumn("head", F.substring("word", F.lit(1), F.col("front"))).withColumn(
         "tail", F.substring("word", F.length("word") - F.col("back") + 1, F.col("back")))
 
@@ -202,22 +202,22 @@ def near_pairs(words: DataFrame, list_words: int = LIST_WORDS, min_chars: int =
     length = F.length("word")
     # a word is the shorter (or an equal) one of a pair, or the longer one
     open_ = words.select("word", "n", F.explode(F.array(length, length - 1)).alias("shorter")).filter(
-        F.col("shorter") >= min_chars).withColumn("front", F.lit(0)).withColumn("back", F.lit(0))
+        F.col("shorter") >= min_chars).select("*", F.lit("").alias("path"), F.lit(0).alias("front"), F.lit(0).alias("back"))
     found = []
     while True:
         lists = written(_dealt(open_), "spelling-lists")
         sizes = written(lists.groupBy(*_LIST).agg(F.count(F.lit(1)).alias("size")).filter("size > 1"),
                         "spelling-sizes")
-        large = (F.col("size") > list_words) & (F.col("shorter") - F.col("front") - F.col("back") > 1)
-        order = F.when(F.col("turned"), F.reverse("word")).otherwise(F.col("word"))
+        large = (F.col("size") > list_words) & (F.col("shorter") - F.length("head") - F.length("tail") > 1)
+        order = F.when(F.col("path").endswith("b"), F.reverse("word")).otherwise(F.col("word"))
         small = lists.join(sizes.filter(~large), _LIST).withColumn("in_order", order)
         found.append(written(
             small.repartition(*_LIST).sortWithinPartitions(*_LIST, "in_order")
-            .select(*_LIST, "turned", "word", "n")
+            .select(*_LIST, "word", "n")
             .mapInPandas(_pairs_of, "word string, n long, near string, near_n long"), "spelling-pairs"))
         if sizes.filter(large).isEmpty():
             break
-        open_ = lists.join(sizes.filter(large), _LIST).select("word", "n", "shorter", "front", "back")
+        open_ = lists.join(sizes.filter(large), _LIST).select("word", "n", "shorter", "path", "front", "back")
     return reduce(DataFrame.unionByName, found)
 
 
