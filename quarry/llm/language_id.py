@@ -3,13 +3,16 @@
 Texts are lower-cased runs of letters; a word is framed by start and end marks, and
 each language has a 4-gram model over its characters with absolute discounting and
 continuation counts in the lower orders. Counts come from all training texts and all of
-their n-grams.
+their n-grams; an n-gram is two integers (two characters of 21 bits each), so no strings move.
+
+A model is stored as sorted arrays of 64-bit n-gram hashes with their log probabilities, and
+of context hashes with their log weights of the lower order, per language. They are cut into
+blocks of about ``BLOCK_BYTES`` by language and by the character before the last, on which a 4-gram and all
+that it backs off to agree: a block scores its n-grams alone. Texts are scored by binary
+search in one block after the other, and their sums added up, so a model of any size passes
+through a worker in bounded pieces. Only the discounts' floor and the limits of rejection (a few numbers
+per language) and one block at a time reach the driver.
 
-Every read of the texts is one pass that writes a row per chunk: its distinct 4-grams, the
-4-grams of its distinct words, and which text holds which word how often. Counts, contexts and probabilities are tables keyed
-by n-gram with one array entry per language; only the alphabet's size, the discounts and
-the limits of rejection (a few numbers per language) reach the driver. Distinct n-grams
-meet the tables order by order, and each chunk its n-grams.
 A text's cross-entropy is the mean over its characters, its language the one with the
 least; a text whose least cross-entropy is above what its language's own training texts
 (all of them) show is marked as rejected.
@@ -17,14 +20,14 @@ least; a text whose least cross-entropy is above what its language's own trainin
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,14 +36,18 @@ from quarry.llm.scratch import written
 from quarry.operators.quantiles import exact_quantiles
 
 ORDER = 4
-MAX_LANGUAGES = 256
+#: Hashes and values of one block of a model.
+BLOCK_BYTES = 64 << 20
+#: Distinct n-grams a task holds before it hands them on.
+HELD_GRAMS = 500_000
 REJECT_QUANTILE = 0.995
 CHUNK_BYTES = 4 << 20
 #: Nats per character that count as one unit of confidence.
 SHARPNESS = 12.0
 START, END = 2, 3
 UNDETERMINED = "und"
-PACKED = ("size", "spelt", "row", "word", "n")
+BITS = 21
+MASK = (1 << BITS) - 1
 _U = A.U64
 _tables: list = []
 
@@ -107,86 +114,90 @@ def _framed(found: Letters) -> tuple[np.ndarray, np.ndarray]:
     return out, limits
 
 
-def _distinct_grams(codes: np.ndarray, limits: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Distinct 4-grams of framed words, and the index of each in order."""
+def _distinct_grams(codes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct 4-grams of framed words (first and last two characters), and the index of each in order."""
     if not len(codes):
-        return [], np.zeros(0, np.int64)
-    # pairs of code points, then pairs of pairs: numbers that fit 64 bits
-    pairs = np.unique(codes[:-1].astype(np.int64) << 21 | codes[1:], return_inverse=True)[1]
+        nothing = np.zeros(0, np.int64)
+        return nothing, nothing, nothing
+    pairs = codes[:-1].astype(np.int64) << BITS | codes[1:]
+    place = np.unique(pairs, return_inverse=True)[1]
     first = np.ones(len(codes), bool)
     for k in range(1, ORDER):
         first[limits[1:] - k] = False
     at = np.flatnonzero(first)
-    _, where, index = np.unique(pairs[at] << 32 | pairs[at + 2], return_index=True, return_inverse=True)
-    whole = codes[at[where][:, None] + np.arange(ORDER)].astype("<u4").tobytes().decode("utf-32-le")
-    return [whole[i:i + ORDER] for i in range(0, len(whole), ORDER)], index
+    _, where, index = np.unique(place[at] << 32 | place[at + 2], return_index=True, return_inverse=True)
+    return pairs[at[where]], pairs[at[where] + 2], index
 
 
-def cut_texts(docs: DataFrame, key: str, text: str, lang: str | None = None) -> DataFrame:
-    """One row per chunk of texts, written: ``keys``, ``own`` (the language of each
-    training text, else null), distinct ``grams``, and as packed integers the number of
-    4-grams of each distinct word (``size``), which they are (``spelt``), and which ``row``
-    holds which ``word`` how often (``n``)."""
+@dataclass
+class Grams:
+    """Distinct 4-grams of a chunk (``hi``, ``lo``), the 4-grams of each distinct word in
+    order (``spelt``, ``size`` a word), and how often (``n``) a ``row`` holds a ``word``."""
+    hi: np.ndarray
+    lo: np.ndarray
+    spelt: np.ndarray
+    size: np.ndarray
+    row: np.ndarray
+    word: np.ndarray
+    n: np.ndarray
+
+
+def grams_of(column: pa.Array, chunk: A.Chunk) -> Grams:
+    found = letters(column, chunk)
+    words = max(1, len(found.start))
+    pair, n = np.unique(found.row * words + found.word, return_counts=True)
+    row, word = np.divmod(pair, words)
+    return Grams(*_distinct_grams(*_framed(found)), found.length + 1, row, word, n)
+
+
+def _added_up(hi: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((lo, hi))
+    hi, lo, n = hi[order], lo[order], n[order]
+    first = np.flatnonzero(np.r_[True, (np.diff(hi) != 0) | (np.diff(lo) != 0)])
+    return hi[first], lo[first], np.add.reduceat(n, first)
+
+
+def _rows(docs: DataFrame, key: str, text: str, lang: str | None = None) -> DataFrame:
     own = F.lit(None).cast("string")
     if lang is not None:
         named = F.col(lang).isNotNull() & F.col(text).isNotNull() & ~F.coalesce(held_out(F.col(key)), F.lit(False))
         own = F.when(named, F.col(lang).cast("string"))
-    rows = docs.select(F.col(key).alias("key"), own.alias("own"), F.col(text).cast("string").alias("body"))
-    kind = rows.schema["key"].dataType.simpleString()
-
-    def run(batches):
-        at = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            column = A.string_column(batch, "body")
-            for chunk in A.chunks(column, CHUNK_BYTES):
-                found = letters(column, chunk)
-                pair, n = np.unique(found.row * max(1, len(found.start)) + found.word, return_counts=True)
-                row, word = np.divmod(pair, max(1, len(found.start)))
-                grams, spelt = _distinct_grams(*_framed(found))
-                part = batch.slice(chunk.first_row, chunk.rows)
-                arrays = [pa.array([at], pa.int64())]
-                arrays += [pa.ListArray.from_arrays(pa.array([0, chunk.rows], pa.int32()), pa.concat_arrays([part.column(i)]))
-                           for i in (0, 1)]
-                arrays.append(pa.array([grams], pa.list_(pa.string())))
-                arrays += [pa.array([_packed(x)], pa.binary()) for x in (found.length + 1, spelt, row, word, n)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["chunk", "keys", "own", "grams", *PACKED])
-                at += 1
-
-    return written(rows.mapInArrow(run, f"chunk bigint, keys array<{kind}>, own array<string>, grams array<string>, "
-                                   + ", ".join(f"{x} binary" for x in PACKED)), "language-chunks")
-
-
-def _packed(x: np.ndarray) -> bytes:
-    """32-bit integers, low bytes first, then the next."""
-    return zlib.compress(x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return docs.select(F.col(key).alias("key"), own.alias("own"), F.col(text).cast("string").alias("body"))
 
 
-def _ints(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view("<i4").ravel().astype(np.int64)
+def gram_rows(rows: DataFrame) -> DataFrame:
+    """(lang, hi, lo, n) over all training texts, added up within tasks."""
+    def handed_on(name, parts):
+        hi, lo, n = _added_up(*(np.concatenate(x) for x in zip(*parts)))
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(hi), pa.string()), pa.array(hi), pa.array(lo), pa.array(n)],
+                                          names=["lang", "hi", "lo", "n"])
 
-
-def gram_rows(cut: DataFrame) -> DataFrame:
-    """(lang, gram, n) over all training texts, added up by chunk."""
     def run(batches):
+        held, size = defaultdict(list), 0
         for batch in batches:
-            for r in batch.to_pylist():
-                size, spelt, row, word, n = (_ints(r[x]) for x in PACKED)
-                names = sorted({x for x in r["own"] if x is not None})
-                code = np.array([names.index(x) if x is not None else -1 for x in r["own"]], np.int64)[row]
-                for i, name in enumerate(names):
-                    words = np.bincount(word[code == i], n[code == i], len(size))
-                    total = np.bincount(spelt, np.repeat(words, size), len(r["grams"])).astype(np.int64)
+            own = batch.column(batch.schema.get_field_index("own")).to_pylist()
+            column = A.string_column(batch, "body")
+            for chunk in A.chunks(column, CHUNK_BYTES):
+                g = grams_of(column, chunk)
+                names = own[chunk.first_row:chunk.first_row + chunk.rows]
+                for name in sorted(set(names)):
+                    of = np.array([x == name for x in names])[g.row]
+                    words = np.bincount(g.word[of], g.n[of], len(g.size))
+                    total = np.bincount(g.spelt, np.repeat(words, g.size), len(g.hi)).astype(np.int64)
                     some = np.flatnonzero(total)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(some), pa.string()), pa.array([r["grams"][j] for j in some], pa.string()),
-                         pa.array(total[some], pa.int64())], names=["lang", "gram", "n"])
-    return cut.select("own", "grams", *PACKED).mapInArrow(run, "lang string, gram string, n bigint")
-
+                    if len(some):
+                        held[name].append((g.hi[some], g.lo[some], total[some]))
+                        size += len(some)
+                if size > HELD_GRAMS:
+                    held = defaultdict(list, {x: [_added_up(*(np.concatenate(y) for y in zip(*parts)))]
+                                              for x, parts in held.items()})
+                    size = sum(len(parts[0][0]) for parts in held.values())
+                    if size > HELD_GRAMS // 2:
+                        yield from (handed_on(x, parts) for x, parts in held.items())
+                        held, size = defaultdict(list), 0
+        yield from (handed_on(x, parts) for x, parts in held.items())
 
-def gram_counts(rows: DataFrame, languages: list[str]) -> DataFrame:
-    """(gram, n): counts of all 4-grams, one per language."""
-    per_language = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)) for x in languages]
-    return rows.groupBy("gram").agg(F.array(*per_language).alias("n"))
+    return rows.filter("own IS NOT NULL").mapInArrow(run, "lang string, hi bigint, lo bigint, n bigint")
 
 
 def discount(n1: int, n2: int) -> float:
@@ -232,113 +243,199 @@ class KneserNey:
         return max(self.counts[k].get(gram, 0) - self.discount[k], 0.0) / total + self.backoff(context) * lower
 
 
+def gram_hash(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    return A.mix(hi.astype(_U) * _U(A._BASE) ^ A.mix(lo.astype(_U) + _U(0x632BE59BD9B4E019)))
+
+
+def _shorter(hi, lo, k: int):
+    """The n-gram of order k without its first character."""
+    return (hi & MASK, lo) if k == 4 else (hi * 0, lo) if k == 3 else (hi, lo & MASK)
+
+
+def _context(hi, lo):
+    """The n-gram without its last character."""
+    return hi >> BITS, (hi & MASK) << BITS | lo >> BITS
+
+
+def _spark_context(hi: str, lo: str):
+    return (F.shiftright(hi, BITS).alias("hi"),
+            F.shiftleft(F.col(hi).bitwiseAND(MASK), BITS).bitwiseOR(F.shiftright(lo, BITS)).alias("lo"))
+
+
+def _spark_shorter(k: int):
+    hi, lo = F.col("hi"), F.col("lo")
+    zero = F.lit(0).cast("long")
+    return {4: (hi.bitwiseAND(MASK), lo), 3: (zero, lo), 2: (zero, lo.bitwiseAND(MASK))}[k]
+
+
 @dataclass
 class Model:
-    """Tables of n-gram counts and contexts by order (one array entry per language)."""
+    """``table``: (block, lang, kind, hashes, scores), one row per sorted array; kind k holds
+    n-grams of order k, kind -k the contexts of k characters. Block -1 is part of every block."""
     languages: list[str]
-    alphabet: int = 1
-    counts: dict[int, DataFrame] = field(default_factory=dict)      # gram, n
-    contexts: dict[int, DataFrame] = field(default_factory=dict)    # context, total, kinds
-    totals: list[tuple[int, int]] = field(default_factory=list)     # of single characters: total, kinds
-    discounts: dict[int, list[float]] = field(default_factory=dict)
+    table: DataFrame | None = None
+    blocks: int = 0
+    floor: list[float] = field(default_factory=list)   # of an unseen character
     limits: list[float] = field(default_factory=list)
 
-    def probabilities(self, grams: DataFrame, k: int = ORDER) -> DataFrame:
-        """(gram, p) for distinct n-grams of order k, from those one character shorter."""
-        each = range(len(self.languages))
-        found = grams.join(self.counts[k], "gram", "left")
-        seen = [F.greatest(F.coalesce(F.col("n")[i], F.lit(0)) - self.discounts[k][i], F.lit(0.0)) for i in each]
+    def block(self, number: int) -> list[dict[int, tuple[np.ndarray, np.ndarray]]]:
+        """The sorted arrays of a block, by language and kind: about BLOCK_BYTES."""
+        out: list[dict] = [{} for _ in self.languages]
+        rows = self.table.filter(F.col("block").isin(-1, number)).select("lang", "kind", "hashes", "scores")
+        for r in rows.toArrow().to_pylist():
+            out[r["lang"]][r["kind"]] = np.frombuffer(r["hashes"], "<u8"), np.frombuffer(r["scores"], "<f8")
+        return out
+
+    def score(self, arrays: dict, lang: int, hi: np.ndarray, lo: np.ndarray, k: int = ORDER) -> np.ndarray:
+        """Log probabilities of n-grams of order k in a language."""
+        found, out = _looked_up(arrays, k, hi, lo)
+        rest = np.flatnonzero(~found)
+        if not len(rest):
+            return out
         if k == 1:
-            p = [seen[i] / total + self.discounts[1][i] * kinds / total / self.alphabet
-                 for i, (total, kinds) in enumerate(self.totals)]
-            return found.select("gram", F.array(*p).alias("p"))
-        shorter = F.substring("gram", 2, k - 1)
-        lower = self.probabilities(grams.select(shorter.alias("gram")).distinct(), k - 1)
-        found = (found.withColumn("context", F.substring("gram", 1, k - 1)).withColumn("shorter", shorter)
-                 .join(self.contexts[k], "context", "left")
-                 .join(lower.select(F.col("gram").alias("shorter"), F.col("p").alias("lower")), "shorter"))
-        p = []
-        for i in each:
-            total, less = F.col("total")[i], F.col("lower")[i]
-            p.append(F.when(total > 0, seen[i] / total + self.discounts[k][i] * F.col("kinds")[i] / total * less)
-                     .otherwise(less))
-        return found.select("gram", F.array(*p).alias("p"))
-
-    def cross_entropies(self, cut: DataFrame) -> DataFrame:
-        """(key, own, entropies) of every text: mean negative log probability per character
-        in each language; null without letters."""
-        n_languages, kind = len(self.languages), cut.schema["keys"].dataType.elementType.simpleString()
-        schema = f"key {kind}, own string, entropies array<double>"
-        if not n_languages:
-            none = F.lit(None).cast("array<double>").alias("entropies")
-            return cut.select(F.explode(F.arrays_zip("keys", "own")).alias("r")).select(
-                F.col("r.keys").alias("key"), F.col("r.own").alias("own"), none)
-        placed = cut.select("chunk", F.posexplode("grams").alias("place", "gram"))
-        p = self.probabilities(placed.select("gram").distinct())
-        scored = placed.join(p.select("gram", F.transform("p", lambda x: F.ln(x)).alias("s")), "gram")
-        scored = scored.groupBy("chunk").agg(F.collect_list(F.struct("place", "s")).alias("scores"))
-        chunks = cut.select("chunk", "keys", "own", *PACKED)
-
-        def run(batches):
+            out[rest] = self.floor[lang]
+            return out
+        hi, lo = hi[rest], lo[rest]
+        seen, weight = _looked_up(arrays, 1 - k, *_context(hi, lo))
+        out[rest] = np.where(seen, weight, 0.0) + self.score(arrays, lang, *_shorter(hi, lo, k), k - 1)
+        return out
+
+    def scores(self, block: list[dict], number: int, g: Grams) -> np.ndarray:
+        """Per distinct word and language, the sum over those of its 4-grams that are the block's."""
+        out = np.zeros((len(g.size), len(self.languages)))
+        if len(g.spelt):
+            for lang, arrays in enumerate(block):
+                if self.blocks == 1:
+                    s = self.score(arrays, lang, g.hi, g.lo)
+                else:
+                    s = np.zeros(len(g.hi))
+                    own = np.flatnonzero(((g.lo >> BITS) + 31 * lang) % self.blocks == number)
+                    s[own] = self.score(arrays, lang, g.hi[own], g.lo[own])
+                out[:, lang] = np.add.reduceat(s[g.spelt], np.cumsum(g.size) - g.size)
+        return out
+
+
+def _looked_up(arrays: dict, kind: int, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    hashes, scores = arrays.get(kind, (None, None))
+    if hashes is None:
+        return np.zeros(len(hi), bool), np.zeros(len(hi))
+    h = gram_hash(hi, lo)
+    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+    return hashes[at] == h, scores[at].copy()
+
+
+def cross_entropies(rows: DataFrame, model: Model) -> DataFrame:
+    """(key, own, entropies) of every text: mean negative log probability per character
+    in each language; null without letters."""
+    n_languages, kind = len(model.languages), rows.schema["key"].dataType.simpleString()
+    if not n_languages:
+        return rows.select("key", "own", F.lit(None).cast("array<double>").alias("entropies"))
+    marked = rows.select("key", "own", "body", F.xxhash64("body").alias("mark"), F.hash("body").alias("also"))
+    sums = []
+    plain = Model(model.languages, None, model.blocks, model.floor)
+    for number in range(model.blocks):
+        arrays = rows.sparkSession.sparkContext.broadcast(model.block(number))
+
+        def run(batches, number=number, arrays=arrays):
             for batch in batches:
-                for at in range(batch.num_rows):
-                    one = batch.slice(at, 1)
-                    take = lambda name: one.column(one.schema.get_field_index(name))
-                    size, spelt, row, word, n = (_ints(take(x)[0].as_py()) for x in PACKED)
-                    pairs, scores = take("scores").flatten(), np.zeros((len(size), n_languages))
-                    if len(pairs):
-                        place, s = pairs.flatten()
-                        of_gram = np.zeros((len(pairs), n_languages))
-                        of_gram[place.to_numpy(zero_copy_only=False)] = s.flatten().to_numpy(
-                            zero_copy_only=False).reshape(-1, n_languages)
-                        scores = np.add.reduceat(of_gram[spelt], np.cumsum(size) - size)
-                    keys, own = take("keys").flatten(), take("own").flatten()
-                    total = np.stack([np.bincount(row, scores[word, j] * n, len(keys)) for j in range(n_languages)], axis=1)
-                    chars = np.bincount(row, size[word] * n, len(keys))
-                    some = chars > 0
-                    out = -total[some] / chars[some, None]
-                    ends = np.concatenate([[0], np.cumsum(some) * n_languages]).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()), mask=pa.array(~some))
-                    yield pa.RecordBatch.from_arrays([keys, own, lists], names=["key", "own", "entropies"])
-
-        return chunks.join(scored, "chunk", "left").mapInArrow(run, schema)
-
-
-def count_model(rows: DataFrame) -> Model:
-    """The model, without limits, from (lang, gram, n)."""
-    languages = sorted(r.lang for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    model, each = Model(languages), range(len(languages))
+                column = A.string_column(batch, "body")
+                others = batch.select(["key", "own", "mark", "also"])
+                for chunk in A.chunks(column, CHUNK_BYTES):
+                    g = grams_of(column, chunk)
+                    scores = plain.scores(arrays.value, number, g)
+                    total = np.stack([np.bincount(g.row, scores[g.word, j] * g.n, chunk.rows)
+                                      for j in range(n_languages)], axis=1)
+                    chars = np.bincount(g.row, g.size[g.word] * g.n, chunk.rows).astype(np.int64)
+                    ends = pa.array(np.arange(chunk.rows + 1, dtype=np.int32) * n_languages)
+                    part = others.slice(chunk.first_row, chunk.rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns, pa.array(chars), pa.ListArray.from_arrays(ends, pa.array(total.ravel()))],
+                        names=["key", "own", "mark", "also", "chars", "total"])
+
+        sums.append(marked.mapInArrow(run, f"key {kind}, own string, mark bigint, also int, chars bigint, total array<double>"))
+    found = sums[0]
+    if len(sums) > 1:
+        # equal rows have equal sums: each counts once per block, and all of them come back
+        every = reduce(DataFrame.unionByName, [written(x, "language-sums") for x in sums])
+        each = [F.sum(F.col("total")[i]) for i in range(n_languages)]
+        found = every.groupBy("key", "own", "mark", "also", "chars").agg(
+            F.array(*each).alias("total"), (F.count(F.lit(1)) / len(sums)).cast("int").alias("copies"))
+        found = found.withColumn("total", F.transform("total", lambda x: x / F.col("copies"))).withColumn(
+            "one", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
+    return found.select("key", "own", F.when(F.col("chars") > 0, F.transform(
+        "total", lambda x: -x / F.col("chars"))).alias("entropies"))
+
+
+def _packed(rows: pd.DataFrame) -> pd.DataFrame:
+    """Sorted array of one block, language and kind."""
+    h = gram_hash(rows["hi"].to_numpy(), rows["lo"].to_numpy())
+    order = np.argsort(h)
+    one = {c: [rows[c].iloc[0]] for c in ("block", "lang", "kind")}
+    return pd.DataFrame(one | {"hashes": [h[order].astype("<u8").tobytes()],
+                               "scores": [rows["score"].to_numpy()[order].astype("<f8").tobytes()]})
+
+
+def count_model(counted: DataFrame, block_bytes: int = BLOCK_BYTES) -> Model:
+    """The model, without limits, from (lang, hi, lo, n)."""
+    grams = written(counted.groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n")), "language-grams")
+    # a few numbers per language
+    languages = sorted(r.lang for r in grams.select("lang").distinct().collect())
+    model = Model(languages)
     if not languages:
         return model
-    model.counts[ORDER] = written(gram_counts(rows, languages), "language-grams")
-    is_seen = [F.when(F.col("n")[i] > 0, 1).otherwise(0) for i in each]
+    order, facts = {ORDER: grams}, {}
+    gram = ["lang", "hi", "lo"]
     for k in range(ORDER, 0, -1):
-        grams = model.counts[k]
-        once, twice, total, kinds = (
-            [F.sum(x) for x in xs] for xs in ([F.when(F.col("n")[i] == 1, 1).otherwise(0) for i in each],
-                                              [F.when(F.col("n")[i] == 2, 1).otherwise(0) for i in each],
-                                              [F.col("n")[i] for i in each], is_seen))
-        r = grams.agg(*[F.array(*x) for x in (once, twice, total, kinds)], F.count(F.lit(1))).first()
-        model.discounts[k] = [discount(a, b) for a, b in zip(r[0], r[1])]
-        if k == 1:
-            model.totals, model.alphabet = list(zip(r[2], r[3])), r[4] + 1
-            break
-        contexts = grams.groupBy(F.substring("gram", 1, k - 1).alias("context"))
-        model.contexts[k] = written(contexts.agg(F.array(*total).alias("total"), F.array(*kinds).alias("kinds")),
-                                    "language-contexts")
-        # continuation counts: distinct left neighbours
-        lower = grams.groupBy(F.substring("gram", 2, k - 1).alias("gram")).agg(F.array(*kinds).alias("n"))
-        model.counts[k - 1] = written(lower, "language-grams")
+        n1, n2 = (F.sum(F.when(F.col("n") == x, 1).otherwise(0)) for x in (1, 2))
+        cut = F.least(F.lit(0.95), F.greatest(F.lit(0.1), F.when(n1 > 0, n1 / (n1 + 2 * n2)).otherwise(0.5)))
+        facts[k] = order[k].groupBy("lang").agg(cut.alias("cut"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
+        if k > 1:  # continuation counts: distinct left neighbours
+            hi, lo = _spark_shorter(k)
+            order[k - 1] = written(order[k].groupBy("lang", hi.alias("hi"), lo.alias("lo"))
+                                   .agg(F.count(F.lit(1)).alias("n")), "language-grams")
+    alphabet = order[1].select("lo").distinct().count() + 1
+    ones = {r.lang: r for r in facts[1].collect()}
+    model.floor = [float(np.log(r.cut * r.kinds / r["all"] / alphabet)) for r in (ones[x] for x in languages)]
+    pieces = []
+    # all languages' single characters: probability of those seen
+    lower = order[1].join(facts[1], "lang").select(
+        *gram, ((F.col("n") - F.col("cut") + F.col("cut") * F.col("kinds") / alphabet) / F.col("all")).alias("p"))
+    for k in range(1, ORDER + 1):
+        if k > 1:
+            hi, lo = _spark_context("hi", "lo")
+            contexts = (order[k].groupBy("lang", hi, lo).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+                        .join(facts[k].select("lang", "cut"), "lang")
+                        .select(*gram, "total", (F.col("cut") * F.col("kinds") / F.col("total")).alias("weight")))
+            contexts = written(contexts, "language-contexts")
+            pieces.append(contexts.select(*gram, F.lit(1 - k).alias("kind"), F.ln("weight").alias("score"),
+                                          F.col("lo").bitwiseAND(MASK).alias("pivot")))
+            (ch, cl), (sh, sl) = _spark_context("hi", "lo"), _spark_shorter(k)
+            found = order[k].select("*", ch.alias("ch"), cl.alias("cl"), sh.alias("sh"), sl.alias("sl"))
+            found = found.join(contexts.select("lang", F.col("hi").alias("ch"), F.col("lo").alias("cl"), "total", "weight"),
+                               ["lang", "ch", "cl"])
+            found = found.join(lower.select("lang", F.col("hi").alias("sh"), F.col("lo").alias("sl"), F.col("p").alias("less")),
+                               ["lang", "sh", "sl"]).join(facts[k].select("lang", "cut"), "lang")
+            lower = found.select(*gram, ((F.col("n") - F.col("cut")) / F.col("total")
+                                         + F.col("weight") * F.col("less")).alias("p"))
+        lower = written(lower, "language-probabilities")
+        pieces.append(lower.select(*gram, F.lit(k).alias("kind"), F.ln("p").alias("score"),
+                                   (F.shiftright("lo", BITS) if k > 1 else F.lit(None).cast("long")).alias("pivot")))
+    entries = reduce(DataFrame.unionByName, pieces)
+    model.blocks = max(1, -(-entries.count() * 16 // block_bytes))
+    number = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")).cast("int") - 1
+    block = F.coalesce(((F.col("pivot") + 31 * number) % model.blocks).cast("int"), F.lit(-1))
+    model.table = written(
+        entries.select(block.alias("block"), number.alias("lang"), "kind", "hi", "lo", "score")
+        .groupBy("block", "lang", "kind").applyInPandas(_packed, "block int, lang int, kind int, hashes binary, scores binary"),
+        "language-model")
     return model
 
 
 def _trained(docs: DataFrame, key: str, text: str, lang: str) -> tuple[Model, DataFrame]:
     """The model, and the cross-entropies of all of ``docs`` in it."""
-    cut = cut_texts(docs, key, text, lang)
-    model = count_model(written(gram_rows(cut), "language-counts"))
-    found = written(model.cross_entropies(cut), "language-entropies")
+    rows = _rows(docs, key, text, lang)
+    model = count_model(gram_rows(rows))
+    found = written(cross_entropies(rows, model), "language-entropies")
     if model.languages:
         place = F.array_position(F.array(*[F.lit(x) for x in model.languages]), F.col("own")).cast("int")
         own = found.filter("own is not null and entropies is not null").select(
@@ -350,7 +447,8 @@ def _trained(docs: DataFrame, key: str, text: str, lang: str) -> tuple[Model, Da
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """A model of the languages named in the training rows (those not held out, with
-    text and language). No such row gives a model without languages.
+    text and language). No such row gives a model without languages; rows without a key
+    train; repeated rows count as often as they occur; there may be any number of languages.
 
     A language's limit of rejection is 1.1 times the 0.995 quantile of all its training
     texts' cross-entropies; it has at least one, as its letters come from them.
@@ -359,8 +457,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 
 def train_and_identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """:func:`identify` of ``docs`` with the model trained on them, whose texts are read
-    once for both."""
+    """:func:`identify` of ``docs`` with the model trained on them."""
     model, found = _trained(docs, key, text, lang)
     return _judged(found, model)
 
@@ -374,7 +471,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     texts are read whole; equal scores go to the first language by name; repeated rows
     are judged each; an empty table gives no row; other columns are not read.
     """
-    return _judged(model.cross_entropies(cut_texts(docs, key, text)), model)
+    return _judged(cross_entropies(_rows(docs, key, text), model), model)
 
 
 def _judged(found: DataFrame, model: Model) -> DataFrame:

@@ -419,15 +419,46 @@ def test_language_model_holds_every_gram(spark):
             framed = "\2\2\2" + w + "\3"
             counts[lang].update(framed[i:i + 4] for i in range(len(w) + 1))
     assert len(counts["xx"]) > 200_000
-    assert model.counts[4].count() == len(set(counts["xx"]) | set(counts["yy"]))
     exact = [language_id.KneserNey(counts[x]) for x in ("xx", "yy")]
     alphabet = len({g for m in exact for g in m.counts[1]}) + 1
-    assert model.alphabet == alphabet
     some = rng.sample(sorted(counts["xx"]), 200) + sorted(counts["yy"])[:200] + ["\2\2\2q", "zqzq", "\2\2\2" + letters[0]]
-    got = model.probabilities(spark.createDataFrame([(g,) for g in sorted(set(some))], "gram string")).collect()
-    assert len(got) == len(set(some))
-    for r in got:
-        assert r.p == pytest.approx([m.probability(r.gram, alphabet) for m in exact], rel=1e-9)
+    codes = np.array([[ord(c) for c in g] for g in some], np.int64)
+    hi, lo = codes[:, 0] << 21 | codes[:, 1], codes[:, 2] << 21 | codes[:, 3]
+    arrays = model.block(0)
+    assert model.blocks == 1 and len(arrays[0][4][0]) == len(counts["xx"])
+    for lang, m in enumerate(exact):
+        assert all((np.diff(h.astype(object)) > 0).all() for h, _ in arrays[lang].values())
+        assert np.exp(model.score(arrays[lang], lang, hi, lo)) == pytest.approx(
+            [m.probability(g, alphabet) for g in some], rel=1e-9)
+
+
+@pytest.mark.parametrize("block_bytes", [64 << 20, 4000])
+def test_texts_cross_entropies_by_definition(spark, docs, block_bytes):
+    """Whole texts, nulls, repeated rows and rows without a key, with one block and with many."""
+    table = [(i, x, text(i + 50 * j, 20)) for j, x in enumerate(("aa", "bb", None)) for i in range(12)]
+    train = spark.createDataFrame(table, "key long, own string, body string")
+    counts = {"aa": Counter(), "bb": Counter()}
+
+    def framed(body):
+        return ["\2\2\2" + w.lower() + "\3" for w in re.findall(r"[^\W\d_]+", body or "")]
+
+    for _, lang, body in table:
+        for w in framed(body) if lang else []:
+            counts[lang].update(w[i:i + 4] for i in range(len(w) - 3))
+    exact = [language_id.KneserNey(counts[x]) for x in ("aa", "bb")]
+    alphabet = len({g for m in exact for g in m.counts[1]}) + 1
+    model = language_id.count_model(language_id.gram_rows(train), block_bytes)
+    assert (model.blocks > 2) == (block_bytes == 4000)
+    rows = docs.select(F.col("doc_id").alias("key"), F.lit(None).cast("string").alias("own"), F.col("text").alias("body"))
+    rows = rows.union(rows.filter("key < 5"))
+    got = Counter((r.key, tuple(round(x, 9) for x in r.entropies) if r.entropies else None)
+                  for r in language_id.cross_entropies(rows, model).collect())
+    want = Counter()
+    for key, _, body in rows.collect():
+        grams = [w[i:i + 4] for w in framed(body) for i in range(len(w) - 3)]
+        want[key, tuple(round(-sum(np.log(m.probability(g, alphabet)) for g in grams) / len(grams), 9)
+                        for m in exact) if grams else None] += 1
+    assert got == want
 
 
 def test_rejection_limits_come_from_all_training_texts_of_a_language(spark):
