@@ -31,7 +31,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal values replaced in their format."""
-    return pii.pseudonyms(docs)
+    return pii.pseudonyms(docs, key=pii.TRIAL_KEY)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
