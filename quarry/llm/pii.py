@@ -21,6 +21,7 @@ import hashlib
 import re
 from bisect import bisect_left, insort
 from functools import lru_cache
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 #: For tests and trials; a production run passes a secret of its own.
 TRIAL_KEY = b"trial key, not a secret"
 ROUNDS = 8
+#: Characters of a mail address's local part that are permuted as one number: as many as mail allows.
+LOCAL_CHARS = 64
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1), dt.date(2099, 12, 31)
 
 
@@ -38,9 +41,7 @@ def feistel(x: int, size: int, key: bytes, kind: str, back: bool = False) -> int
     square-like grid that holds the domain, repeated while the image is outside."""
     if size < 2:
         return x
-    a = int(size ** 0.5)
-    while a * a < size:
-        a += 1
+    a = isqrt(size - 1) + 1
     b = -(-size // a)
 
     def f(i: int, value: int, modulus: int) -> int:
@@ -138,7 +139,8 @@ def _by_class(s: str, key: bytes, kind: str, back: bool) -> str:
 
 def _mail(s, key, back):
     local, _, domain = s.partition("@")
-    return f"{_by_class(local, key, 'mail', back)}@{domain}"
+    pieces = [_by_class(local[i:i + LOCAL_CHARS], key, f"mail{i or ''}", back) for i in range(0, len(local), LOCAL_CHARS)]
+    return f"{''.join(pieces)}@{domain}"
 
 
 def _iban_check(country: str, body: str) -> int:
@@ -202,7 +204,7 @@ def _days(order: str, sep: str) -> "_Days":
 
 # fixed values: the formats
 _KINDS = [
-    ("mail", r"(?<![\w.+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _mail),
+    ("mail", r"(?<![\w.%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _mail),
     ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}(?!\w)){2,7}(?: [A-Z0-9]{1,4})?)(?!\w)", _iban),
     ("date", r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d)", _date),
     ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", _address),
@@ -257,7 +259,7 @@ def _spans(name: str, m: re.Match) -> list[tuple[int, int]]:
     return [m.span()]
 
 
-def pseudonymise(text: str, key: bytes = TRIAL_KEY, back: bool = False) -> tuple[str, int]:
+def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, int]:
     """The text with every validated value replaced, and how many there were."""
     # pieces of text not taken so far are searched with their surroundings
     done: list[tuple[int, int, str]] = []
@@ -294,13 +296,14 @@ def _meets(taken: list[tuple[int, int, str]], a: int, b: int) -> bool:
 _HINT = re.compile(r"[0-9@]|[A-Fa-f]{32}")
 
 
-def pseudonyms(docs: DataFrame, text: str = "text", key: bytes = TRIAL_KEY, count: str | None = None) -> DataFrame:
+def pseudonyms(docs: DataFrame, key: bytes, text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with all columns and ``text`` replaced; ``count`` names a further column
     with the number of values replaced (refused if the table has it).
 
     Null texts stay null (count 0), empty ones empty; a value is treated alike wherever
     it stands, repeated rows and very long texts included; an empty table stays empty;
-    other columns are carried along unread.
+    other columns are carried along unread. ``key`` is a secret of the caller. A mail
+    address's local part of more than ``LOCAL_CHARS`` characters is permuted piece by piece.
     """
     if count is not None and count in docs.columns:
         raise ValueError(f"the table has a column {count}")

@@ -127,7 +127,7 @@ def op7_decontamination(spark, sf):
 def op8_pseudonyms(spark, sf):
     """Documents with personal numbers, dates and addresses replaced in their format."""
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    return pii.pseudonyms(docs, count="n_replaced")
+    return pii.pseudonyms(docs, pii.TRIAL_KEY, count="n_replaced")
 
 
 @query("op9_quality")
