@@ -7,6 +7,7 @@ bytes never fall in that set, so byte positions are safe cut points.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +35,30 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 _BYTE_CODES = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
 _powers: dict[int, np.ndarray] = {}
+#: What a worker keeps from task to task, emptied by :func:`release`.
+CACHES: list = [_powers]
+
+
+def release() -> None:
+    """Empties the worker's caches and hands freed memory back to the system. Workers
+    serve one stage after the other, and an executor's limit counts all of them."""
+    for cache in CACHES:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """A task function that starts and ends with empty caches."""
+    def inside(batches):
+        release()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+    return inside
 
 
 def powers(base: int, n: int) -> np.ndarray:

@@ -50,6 +50,7 @@ BITS = 21
 MASK = (1 << BITS) - 1
 _U = A.U64
 _tables: list = []
+A.CACHES.append(_tables)
 
 
 def _letter_tables() -> tuple[np.ndarray, np.ndarray]:

@@ -50,6 +50,9 @@ FREQUENT_SHINGLES = 1 << 16
 #: A shingle is frequent if it is in so large a share of the texts of some chunk.
 FREQUENT_SHARE = 0.01
 
+#: Text a worker handles at a time: with its hashes about 60 bytes for each of them.
+CHUNK_BYTES = 1 << 20
+
 _U = A.U64
 
 
@@ -138,7 +141,7 @@ def document_facts(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             keys = batch.column(0)
-            for chunk in A.chunks(A.string_column(batch, "body")):
+            for chunk in A.chunks(A.string_column(batch, "body"), CHUNK_BYTES):
                 sets = shingle_sets(chunk)
                 every, count = np.unique(np.concatenate(sets), return_counts=True)
                 often = every[count >= max(4, FREQUENT_SHARE * chunk.rows)].view(np.int64)
@@ -153,7 +156,7 @@ def document_facts(docs: DataFrame) -> DataFrame:
                     pa.array([np.bitwise_xor.reduce(s.reshape(-1, FOLDED)) for s in sketches], pa.list_(pa.int64())),
                     pa.array([often] + [None] * (chunk.rows - 1), pa.list_(pa.int64())),
                 ], names=["doc_id", "n_shingles", "set_sum", "set_xor", "sketch", "folded", "frequent"])
-    return docs.mapInArrow(run, FACTS)
+    return docs.mapInArrow(A.tidy(run), FACTS)
 
 
 def frequent_shingles(facts: DataFrame) -> np.ndarray:
@@ -171,7 +174,7 @@ def signature_rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     def run(batches):
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for chunk in A.chunks(A.string_column(batch, "body")):
+            for chunk in A.chunks(A.string_column(batch, "body"), CHUNK_BYTES):
                 sets = shingle_sets(chunk)
                 flat = np.concatenate(sets)
                 if not len(flat):
@@ -191,7 +194,7 @@ def signature_rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     pa.array(signature.view(np.int64)), pa.array(doc, pa.int64()),
                     pa.array(doc, pa.int64(), mask=lead), pa.array(hub, pa.int64(), mask=lead),
                 ], names=["signature", "doc_id", "lane", "hub"])
-    return docs.mapInArrow(run, "signature bigint, doc_id bigint, lane bigint, hub bigint")
+    return docs.mapInArrow(A.tidy(run), "signature bigint, doc_id bigint, lane bigint, hub bigint")
 
 
 def _key_places(keys: np.ndarray) -> np.ndarray:
@@ -205,7 +208,7 @@ def key_bitmap(keys: DataFrame) -> np.ndarray:
             place = np.unique(_key_places(batch.column(0).to_numpy(zero_copy_only=False)))
             yield pa.RecordBatch.from_arrays([pa.array(place >> 6), pa.array(np.left_shift(1, place & 63))],
                                              names=["word", "bits"])
-    words = keys.mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    words = keys.mapInArrow(A.tidy(run), "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     found = words.toArrow()
     bitmap = np.zeros(KEY_BITS // 64, np.int64)
     bitmap[found["word"].to_numpy()] = found["bits"].to_numpy()
@@ -221,12 +224,12 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             place = _key_places(batch.column(0).to_numpy(zero_copy_only=False))
             batch = batch.filter(pa.array((bitmap.value[place >> 6] >> (place & 63)) & 1 == 1))
             keys = batch.column(0)
-            for chunk in A.chunks(A.string_column(batch, "body")):
+            for chunk in A.chunks(A.string_column(batch, "body"), CHUNK_BYTES):
                 yield pa.RecordBatch.from_arrays([
                     keys.slice(chunk.first_row, chunk.rows),
                     pa.array([s.view(np.int64) for s in shingle_sets(chunk)], pa.list_(pa.int64())),
                 ], names=["doc_id", "shingles"])
-    return docs.mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+    return docs.mapInArrow(A.tidy(run), "doc_id bigint, shingles array<bigint>")
 
 
 def _reaches(shared, n, m, t: Fraction = THRESHOLD):

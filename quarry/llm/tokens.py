@@ -28,6 +28,7 @@ _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _PLAIN_LETTERS = [chr(i) for i in range(256) if _PLAIN.fullmatch(chr(i))]
 
 _encoders: dict[str, "PieceEncoder"] = {}
+A.CACHES.append(_encoders)
 
 
 class PieceEncoder:
