@@ -39,25 +39,27 @@ _powers: dict[int, np.ndarray] = {}
 CACHES: list = [_powers]
 
 
-def release() -> None:
-    """Empties the worker's caches and hands freed memory back to the system. Workers
+def release(keep=None) -> None:
+    """Empties the worker's caches (but for one) and hands freed memory back to the system. Workers
     serve one stage after the other, and an executor's limit counts all of them."""
     for cache in CACHES:
-        cache.clear()
+        if cache is not keep:
+            cache.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
 
 
-def tidy(run):
-    """A task function that starts and ends with empty caches."""
+def tidy(run, keep=None):
+    """A task function that starts and ends with empty caches; ``keep``: one that stays,
+    because it is dear to fill and bounded."""
     def inside(batches):
-        release()
+        release(keep() if keep else None)
         try:
             yield from run(batches)
         finally:
-            release()
+            release(keep() if keep else None)
     return inside
 
 

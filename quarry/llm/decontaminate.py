@@ -301,7 +301,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                      pa.array([h[2] for h in hits], pa.int64()), pa.array([h[3] for h in hits], pa.float64())],
                     names=["doc_id", "item_id", "first_word", "similarity"])
 
-    return rows.mapInArrow(run, "doc_id bigint, item_id bigint, first_word bigint, similarity double")
+    return rows.mapInArrow(A.tidy(run), "doc_id bigint, item_id bigint, first_word bigint, similarity double")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
@@ -318,4 +318,4 @@ def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> Data
                     keep[chunk.first_row + hit[0]] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(A.tidy(run), docs.schema)

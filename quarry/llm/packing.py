@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import arrays as A
 from quarry.llm.scratch import written
-from quarry.llm.tokens import encoded_rows
+from quarry.llm.tokens import encoded_rows, encoders
 
 TIERS = (2048, 1024, 512, 256)
 STEP_TOKENS = 1 << 16
@@ -141,7 +141,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, key: str = "doc_id", tex
             base, out = pack_block(keys, streams, base, per_tier)
             yield out
 
-    pieces = written(rows.mapInArrow(run, PIECES + (", ids binary" if with_ids else "")), "packed-pieces")
+    pieces = written(rows.mapInArrow(A.tidy(run, encoders), PIECES + (", ids binary" if with_ids else "")), "packed-pieces")
     task = F.shiftright("sequence_id", 32)
     sizes = pieces.groupBy("tier", task.alias("task")).agg((F.max("step_group") + 1).alias("windows"))
     before = F.sum("windows").over(Window.partitionBy("tier").orderBy("task")) - F.col("windows")

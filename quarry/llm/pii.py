@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import arrays as A
 
 #: For tests and trials; a production run passes a secret of its own.
 TRIAL_KEY = b"trial key, not a secret"
@@ -322,4 +323,4 @@ def pseudonyms(docs: DataFrame, key: bytes, text: str = "text", count: str | Non
                 names.append(count)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(A.tidy(run), schema)

@@ -189,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                     names=["key", "y", "x"])
 
     sample = training_sample(docs, labels, key, text, label)
-    rows = sample.mapInArrow(describe, "key bigint, y int, x array<double>").toPandas()
+    rows = sample.mapInArrow(A.tidy(describe), "key bigint, y int, x array<double>").toPandas()
     rows = rows.sort_values("key", kind="stable")  # the fit does not depend on the order of tasks
     return fit([np.asarray(x).reshape(-1, FEATURES) for x in rows.x], rows.y.to_numpy())
 
@@ -214,7 +214,7 @@ def quality(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                 [batch.column(0), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))],
                 names=["doc_id", "score", "predicted"])
 
-    return rows.mapInArrow(run, "doc_id bigint, score double, predicted int")
+    return rows.mapInArrow(A.tidy(run), "doc_id bigint, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -225,4 +225,4 @@ def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(_scores(model.value, A.string_column(batch, text)) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(A.tidy(run), docs.schema)

@@ -16,8 +16,8 @@ import numpy as np
 
 from quarry.llm import arrays as A
 
-#: Pieces a worker remembers before it starts anew (about 100 bytes each).
-REMEMBERED_PIECES = 1_500_000
+#: Pieces a worker remembers before it starts anew: about 40 MB.
+REMEMBERED_PIECES = 200_000
 _CUT_MARKS = np.zeros(256, dtype=bool)
 _CUT_MARKS[list(b'.,!?;:%$&*#"()')] = True
 _LETTERS = np.zeros(256, dtype=bool)
@@ -106,6 +106,11 @@ class PieceEncoder:
         return self.ids[source], limits
 
 
+def encoders() -> dict:
+    """The worker's encoders, whose pieces are bounded."""
+    return _encoders
+
+
 def encoder(path: str) -> PieceEncoder:
     """The worker's encoder for a vocabulary file."""
     if path not in _encoders:
