@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import (Imputer, OneHotEncoder, StringIndexer,
-                                UnivariateFeatureSelector, VectorAssembler)
+from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
+from quarry.operators.association import chi_rank
 from quarry.operators.profile import QUARTILES
 from quarry.operators.quantiles import exact_quantiles
 
@@ -138,13 +138,11 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep").transform(df)
 
 
-def chi_select(df: DataFrame, features: str, label: str, k: int, out: str = "selected",
+def chi_select(df: DataFrame, features: list[str], label: str, k: int, out: str = "selected",
                fit_on: DataFrame | None = None):
-    """Keep the ``k`` categorical features most dependent on the categorical
-    label (chi-square over ``fit_on``, by default ``df`` itself).
-    Returns ``(frame, selected feature indices)``."""
-    sel = UnivariateFeatureSelector(featuresCol=features, outputCol=out, labelCol=label,
-                                    selectionMode="numTopFeatures")
-    sel.setFeatureType("categorical").setLabelType("categorical").setSelectionThreshold(k)
-    model = sel.fit(df if fit_on is None else fit_on)
-    return model.transform(df), list(model.selectedFeatures)
+    """Assemble the ``k`` of the categorical ``features`` (columns) that depend most on the
+    categorical label, by :func:`quarry.operators.association.chi_rank` over ``fit_on`` (default: ``df``
+    itself), in the order given. Returns ``(frame, selected feature indices)``."""
+    chosen = chi_rank(df if fit_on is None else fit_on, features, label).filter(F.col("rank") <= k)
+    places = sorted(r["place"] for r in chosen.collect())  # at most k
+    return assemble(df, [features[i] for i in places], out), places

@@ -93,8 +93,9 @@ def skew_kurtosis(df: DataFrame, cols: list[str], ndigits: int | None = 6) -> Da
     """``variable, skewness, kurtosis`` (population skewness, excess kurtosis)."""
     aggs = []
     for c in cols:
-        aggs += [_r(F.skewness(c), ndigits).alias(f"{c}__skewness"),
-                 _r(F.kurtosis(c), ndigits).alias(f"{c}__kurtosis")]
+        x = numeric(c)
+        aggs += [_r(F.skewness(x), ndigits).alias(f"{c}__skewness"),
+                 _r(F.kurtosis(x), ndigits).alias(f"{c}__kurtosis")]
     return _stack(df.agg(*aggs), cols, ["skewness", "kurtosis"])
 
 
@@ -112,7 +113,7 @@ def quantiles(df: DataFrame, cols: list[str], probs=QUARTILES, interpolate: bool
     """
     if relative_error > 0:
         acc = int(round(1.0 / relative_error))
-        aggs = [_r(F.percentile_approx(F.col(c).cast("double"), p, acc), ndigits)
+        aggs = [_r(F.percentile_approx(numeric(c), p, acc), ndigits)
                 .alias(f"{c}__{n}") for c in cols for p, n in zip(probs, names)]
         return _stack(df.agg(*aggs), cols, list(names))
     long = exact_quantiles(df, cols, probs, interpolate)
@@ -269,40 +270,6 @@ def expected_frequencies(df: DataFrame, a: str, b: str, ndigits: int | None = 6)
                     _r(F.col("e"), ndigits).alias("expected"))
 
 
-def chi_square_many(df: DataFrame, features: list[str], label: str,
-                    ndigits: int | None = 6, with_p: bool = True) -> DataFrame:
-    """Pearson chi-square test of each feature against the label, all
-    features in one pass: ``variable, n, dof, statistic, statistic_yates,
-    p_value``.
-
-    ``statistic_yates`` applies the continuity correction (each observed cell
-    moves up to 0.5 towards its expected value) and is set for 2x2 tables
-    only (dof = 1), where ``p_value`` uses it, as the reference's test does."""
-    e = _with_expected(contingency(df, features, label))
-    o, ex = F.col("observed").cast("double"), F.col("e")
-    d = ex - o
-    o_corr = o + F.signum(d) * F.least(F.lit(0.5), F.abs(d))
-    agg = e.groupBy("variable").agg(
-        F.first("n").alias("n"),
-        ((F.count(F.lit(1)) / F.first("n_labels") - 1) * (F.first("n_labels") - 1)).alias("dof"),
-        F.sum((o - ex) ** 2 / ex).alias("stat"),
-        F.sum((o_corr - ex) ** 2 / ex).alias("stat_y"))
-    yates = F.when(F.col("dof") == 1, F.col("stat_y"))
-    used = F.coalesce(yates, F.col("stat"))
-    cols = [F.col("variable"), F.col("n").cast("long").alias("n"),
-            F.col("dof").cast("long").alias("dof"),
-            _r(F.col("stat"), ndigits).alias("statistic"),
-            _r(yates, ndigits).alias("statistic_yates")]
-    if with_p:
-        cols.append(_r(chi2_sf(used, F.col("dof")), ndigits).alias("p_value"))
-    return agg.select(*cols)
-
-
-def chi_square(df: DataFrame, a: str, b: str, ndigits: int | None = 6) -> DataFrame:
-    """Chi-square test of independence of ``a`` and ``b`` (one row)."""
-    return chi_square_many(df, [a], b, ndigits)
-
-
 def chi2_sf(x: Column, dof: Column) -> Column:
     """Upper tail of the chi-square distribution, P(X >= x), for integer dof.
     A vectorised (Arrow-batched) helper applied to the tiny test-result rows."""

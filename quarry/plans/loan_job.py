@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.operators import features as fe, model as md, profile as pf
+from quarry.operators import association as asc, features as fe, model as md
 from quarry.session import scratch_path
 
 
@@ -103,9 +103,8 @@ def run(df: DataFrame, r: LoanRoles | None = None) -> dict:
     def fit(x: DataFrame) -> DataFrame | None:
         return x.filter("is_train") if r.fit_on_train else None
 
-    screening = pf.chi_square_many(fit(d) if r.fit_on_train else d, feats, "label_idx")
-    asm = fe.assemble(d, selectable, "chi_features")
-    selected_df, selected = fe.chi_select(asm, "chi_features", "label_idx", r.top_k, "chisq", fit_on=fit(asm))
+    screening = asc.chi_square_many(fit(d) if r.fit_on_train else d, feats, "label_idx")
+    selected_df, selected = fe.chi_select(d, selectable, "label_idx", r.top_k, "chisq", fit_on=fit(d))
     # an index met only in test rows gets the slot for unknown values
     enc, _ = fe.one_hot(selected_df, modelled, [f"{c}_enc" for c in modelled],
                         handle_invalid="keep" if r.fit_on_train else "error", fit_on=fit(selected_df))

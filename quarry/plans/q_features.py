@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from quarry.operators import features as fe, model as md, profile as pf
-from quarry.plans import loan_job
-from quarry.plans.q_profile import LOAN
+from quarry.operators import association as asc, features as fe, model as md
+from quarry.plans import loan_job, loan_model
+from quarry.plans.q_profile import LOAN, features_chi_sql
 from quarry.plans.registry import query
 from quarry.sources.standins import Tables, loan_table
 
@@ -143,21 +143,110 @@ SELECT variable, CAST(n AS BIGINT) AS n, CAST(dof AS BIGINT) AS dof, round(stat,
 
 @query("chi_square_features", _chi_features_sql())
 def q_chi_square_features(spark, sf):
-    return pf.chi_square_many(loan_table(Tables(spark, sf)), ["lang", "source", "toxic"],
+    return asc.chi_square_many(loan_table(Tables(spark, sf)), ["lang", "source", "toxic"],
                               "quality", with_p=False)
 
 
-@query("chi_select")
+def _ranked_sql(features: list[str]) -> str:
+    tests = features_chi_sql("known", features, "quality").replace("stat_y ELSE stat END", "stat ELSE stat END")
+    places = " ".join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(features))
+    return (f", known AS (SELECT * FROM loan WHERE quality IS NOT NULL), tests AS ({tests}), "
+            f"ranked AS (SELECT variable, CASE variable {places} END AS place, p_value, row_number() OVER "
+            f"(ORDER BY p_value, CASE variable {places} END) AS rank FROM tests)\n")
+
+
+@query("chi_rank", LOAN + _ranked_sql(["lang", "source", "toxic"])
+       + "SELECT variable, CAST(place AS INTEGER) AS place, round(p_value, 6) AS p_value, CAST(rank AS INTEGER) AS rank FROM ranked")
+def q_chi_rank(spark, sf):
+    ranked = asc.chi_rank(loan_table(Tables(spark, sf)), ["lang", "source", "toxic"], "quality")
+    return ranked.withColumn("p_value", F.round("p_value", 6))
+
+
+@query("chi_select", LOAN + _rank_cte("lang").replace("WHERE lang", "WHERE quality IS NOT NULL AND lang")
+       + _rank_cte("source").replace("WHERE source", "WHERE quality IS NOT NULL AND source") + _ranked_sql(["lang", "source", "toxic"]) + """
+SELECT doc_id, list_concat(list_concat(CASE WHEN list_contains(places, 0) THEN [""" + _idx("lang").rsplit(" AS ", 1)[0]
+       + "] ELSE [] END, CASE WHEN list_contains(places, 1) THEN [" + _idx("source").rsplit(" AS ", 1)[0] + """] ELSE [] END),
+         CASE WHEN list_contains(places, 2) THEN [CAST(toxic AS DOUBLE)] ELSE [] END) AS selected
+FROM loan, (SELECT list(place) AS places FROM ranked WHERE rank <= 2) WHERE quality IS NOT NULL
+""")
 def q_chi_select(spark, sf):
     d = loan_table(Tables(spark, sf)).filter(F.col("quality").isNotNull())
     d, _ = fe.string_index(d, ["lang", "source"])
-    d = fe.assemble(d.withColumn("toxic", F.col("toxic").cast("double")),
-                    ["lang_idx", "source_idx", "toxic"], "chi_features")
-    d, _ = fe.chi_select(d.withColumn("label", F.col("quality").cast("double")),
-                         "chi_features", "label", 2, "selected")
+    d, _ = fe.chi_select(d.withColumn("toxic", F.col("toxic").cast("double")), ["lang_idx", "source_idx", "toxic"],
+                         "quality", 2, "selected")
     return d.select("doc_id", vector_to_array("selected").alias("selected"))
 
 
+_TRAIN = """, train AS (SELECT *, ln(1 + n_chars) AS v FROM loan WHERE quality IS NOT NULL AND
+  CAST('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 70)
+, t AS (SELECT quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.5) AS q2, quantile_disc(v, 0.75) AS q3 FROM train)
+"""
+
+
+@query("loan_score", LOAN + _TRAIN + "".join(_rank_cte(c).replace("FROM loan", "FROM train") for c in ("lang", "source")) + f"""
+SELECT doc_id, CASE WHEN ln(1 + n_chars) <= q1 THEN 'min-Q1' WHEN ln(1 + n_chars) <= q2 THEN 'Q1-Q2'
+                    WHEN ln(1 + n_chars) <= q3 THEN 'Q2-Q3' ELSE 'Q3-max' END AS n_chars_qcat,
+       CASE WHEN toxic = 0 THEN '0' ELSE '>0' END AS toxic_zcat,
+       CASE WHEN n_chars < 360 THEN '<360' WHEN n_chars = 360 THEN '360' ELSE '>360' END AS n_chars_tcat,
+       {_idx("lang").replace("lang_idx", "lang_cat_idx")}, {_idx("source").replace("source_idx", "source_cat_idx")},
+       true AS same
+FROM loan, t
+""")
+def q_loan_score(spark, sf):
+    """A fitted pipeline, saved, loaded and applied to all rows, most of them never seen."""
+    found = loan_model.trained_and_scored(loan_table(Tables(spark, sf)))
+    return found.select("doc_id", "n_chars_qcat", "toxic_zcat", "n_chars_tcat", "lang_cat_idx", "source_cat_idx", "same")
+
+
+_SCORES = """, scored AS (SELECT quality AS y, n_chars % 13 AS score, CASE WHEN n_chars > 1500 THEN 1 ELSE 0 END AS hard
+  FROM loan WHERE quality IS NOT NULL)
+"""
+
+
+def _auc_sql(kind, x):
+    return (f"SELECT '{kind}' AS kind, (SELECT count(*) FROM scored WHERE y = 1) AS n_positive, "
+            f"(SELECT count(*) FROM scored WHERE y = 0) AS n_negative, round((SELECT avg(CASE WHEN p.{x} > q.{x} THEN 1.0 "
+            f"WHEN p.{x} = q.{x} THEN 0.5 ELSE 0.0 END) FROM scored p JOIN scored q ON p.y = 1 AND q.y = 0), 9) AS auc")
+
+
+@query("rank_auc", LOAN + _SCORES + _auc_sql("score", "score") + " UNION ALL " + _auc_sql("hard", "hard"))
+def q_rank_auc(spark, sf):
+    """Area under the ROC curve of a score with many ties and of a hard label."""
+    d = loan_table(Tables(spark, sf)).select(
+        "quality", (F.col("n_chars") % 13).alias("score"), F.when(F.col("n_chars") > 1500, 1).otherwise(0).alias("hard"))
+    parts = [md.rank_auc(d, "quality", c).select(F.lit(c).alias("kind"), "n_positive", "n_negative", F.round("auc", 9).alias("auc"))
+             for c in ("score", "hard")]
+    return parts[0].union(parts[1])
+
+
+@query("logistic_certificate", LOAN.replace("WITH", "WITH RECURSIVE", 1) + """
+, rows AS (SELECT CAST(quality AS DOUBLE) AS y, ln(1 + n_chars) AS x FROM loan WHERE quality IS NOT NULL)
+, newton AS (
+  SELECT 0 AS i, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1
+  UNION ALL
+  SELECT i + 1, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+  FROM (SELECT i, b0, b1, sum(y - p) AS g0, sum((y - p) * x) AS g1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x) AS h01,
+               sum(p * (1 - p) * x * x) AS h11
+        FROM (SELECT *, 1 / (1 + exp(-b0 - b1 * x)) AS p FROM newton, rows) GROUP BY i, b0, b1)
+  WHERE i < 30)
+, best AS (SELECT b0, b1 FROM newton WHERE i = 30)
+SELECT count(*) AS n, round(max(b0), 4) AS intercept, round(max(b1), 4) AS slope,
+       round(avg(ln(1 + exp(b0 + b1 * x)) - y * (b0 + b1 * x)), 6) AS log_loss, true AS converged
+FROM rows, best
+""")
+def q_logistic_certificate(spark, sf):
+    """A logistic regression, with log-loss and gradient at its stored coefficients."""
+    d = loan_table(Tables(spark, sf)).filter("quality IS NOT NULL").select(
+        F.col("quality").cast("double").alias("y"), F.log1p(F.col("n_chars").cast("double")).alias("x"))
+    path = loan_model.scratch_path(spark, "logistic")
+    loan_model.save(md.fit_logistic(d, ["x"], "y", tol=1e-12), path)
+    fitted = loan_model.load(spark, path).stages[-1]
+    slope, intercept = float(fitted.coefficients[0]), float(fitted.intercept)
+    return md.log_loss(d, ["x"], "y", [slope], intercept).select(
+        "n", F.round(F.lit(intercept), 4).alias("intercept"), F.round(F.lit(slope), 4).alias("slope"),
+        F.round("log_loss", 6).alias("log_loss"), (F.col("gradient_norm") < 1e-6).alias("converged"))
+
+
 @query("hash_split", LOAN + """
 SELECT doc_id, CAST('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 70
        AS is_train

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import profile as pf
+from quarry.operators import association as asc, profile as pf
 from quarry.plans.registry import query
 from quarry.sources.standins import Tables, loan_table
 
@@ -233,7 +233,86 @@ FROM s
 
 @query("chi_square", _chi_sql("l_returnflag", "l_linestatus", "lineitem"))
 def q_chi_square(spark, sf):
-    return pf.chi_square(Tables(spark, sf).lineitem, "l_returnflag", "l_linestatus")
+    return asc.chi_square(Tables(spark, sf).lineitem, "l_returnflag", "l_linestatus")
+
+
+#: Upper tail of the chi-square distribution at ``x`` with ``k`` degrees of freedom, as a sum of
+#: the incomplete gamma function's series (all terms are positive).
+def _tail_sql(x: str, k: str) -> str:
+    return (f"round(CASE WHEN {k} = 0 THEN NULL WHEN {x} <= 0 THEN 1.0 ELSE greatest(0.0, 1 - (SELECT sum(exp(-{x} / 2 + ({k} / 2.0 + i) "
+            f"* ln({x} / 2) - lgamma({k} / 2.0 + i + 1))) FROM range(0, 20000) r(i))) END, 6)")
+
+
+def features_chi_sql(rows: str, features: list[str], label: str) -> str:
+    """Chi-square per feature over its full grid, with p-value; ``rows`` names a table."""
+    one = []
+    for f in features:
+        grid = _GRID.format(a=f"CAST({f} AS VARCHAR)", b=f"CAST({label} AS VARCHAR)",
+                            t=f"(SELECT * FROM {rows} WHERE {f} IS NOT NULL AND {label} IS NOT NULL)")
+        one.append(f"""SELECT '{f}' AS variable, n, dof, round(stat, 6) AS statistic,
+       round(CASE WHEN dof = 1 THEN stat_y END, 6) AS statistic_yates,
+       {_tail_sql("CASE WHEN dof = 1 THEN stat_y ELSE stat END", "dof")} AS p_value
+FROM (SELECT CAST(max(n) AS BIGINT) AS n, CAST((count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS BIGINT) AS dof,
+             CASE WHEN count(DISTINCT a) > 1 AND count(DISTINCT b) > 1 THEN sum(power(o - e, 2) / e) ELSE 0.0 END AS stat,
+             sum(power(o + sign(e - o) * least(0.5, abs(e - o)) - e, 2) / e) AS stat_y
+      FROM ({grid.strip()} SELECT * FROM grid))""")
+    return " UNION ALL ".join(f"({x})" for x in one)
+
+
+@query("chi_square_wide", features_chi_sql("lineitem", ["l_partkey", "l_suppkey"], "l_linestatus"))
+def q_chi_square_wide(spark, sf):
+    """Features of thousands of values: only cells that occur are counted."""
+    return asc.chi_square_many(Tables(spark, sf).lineitem, ["l_partkey", "l_suppkey"], "l_linestatus")
+
+
+_GAPS = LOAN + """, gaps AS (SELECT *, CASE WHEN quality = 1 THEN toxic END AS toxic_if_good,
+  CASE WHEN doc_id % 3 > 0 THEN lang END AS lang_or_null, CASE WHEN quality = 0 THEN 'x' END AS one_value FROM loan)
+"""
+
+
+@query("chi_square_gaps", _GAPS + features_chi_sql(
+    "gaps", ["lang_or_null", "source", "toxic", "toxic_if_good", "one_value"], "quality"))
+def q_chi_square_gaps(spark, sf):
+    """Features that lack values, one of them wherever the label has one of its values."""
+    good = F.col("quality") == 1
+    rows = loan_table(Tables(spark, sf)).select(
+        "quality", "source", "toxic", F.when(good, F.col("toxic")).alias("toxic_if_good"),
+        F.when(F.col("doc_id") % 3 > 0, F.col("lang")).alias("lang_or_null"),
+        F.when(F.col("quality") == 0, "x").alias("one_value"))
+    return asc.chi_square_many(rows, ["lang_or_null", "source", "toxic", "toxic_if_good", "one_value"], "quality")
+
+
+_PLANTED = """WITH planted AS (SELECT CASE WHEN l_linenumber = 3 THEN 'nan'::DOUBLE WHEN l_linenumber <> 5 THEN l_discount END AS gaps,
+  CASE WHEN l_linenumber = 2 THEN 'nan'::DOUBLE ELSE l_quantity END AS nans FROM lineitem),
+kept AS (SELECT CASE WHEN isnan(gaps) THEN NULL ELSE gaps END AS gaps, CASE WHEN isnan(nans) THEN NULL ELSE nans END AS nans FROM planted)
+"""
+
+
+def _planted(c):
+    return f"""SELECT '{c}' AS variable, (SELECT count(*) FROM planted WHERE {c} IS NULL OR isnan({c})) AS missing,
+  count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS stddev, min({c}) AS min, max({c}) AS max,
+  (SELECT round(avg(power({c} - mu, 3)) / power(avg(power({c} - mu, 2)), 1.5), 6) FROM kept, (SELECT avg({c}) AS mu FROM kept)) AS skewness,
+  (SELECT round(avg(power({c} - mu, 4)) / power(avg(power({c} - mu, 2)), 2) - 3, 6) FROM kept, (SELECT avg({c}) AS mu FROM kept)) AS kurtosis,
+  round(quantile_cont({c}, 0.25), 6) AS q1, round(quantile_cont({c}, 0.5), 6) AS q2, round(quantile_cont({c}, 0.75), 6) AS q3,
+  quantile_disc({c}, 0.75) AS top_value
+FROM kept"""
+
+
+@query("profile_gaps", _PLANTED + _planted("gaps") + " UNION ALL " + _planted("nans"))
+def q_profile_gaps(spark, sf):
+    """Whole profile of columns with NaN and null, which both count as missing."""
+    nan = F.lit(float("nan"))
+    rows = Tables(spark, sf).lineitem.select(
+        F.when(F.col("l_linenumber") == 3, nan).when(F.col("l_linenumber") != 5, F.col("l_discount").cast("double")).alias("gaps"),
+        F.when(F.col("l_linenumber") == 2, nan).otherwise(F.col("l_quantity").cast("double")).alias("nans"))
+    cols = ["gaps", "nans"]
+    missing = pf.missing_counts(rows).unpivot([], cols, "variable", "missing")
+    # a sketch's answer at an error below one value's share is the stored value at that rank
+    top = pf.quantiles(rows, cols, (0.75,), relative_error=1e-4, names=("top_value",))
+    out = missing
+    for part in (pf.describe(rows, cols), pf.skew_kurtosis(rows, cols), pf.quantiles(rows, cols), top):
+        out = out.join(part, "variable")
+    return out
 
 
 @query("csv_inferred", "SELECT c_nationkey, c_acctbal FROM customer")

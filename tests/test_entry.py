@@ -10,7 +10,7 @@ import __spark_entry__ as E
 from quarry.sources.tables import TABLES
 
 SMALL = "/root/testdata/sf0.001"
-ROWS_ONLY = {"chi_select", "logistic_auc"}
+ROWS_ONLY = {"logistic_auc"}
 
 
 def test_entry(spark):

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import profile as pf
+from quarry.operators import association as asc, profile as pf
 
 RNG = np.random.default_rng(7)
 
@@ -87,7 +87,7 @@ def test_chi_square_against_hand_computation(spark):
     stat = ((obs - exp) ** 2 / exp).sum()
     corr = obs + np.sign(exp - obs) * np.minimum(0.5, np.abs(exp - obs))
     yates = ((corr - exp) ** 2 / exp).sum()
-    r = pf.chi_square(df, "f", "lab").first()
+    r = asc.chi_square(df, "f", "lab").first()
     assert (r.n, r.dof) == (75, 1)
     assert r.statistic == pytest.approx(stat, abs=1e-6)
     assert r.statistic_yates == pytest.approx(yates, abs=1e-6)
@@ -99,7 +99,7 @@ def test_chi_square_zero_cells(spark):
     df = spark.createDataFrame(rows, "f string, lab string")
     e = pf.expected_frequencies(df, "f", "lab").collect()
     assert len(e) == 6 and sum(r.observed for r in e) == 13
-    r = pf.chi_square(df, "f", "lab").first()
+    r = asc.chi_square(df, "f", "lab").first()
     obs = np.array([[0, 5], [5, 0], [2, 1]], dtype=float)
     exp = obs.sum(1, keepdims=True) * obs.sum(0, keepdims=True) / obs.sum()
     stat = ((obs - exp) ** 2 / exp).sum()
@@ -143,7 +143,7 @@ def test_constant_column_quantiles_and_iqr(spark):
 
 def test_single_class_label_chi_square(spark):
     df = spark.createDataFrame([("a", "y"), ("b", "y"), ("a", "y")], "f string, lab string")
-    r = pf.chi_square(df, "f", "lab").first()
+    r = asc.chi_square(df, "f", "lab").first()
     assert (r.n, r.dof, r.statistic) == (3, 0, 0.0)
     assert r.statistic_yates is None and (r.p_value is None or math.isnan(r.p_value))
 
@@ -186,5 +186,5 @@ def test_chi2_tail_for_all_sizes(spark):
 def test_null_categories_are_left_out(spark):
     df = spark.createDataFrame([("a", "x"), ("b", "y"), (None, "x"), ("a", None), ("a", "y"), ("b", "x")],
                                "f string, l string")
-    assert pf.chi_square(df, "f", "l").first().dof == 1
+    assert asc.chi_square(df, "f", "l").first().dof == 1
     assert sum(v for r in pf.crosstab(df, "f", "l").collect() for v in r[1:]) == 4
