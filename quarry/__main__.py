@@ -11,7 +11,7 @@ Warehouse (operational tables as Parquet folders named visit, visit_lab, ...):
   etl       SOURCE_DIR TARGET_DIR [--check]
 Loan job and table profile (header CSV or Parquet):
   loan      INPUT [--key K --label L --categorical a,b ...]
-  profile   INPUT [--key K --label L]
+  profile   INPUT [--key K --label L --out DIR]
 """
 
 from __future__ import annotations
@@ -72,6 +72,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("input")
     p.add_argument("--key", default=None)
     p.add_argument("--label", default=None)
+    p.add_argument("--out", default=None, help="folder for the frames (default: the session's scratch folder)")
     a = ap.parse_args(argv)
     spark = _session(a.master)
 
@@ -103,9 +104,12 @@ def main(argv: list[str] | None = None) -> int:
                                   "findings": out}))
     elif a.job == "profile":
         from quarry.plans.profile_job import profile_table
+        from quarry.session import scratch_path
         for name, frame in profile_table(_load(spark, a.input), a.key, a.label).items():
-            print(f"-- {name}")
-            frame.show(frame.count(), truncate=False)  # one row per column or category
+            # a text column has a row per distinct value: stored, not shown
+            out = scratch_path(spark, f"profile-{name}") if a.out is None else f"{a.out.rstrip('/')}/{name}"
+            frame.write.mode("overwrite").parquet(out)
+            print(json.dumps({"frame": name, "rows": spark.read.schema(frame.schema).parquet(out).count(), "stored": out}))
     elif a.job == "loan":
         from quarry.plans.loan_job import LoanRoles, run
         df = _load(spark, a.input)

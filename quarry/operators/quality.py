@@ -19,12 +19,14 @@ def reconcile(source: DataFrame, fact: DataFrame, keys: list[str], value: str =
               ) -> DataFrame:
     """Full comparison of a measure computed from the sources with the same
     measure read from a fact: ``keys, source_value, fact_value, diff``. Keys
-    present on one side only appear with the other value null."""
-    s = source.select(*keys, F.col(value).alias("source_value"))
-    f = fact.select(*keys, F.col(value).alias("fact_value"))
-    out = s.join(f, keys, "full_outer")
+    present on one side only appear with the other value null; a null key meets a null key."""
+    s = source.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col(value).alias("source_value"), F.lit(1).alias("_in_s"))
+    f = fact.select(*[F.col(k).alias(f"_f_{k}") for k in keys], F.col(value).alias("fact_value"))
+    same = reduce(lambda a, b: a & b, [F.col(f"_s_{k}").eqNullSafe(F.col(f"_f_{k}")) for k in keys])
+    out = s.join(f, same, "full_outer")
+    either = [F.when(F.col("_in_s").isNotNull(), F.col(f"_s_{k}")).otherwise(F.col(f"_f_{k}")).alias(k) for k in keys]
     diff = F.coalesce("source_value", F.lit(0)) - F.coalesce("fact_value", F.lit(0))
-    return out.select(*keys, "source_value", "fact_value", diff.alias("diff"))
+    return out.select(*either, "source_value", "fact_value", diff.alias("diff"))
 
 
 def source_measure(visits: DataFrame, lines: DataFrame | None, keys: list[str],
@@ -33,8 +35,7 @@ def source_measure(visits: DataFrame, lines: DataFrame | None, keys: list[str],
     ``keys`` plus the visit's month start ``month``.
 
     With ``require_item`` (the left join plus ``item IS NOT NULL``, i.e. an
-    inner join) lines are counted per ``(visit_id, item)`` and join visits
-    through the salted skew join. Without it,
+    inner join) lines are counted per ``(visit_id, item)`` and join visits once. Without it,
     a line column is counted per visit first, so the left join is one row
     per visit whatever a single visit's share of the lines."""
     v = visits.withColumn("month", month_start("visit_date"))
@@ -149,6 +150,50 @@ def warehouse_duplicates(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def table_findings(name: str, table: DataFrame, parents: dict[str, DataFrame]) -> DataFrame:
+    """All key checks of one table: ``table_name, check, column_name, findings`` with checks
+    ``rows``, ``duplicates`` (key values that occur more than once), ``null`` (per column that must not be) and
+    ``orphans`` (rows whose key has no row in ``parents``, the dimension by column).
+
+    The table is read once and grouped by its primary key; every check is a total over those
+    groups. For the foreign keys the groups collapse to the rows per value of each
+    column, all of them in one exchange, and meet the dimensions' keys in one anti join."""
+    keys = PRIMARY_KEYS[name]
+    others = [c for c in not_null_columns(WAREHOUSE[name]) if c not in keys]
+    groups = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"),
+                                      *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"_no_{c}") for c in others])
+    complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    nothing = F.lit(0).cast("long")
+    totals = groups.agg(
+        F.coalesce(F.sum("_rows"), nothing).alias("rows"),
+        F.count(F.when(complete & (F.col("_rows") > 1), 1)).alias("duplicates"),
+        *[F.coalesce(F.sum(F.when(F.col(k).isNull(), F.col("_rows"))), nothing).alias(f"_no_{k}") for k in keys],
+        *[F.coalesce(F.sum(f"_no_{c}"), nothing).alias(f"_no_{c}") for c in others])
+    rows = [("rows", None, "rows"), ("duplicates", None, "duplicates"), *[("null", c, f"_no_{c}") for c in keys + others]]
+    out = totals.select(F.explode(F.array(*[
+        F.struct(F.lit(check).alias("check"), F.lit(c).cast("string").alias("column_name"), F.col(v).alias("findings"))
+        for check, c, v in rows])).alias("x")).select("x.*")
+    if parents:
+        # foreign keys are numbers: one column holds the values of all of them
+        values = groups.select("_rows", F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column_name"), F.col(c).cast("long").alias("value")) for c in parents])).alias("x"))
+        per_value = values.select("x.*", "_rows").filter("value IS NOT NULL").groupBy("column_name", "value").agg(
+            F.sum("_rows").alias("_rows"))
+        known = reduce(DataFrame.unionByName, [
+            p.select(F.lit(c).alias("column_name"), F.col(c).cast("long").alias("value")).distinct() for c, p in parents.items()])
+        lost = per_value.join(known, ["column_name", "value"], "left_anti").groupBy("column_name").agg(F.sum("_rows").alias("n"))
+        every = table.sparkSession.createDataFrame([(c,) for c in parents], "column_name string")
+        out = out.unionByName(every.join(lost, "column_name", "left").select(
+            F.lit("orphans").alias("check"), "column_name", F.coalesce("n", nothing).alias("findings")))
+    return out.select(F.lit(name).alias("table_name"), "check", "column_name", "findings")
+
+
+def warehouse_findings(tables: dict[str, DataFrame]) -> DataFrame:
+    """:func:`table_findings` of every table, each read once."""
+    parents = {n: {c: tables[d] for f, c, d in FOREIGN_KEYS if f == n} for n in tables}
+    return reduce(DataFrame.unionByName, [table_findings(n, tables[n], parents[n]) for n in WAREHOUSE if n in tables])
+
+
 def month_mapping_counts(visits_by_month: DataFrame) -> DataFrame:
     """Visits per ``patient, provider, date_id`` (null groups included)."""
     return (visits_by_month.groupBy("patient_id", "provider_id", "date_id")

@@ -5,7 +5,7 @@ Facts are built in a single pass per fact:
 * ``fact_patient`` pre-aggregates the line tables per ``visit_id`` (map-side
   partial aggregation collapses a hot visit before anything shuffles), then
   joins one row per visit;
-* the item facts join lines to visits once, with hot visits salted
+* the item facts join lines to visits once; a hot visit is left to AQE's skew join
   (quarry.operators.joins), then group at the fact grain.
 
 Fact rows need all three keys (the targets declare them NOT NULL); rows with

@@ -30,9 +30,39 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def _fits(given: T.DataType, wanted: T.DataType) -> bool:
+    """Whether every value of a type is one of the other: equal types, or wider numbers."""
+    ladder = [T.ByteType, T.ShortType, T.IntegerType, T.LongType]
+    if type(given) in ladder and type(wanted) in ladder:
+        return ladder.index(type(given)) <= ladder.index(type(wanted))
+    if isinstance(wanted, T.DoubleType) and isinstance(given, (T.FloatType, T.IntegerType, T.ShortType, T.ByteType)):
+        return True
+    return given == wanted or isinstance(given, T.NullType)
+
+
 def insert_positional(df: DataFrame, table: str, overwrite: bool = False) -> None:
-    """``INSERT INTO table SELECT ...``: columns are matched by position."""
-    df.write.insertInto(table, overwrite=overwrite)
+    """``INSERT INTO table SELECT ...`` for a table of the session's catalog: columns
+    are matched by position, whatever their names. Another number of columns, or a
+    column whose type does not fit the one at its place, raises before anything is written.
+    ``overwrite`` replaces, in a partitioned table, only the partitions that
+    ``df`` has rows for (a table's partition columns come last)."""
+    target = df.sparkSession.table(table).schema.fields
+    if len(df.schema.fields) != len(target):
+        raise ValueError(f"{table} has {len(target)} columns, the rows have {len(df.schema.fields)}")
+    wrong = [f"{i}: {g.name} {g.dataType.simpleString()} for {w.name} {w.dataType.simpleString()}"
+             for i, (g, w) in enumerate(zip(df.schema.fields, target)) if not _fits(g.dataType, w.dataType)]
+    if wrong:
+        raise ValueError(f"columns that do not fit {table}: {'; '.join(wrong)}")
+    df = df.toDF(*[f"_{i}" for i in range(len(target))]).select(
+        *[F.col(f"_{i}").cast(w.dataType).alias(w.name) for i, w in enumerate(target)])
+    # catalog tables take the mode from the session only
+    conf, mode = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+    before = conf.get(mode)
+    try:
+        conf.set(mode, "dynamic")
+        df.write.insertInto(table, overwrite=overwrite)
+    finally:
+        conf.set(mode, before)
 
 
 def save_table(df: DataFrame, path: str, schema: T.StructType | None = None,

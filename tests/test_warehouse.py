@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import calendar as cal, quality as dq, warehouse as wh
@@ -99,7 +100,8 @@ def test_etl_then_checks_pass(spark, tmp_dir):
                           "dim_diagnosis", "fact_patient", "fact_lab", "fact_procedure",
                           "fact_diagnosis"}
     checks = run_checks(spark, src, paths)
-    assert checks["lab_count_vs_source"].filter("provider_id IS NOT NULL").count() == 0
+    compared = [n for n in checks if n.endswith("_vs_source")]
+    assert len(compared) == 13 and all(checks[n].count() == 0 for n in compared)
     assert all(r.null_rows == 0 for r in checks["null_date_ids"].collect())
     assert all(r.orphan_rows == 0 for r in checks["orphans"].collect())
     assert all(r.duplicate_keys == 0 for r in checks["duplicates"].collect())
@@ -194,3 +196,91 @@ def test_fact_lines_salted_equals_plain_with_hot_visit(spark):
     plain = wh.fact_lines(visits, dim, lines, "lab_id", "lab_count", skew="aqe")
     assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, plain.collect()))
     assert salted.agg(F.sum("lab_count")).first()[0] == 9000
+
+
+SOURCES = "visit visit_lab visit_procedure visit_diagnosis patient provider lab clinical_procedures diagnosis".split()
+
+
+def test_all_measures_and_null_keys_are_compared(spark, tmp_dir):
+    from quarry.plans.warehouse_etl import run_checks, run_etl
+    from quarry.sources.standins import Tables, clinical_sources
+    src = clinical_sources(Tables(spark, "/root/testdata/sf0.001"))
+    v = src["visit"]
+    src = {n: src[n] for n in SOURCES} | {"visit": v.withColumn("provider_id", F.when(F.col("visit_id") % 10 != 3, F.col("provider_id")))
+           .withColumn("patient_id", F.when(F.col("visit_id") % 10 != 5, F.col("patient_id")))}
+    paths = run_etl(spark, src, tmp_dir + "/wh")
+    checks = run_checks(spark, src, paths)  # rejected visits are in no fact and no finding
+    assert all(checks[n].count() == 0 for n in checks if n.endswith("_vs_source"))
+    for name, column in (("fact_patient", "visit_count"), ("fact_patient", "procedure_count"),
+                         ("fact_patient", "diagnosis_count"), ("fact_lab", "patient_count"),
+                         ("fact_procedure", "visit_count"), ("fact_diagnosis", "patient_count")):
+        table = spark.read.parquet(paths[name])
+        bad = f"{tmp_dir}/bad-{name}-{column}"
+        table.withColumn(column, F.col(column) + 1).write.parquet(bad)
+        found = run_checks(spark, src, {**paths, name: bad})
+        assert [n for n in found if n.endswith("_vs_source") and found[n].count()] == [f"{name}_{column}_vs_source"]
+    null_safe = dq.reconcile(spark.createDataFrame([(None, 1, 5), (1, None, 2)], "a int, b int, value int"),
+                             spark.createDataFrame([(None, 1, 4), (2, 2, 1)], "a int, b int, value int"), ["a", "b"])
+    assert sorted(map(tuple, null_safe.collect()), key=str) == sorted(
+        [(None, 1, 5, 4, 1), (1, None, 2, None, 2), (2, 2, None, 1, -1)], key=str)
+
+
+def test_a_rebuild_that_breaks_leaves_the_old_warehouse(spark, tmp_dir, monkeypatch):
+    import os
+    from quarry.plans.warehouse_etl import load, run_etl
+    from quarry.sources import sinks, versions
+    from quarry.sources.standins import Tables, clinical_sources
+    src = clinical_sources(Tables(spark, "/root/testdata/sf0.001"))
+    root = tmp_dir + "/wh"
+    assert versions.current(spark, root) == {}
+    run_etl(spark, src, root)
+    before = {n: sorted(map(tuple, t.collect()), key=str) for n, t in load(spark, versions.current(spark, root)).items()}
+    real, calls = sinks.save_table, []
+
+    def breaks(*a, **k):
+        calls.append(a)
+        if len(calls) == 5:
+            raise RuntimeError("lost")
+        return real(*a, **k)
+
+    monkeypatch.setattr(sinks, "save_table", breaks)
+    half = {n: src[n] for n in SOURCES} | {"visit": src["visit"].filter("visit_id % 2 = 0")}
+    with pytest.raises(RuntimeError):
+        run_etl(spark, half, root)
+    after = {n: sorted(map(tuple, t.collect()), key=str) for n, t in load(spark, versions.current(spark, root)).items()}
+    assert after == before and len(calls) == 5
+    monkeypatch.undo()
+    paths = run_etl(spark, half, root)
+    assert load(spark, paths)["fact_patient"].agg(F.sum("visit_count")).first()[0] < sum(r[3] for r in before["fact_patient"])
+    # one version is left, with the ten tables alone
+    left = [n for n in os.listdir(root) if n.startswith("v-")]
+    assert len(left) == 1 and len([n for n in os.listdir(f"{root}/{left[0]}") if not n.startswith(".")]) == 10
+
+
+def test_findings_count_each_fault(spark):
+    from quarry.schemas import WAREHOUSE
+    dims = {"provider_id": spark.createDataFrame([(1,), (2,)], "provider_id long"),
+            "lab_id": spark.createDataFrame([(7,)], "lab_id long"), "date_id": spark.createDataFrame([(1,)], "date_id int")}
+    rows = [(1, 7, 1, 1, 1, 1)] * 3 + [(2, 7, 1, 1, None, 1), (3, 7, 1, 1, 1, 1), (3, 8, 1, 1, 1, 1), (None, 7, 2, 1, 1, 1)]
+    fact = spark.createDataFrame(rows, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in WAREHOUSE["fact_lab"].fields))
+    got = {(r.check, r.column_name): r.findings for r in dq.table_findings("fact_lab", fact, dims).collect()}
+    assert got[("rows", None)] == 7 and got[("duplicates", None)] == 1
+    assert got[("orphans", "provider_id")] == 2 and got[("orphans", "lab_id")] == 1 and got[("orphans", "date_id")] == 1
+    assert got[("null", "provider_id")] == 1 and got[("null", "visit_count")] == 1 and got[("null", "lab_count")] == 0
+    frame = dq.table_findings("fact_lab", fact, dims)
+    frame.collect()
+    assert {r[1] for r in dq.table_findings("fact_lab", fact.limit(0), dims).select("check", "findings").collect()} == {0}
+
+
+def test_positional_insert_checks_count_and_types(spark, tmp_dir):
+    from quarry.sources.sinks import insert_positional
+    spark.sql("DROP TABLE IF EXISTS quarry_ins")
+    spark.sql(f"CREATE TABLE quarry_ins (a BIGINT, b STRING, d INT) USING parquet PARTITIONED BY (d) LOCATION '{tmp_dir}/ins'")
+    insert_positional(spark.createDataFrame([(1, "x", 1), (2, "y", 2)], "b int, d string, a int"), "quarry_ins")
+    with pytest.raises(ValueError, match="3 columns"):
+        insert_positional(spark.createDataFrame([(1, "x")], "a int, b string"), "quarry_ins")
+    with pytest.raises(ValueError, match="do not fit"):
+        insert_positional(spark.createDataFrame([("x", "x", 1)], "a string, b string, d int"), "quarry_ins")
+    insert_positional(spark.createDataFrame([(9, "z", 2)], "p int, q string, r int"), "quarry_ins", overwrite=True)
+    assert sorted(tuple(r) for r in spark.table("quarry_ins").collect()) == [(1, "x", 1), (9, "z", 2)]
+    spark.sql("DROP TABLE quarry_ins")
