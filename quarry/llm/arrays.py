@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+#: Text a task works on at a time. Its hashes and sums take about 60 bytes for each byte.
 CHUNK_BYTES = 2 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -67,7 +68,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + (CHUNK_BYTES >> 1))
+        size = 1 << max(16, (n - 1).bit_length())
         have = np.full(size, base, dtype=U64)
         have[0] = 1
         np.cumprod(have, out=have)

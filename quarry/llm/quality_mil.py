@@ -195,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def _scores(model: Model, column: pa.Array) -> np.ndarray:
-    parts = [model.score(*passages(chunk)) for chunk in A.chunks(column)]
+    parts = [model.score(*passages(chunk)) for chunk in A.chunks(column, 1 << 20)]
     return np.concatenate(parts) if parts else np.zeros(0)
 
 

@@ -118,7 +118,7 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
-def encoded_rows(path: str, col, max_bytes: int = A.CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def encoded_rows(path: str, col, max_bytes: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids, row limits) for each chunk of a string column."""
     enc = encoder(path)
     for chunk in A.chunks(col, max_bytes):
