@@ -30,7 +30,9 @@ from quarry.llm.tokens import encoded_rows, encoders
 TIERS = (2048, 1024, 512, 256)
 STEP_TOKENS = 1 << 16
 #: Ids packed together in a task, more only for a longer document.
-BLOCK_IDS = 1 << 21
+BLOCK_IDS = 1 << 20
+#: Text encoded at a time in a task.
+TEXT_BYTES = 1 << 19
 
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint, tier int, step_group bigint")
@@ -128,7 +130,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, key: str = "doc_id", tex
         keys, streams, held = [], [], 0
         for batch in batches:
             batch_keys = batch.column(0).to_pylist()
-            for first, ids, limits in encoded_rows(vocabulary, A.string_column(batch, "body")):
+            for first, ids, limits in encoded_rows(vocabulary, A.string_column(batch, "body"), TEXT_BYTES):
                 for r in range(len(limits) - 1):
                     keys.append(batch_keys[first + r])
                     streams.append(np.append(ids[limits[r]:limits[r + 1]], np.uint32(end_id)))
