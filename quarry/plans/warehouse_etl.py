@@ -22,9 +22,11 @@ from quarry.sources import versions
 from quarry.sources.sinks import write_warehouse
 
 
-def run_etl(spark: SparkSession, src: dict[str, DataFrame], root: str) -> dict[str, str]:
+def run_etl(spark: SparkSession, src: dict[str, DataFrame], root: str, by_month: bool = False) -> dict[str, str]:
     """Write the dimensions, stage the visits once, write the facts built from the
-    stored calendar and the staged visits, publish all. Returns the tables' paths."""
+    stored calendar and the staged visits, publish all. Returns the tables' paths.
+    ``by_month`` stores a folder per month of each fact, so that :func:`month_of_fact` reads
+    the folders of its months only."""
     def write(folder: str) -> list[str]:
         paths = write_warehouse(spark, wh.dimensions(src), folder)
         dim_time = spark.read.schema(WAREHOUSE["dim_time"]).parquet(paths["dim_time"])
@@ -32,16 +34,25 @@ def run_etl(spark: SparkSession, src: dict[str, DataFrame], root: str) -> dict[s
         src["visit"].write.parquet(staged)
         staged_src = {**{k: src[k] for k in ("visit_lab", "visit_procedure", "visit_diagnosis")},
                       "visit": spark.read.schema(src["visit"].schema).parquet(staged)}
-        paths.update(write_warehouse(spark, wh.facts(staged_src, dim_time), folder))
+        paths.update(write_warehouse(spark, wh.facts(staged_src, dim_time), folder,
+                                     facts_by="date_id" if by_month else None))
         return list(paths)
     return versions.rebuild(spark, root, write)
 
 
 def load(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
-    return {n: spark.read.schema(WAREHOUSE[n]).parquet(p) if n in WAREHOUSE else
+    """The written tables with their declared columns in order (a folder per month puts
+    that column last)."""
+    return {n: spark.read.schema(WAREHOUSE[n]).parquet(p).select(*WAREHOUSE[n].names) if n in WAREHOUSE else
             spark.read.parquet(p) for n, p in paths.items()}
 
 
+def month_of_fact(tables: dict[str, DataFrame], name: str, year: int, month: str) -> DataFrame:
+    """Rows of a written fact in one month, chosen by the calendar's attributes. Over facts
+    stored by month the calendar's rows prune the folders before the scan."""
+    return dq.month_slice_fact(tables[name], tables["dim_time"], WAREHOUSE[name].names, year, month)
+
+
 def _accepted(src: dict[str, DataFrame]) -> DataFrame:
     """Visits that may enter a fact; the others are listed by ``rejected_visits``."""
     return src["visit"].filter("provider_id IS NOT NULL AND visit_date IS NOT NULL")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from quarry.operators import tokens as tk
+from quarry.schemas import WEBLOG_TM
+from quarry.sources import rejects
 from quarry.sources.delimited import read_delimited, read_weblog, read_weblog_tm
 from quarry.sources.sinks import store_delimited
 
@@ -45,6 +47,14 @@ def busiest_date_part_job(spark: SparkSession, log_path: str, out: str) -> str:
     return store_delimited(tk.busiest_date_part(read_weblog_tm(spark, log_path)), out)
 
 
+def audited_hour_job(spark: SparkSession, log_path: str, out: str, ledger_out: str) -> str:
+    """Busiest hour of a log with a header line; the counts of short, long and malformed-time
+    lines are stored first, beside the result, as ``fault, lines``."""
+    rows = rejects.read_with_lines(spark, log_path, WEBLOG_TM)
+    store_delimited(rejects.ledger(rows, WEBLOG_TM, timestamp="timestamp", header=True), ledger_out)
+    return busiest_hour_job(spark, log_path, out)
+
+
 TOKEN_RESULT = T.StructType([T.StructField("token", T.StringType()),
                              T.StructField("count", T.LongType())])
 ARGMAX_RESULT = T.StructType(TOKEN_RESULT.fields + [T.StructField("max_count", T.LongType())])

@@ -46,6 +46,14 @@ def weblog_from_events(events: DataFrame) -> DataFrame:
     return weblog_tm_from_events(events).drop("timestamp")
 
 
+def weblog_from_documents(documents: DataFrame) -> DataFrame:
+    """Documents as a web log: the language as query and browser, the source as
+    operating system and referrer."""
+    return documents.select(
+        F.col("doc_id").cast("string").alias("user_id"), F.col("lang").alias("search_query"),
+        F.col("lang").alias("browser"), F.col("source").alias("os"), F.col("source").alias("referrer"))
+
+
 # ---------------------------------------------------------------- clinical sources
 
 def visit(t: Tables) -> DataFrame:
