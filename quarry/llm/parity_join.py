@@ -12,9 +12,12 @@ their symmetric difference is at most d = floor(n * (1 - t) / t) for either size
   content alone, two linked documents share one of their first d + 1 blocks.
   Blocks with many shingles come first and blocks that hold a frequent shingle
   last, so that passages shared by many documents seldom bring strangers together.
-* Documents with an equal block are compared with its first document (star). What a
-  star leaves undecided, that is groups whose members are not all in one component,
-  is compared pair by pair.
+* Documents with an equal block are compared with its first document (star). A star
+  leaves those groups undecided whose members are not all in one component. Their members
+  meet by the pigeonhole principle a second time, now on single shingles, rarest first: of
+  two linked sets of n <= m, the least common shingle is one of the first n / 7 + 1 of the
+  smaller and the first m / 4 + 1 of the larger. Documents on one template whose
+  remainders differ so never form pairs, however many they are.
 * A candidate whose parity sketches have too large a Hamming distance (a lower bound of
   the symmetric difference) is no link. Sketches hold two bits or more per shingle, so
   that only pairs close to the threshold are left.
@@ -40,8 +43,6 @@ THRESHOLD = Fraction(3, 4)
 FIRST_EDGE = 64
 #: Bits of the parity sketch of a small set; larger sets have a power of two, 2 to 4 a shingle.
 SKETCH_BITS = 1024
-#: Words of a sketch folded (XOR of its parts), whose distance is a lower bound too.
-FOLDED = SKETCH_BITS // 128
 #: Bits of the bitmap of keys whose sets are wanted: 8 MB. Where it fills up, more sets
 #: than wanted are built, and the joins drop them.
 KEY_BITS = 1 << 26
@@ -50,6 +51,10 @@ FREQUENT_SHINGLES = 1 << 16
 #: A shingle is frequent if it is in so large a share of the texts of some chunk.
 FREQUENT_SHARE = 0.01
 
+#: Cells of the counts by which undecided documents' shingles are ordered: 8 MB, whatever the
+#: input. Any counts give the same links.
+COUNT_CELLS = 1 << 20
+
 #: Text a worker handles at a time: with its hashes about 60 bytes for each of them.
 CHUNK_BYTES = 1 << 20
 
@@ -94,6 +99,11 @@ def largest_difference(n: int, t: Fraction = THRESHOLD) -> int:
     return int(n * (1 - t) / t)
 
 
+def largest_loss(n: int, t: Fraction = THRESHOLD) -> int:
+    """How many of n shingles a linked set can lack."""
+    return int(n * (1 - t))
+
+
 def _bands(n: int, t: Fraction) -> list[tuple[int, int]]:
     """(band number, number of blocks) to sketch a set of n shingles for; 0 blocks: each
     shingle is a block."""
@@ -132,7 +142,7 @@ def block_signatures(shingles: np.ndarray, frequent: np.ndarray, t: Fraction = T
 
 
 FACTS = ("doc_id bigint, n_shingles bigint, set_sum bigint, set_xor bigint, sketch array<bigint>, "
-         "folded array<bigint>, frequent array<bigint>")
+         "frequent array<bigint>")
 
 
 def document_facts(docs: DataFrame) -> DataFrame:
@@ -153,9 +163,8 @@ def document_facts(docs: DataFrame) -> DataFrame:
                     pa.array(np.array([m.sum(dtype=_U) for m in marked], _U).view(np.int64)),
                     pa.array(np.array([np.bitwise_xor.reduce(m) if len(m) else 0 for m in marked], _U).view(np.int64)),
                     pa.array(sketches, pa.list_(pa.int64())),
-                    pa.array([np.bitwise_xor.reduce(s.reshape(-1, FOLDED)) for s in sketches], pa.list_(pa.int64())),
                     pa.array([often] + [None] * (chunk.rows - 1), pa.list_(pa.int64())),
-                ], names=["doc_id", "n_shingles", "set_sum", "set_xor", "sketch", "folded", "frequent"])
+                ], names=["doc_id", "n_shingles", "set_sum", "set_xor", "sketch", "frequent"])
     return docs.mapInArrow(A.tidy(run), FACTS)
 
 
@@ -215,23 +224,88 @@ def key_bitmap(keys: DataFrame) -> np.ndarray:
     return bitmap
 
 
+def _wanted_sets(batches, bitmap):
+    """(keys, shingle sets) of the rows whose keys are in the bitmap, chunk by chunk."""
+    for batch in batches:
+        place = _key_places(batch.column(0).to_numpy(zero_copy_only=False))
+        batch = batch.filter(pa.array((bitmap[place >> 6] >> (place & 63)) & 1 == 1))
+        keys = batch.column(0)
+        for chunk in A.chunks(A.string_column(batch, "body"), CHUNK_BYTES):
+            yield keys.slice(chunk.first_row, chunk.rows), shingle_sets(chunk)
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Shingle sets of the rows (key, body) whose keys are ``wanted``, and perhaps a few others."""
     bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(wanted))
 
     def run(batches):
-        for batch in batches:
-            place = _key_places(batch.column(0).to_numpy(zero_copy_only=False))
-            batch = batch.filter(pa.array((bitmap.value[place >> 6] >> (place & 63)) & 1 == 1))
-            keys = batch.column(0)
-            for chunk in A.chunks(A.string_column(batch, "body"), CHUNK_BYTES):
-                yield pa.RecordBatch.from_arrays([
-                    keys.slice(chunk.first_row, chunk.rows),
-                    pa.array([s.view(np.int64) for s in shingle_sets(chunk)], pa.list_(pa.int64())),
-                ], names=["doc_id", "shingles"])
+        for keys, sets in _wanted_sets(batches, bitmap.value):
+            yield pa.RecordBatch.from_arrays([
+                keys, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                names=["doc_id", "shingles"])
     return docs.mapInArrow(A.tidy(run), "doc_id bigint, shingles array<bigint>")
 
 
+def _cells(shingles: np.ndarray) -> np.ndarray:
+    return (A.mix(shingles ^ _U(0x2545F4914F6CDD1D)) & _U(COUNT_CELLS - 1)).astype(np.int64)
+
+
+def rarest_shingles(docs: DataFrame, wanted: DataFrame, t: Fraction = THRESHOLD) -> DataFrame:
+    """(shingle, doc_id, n, place, probes): the first floor(n (1 - t)) + 1 shingles of each
+    row (key, body) whose key is ``wanted`` (and perhaps of a few others), rarest among them
+    first; ``probes``: one of the first floor(n (1 - t) / (1 + t)) + 1."""
+    sc = docs.sparkSession.sparkContext
+    bitmap = sc.broadcast(key_bitmap(wanted))
+
+    def count(batches):
+        total = np.zeros(COUNT_CELLS, np.int64)
+        for _, sets in _wanted_sets(batches, bitmap.value):
+            cell, n = np.unique(_cells(np.concatenate(sets)), return_counts=True)
+            total[cell] += n
+        cell = np.flatnonzero(total)
+        for i in range(0, len(cell), 1 << 16):
+            part = cell[i:i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["cell", "n"])
+    found = docs.mapInArrow(A.tidy(count), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    holders = np.zeros(COUNT_CELLS, np.int64)
+    holders[found["cell"].to_numpy()] = found["n"].to_numpy()
+    holders = sc.broadcast(holders)
+
+    def run(batches):
+        for keys, sets in _wanted_sets(batches, bitmap.value):
+            keys = keys.to_numpy(zero_copy_only=False)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            kept = [s[np.lexsort((s, holders.value[_cells(s)]))[:largest_loss(len(s), t) + 1]] for s in sets]
+            n = np.array([len(k) for k in kept], np.int64)
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            size = np.repeat(sizes, n)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate(kept).view(np.int64)), pa.array(np.repeat(keys, n), pa.int64()),
+                pa.array(size), pa.array(place),
+                pa.array(place * (t.denominator + t.numerator) <= size * (t.denominator - t.numerator)),
+            ], names=["shingle", "doc_id", "n", "place", "probes"])
+    return docs.mapInArrow(A.tidy(run), "shingle bigint, doc_id bigint, n bigint, place bigint, probes boolean")
+
+
+def pairs_apart(docs: DataFrame, members: DataFrame, t: Fraction = THRESHOLD) -> DataFrame:
+    """Distinct candidate pairs (a, b), a < b, among ``members`` (doc_id, component) of different
+    components: every link between two of them is one. A pair is met where the smaller set
+    probes, and only where what follows their shingle suffices for the threshold."""
+    rows = written(rarest_shingles(docs, members.select("doc_id"), t).join(members, "doc_id"), "rarest-shingles")
+
+    def side(x: str) -> DataFrame:
+        return rows.select("shingle", "probes", *(F.col(c).alias(c + x) for c in ("doc_id", "component", "n", "place")))
+
+    # |A & B| >= (n + m) t / (1 + t), all of it at the least common shingle's place or behind
+    share = t.numerator, t.denominator + t.numerator
+    needed = (F.col("n_a") + F.col("n_b")) * share[0]
+    return (side("_a").filter("probes").join(side("_b").drop("probes"), "shingle")
+            .filter("component_a <> component_b AND (n_a < n_b OR (n_a = n_b AND doc_id_a < doc_id_b))")
+            .filter((F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) * share[1] >= needed))
+            .select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"))
+            .distinct())
+
+
 def _reaches(shared, n, m, t: Fraction = THRESHOLD):
     return shared * t.denominator >= (n + m - shared) * t.numerator
 
@@ -256,11 +330,6 @@ def _distance() -> Column:
                        F.lit(0), lambda total, x: total + x)
 
 
-def _folded_distance() -> Column:
-    return sum((F.bit_count(F.col("fa.sketch")[i].bitwiseXOR(F.col("fb.sketch")[i]))
-                for i in range(FOLDED)), F.lit(0))
-
-
 def _not_ruled_out(apart: Column) -> Column:
     """Sizes and the distance of the parity sketches leave a link possible."""
     small = F.least("fa.n_shingles", "fb.n_shingles")
@@ -341,17 +410,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         F.bit_xor(F.xxhash64("doc_id")).alias("who"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("also"))
         .filter("size > 2 AND lo < hi")
         .groupBy("size", "who", "also").agg(F.min("signature").alias("signature")).select("signature"))
-    slim = with_facts.select("doc_id", F.col("n_shingles").alias("n"), F.col("folded").alias("sketch"))
-    undecided = written(placed.join(mixed, "signature", "left_semi").join(slim, "doc_id"), "undecided")
-    left = undecided.select("signature", F.col("doc_id").alias("a"), F.col("component").alias("ca"),
-                            F.struct(F.col("n").alias("n_shingles"), "sketch").alias("fa"))
-    right = undecided.select("signature", F.col("doc_id").alias("b"), F.col("component").alias("cb"),
-                             F.struct(F.col("n").alias("n_shingles"), "sketch").alias("fb"))
-    rest = (left.join(right, "signature").filter("a < b AND ca <> cb").filter(_not_ruled_out(_folded_distance()))
-            .select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
-    more = written(verified(written(rest, "rest-pairs"), with_facts, keyed), "rest-links")
-    if more.limit(1).count():
-        found = components(links.union(more), "a", "b")
+    undecided = written(placed.join(mixed, "signature", "left_semi").select("doc_id", "component").distinct(),
+                        "undecided")
+    if undecided.limit(1).count():
+        # equal sets are links; one of them stands for all
+        same = ["n_shingles", "set_sum", "set_xor"]
+        ids = undecided.join(with_facts.select("doc_id", *same), "doc_id")
+        first = ids.groupBy(same).agg(F.min(F.struct("doc_id", "component")).alias("first"))
+        ids = written(ids.join(first, same).select(
+            "doc_id", "component", F.col("first.doc_id").alias("a"), F.col("first.component").alias("ca")), "equal-sets")
+        rest = pairs_apart(keyed, ids.filter("doc_id = a").select("doc_id", "component")).join(
+            stars, ["a", "b"], "left_anti")
+        more = written(verified(written(rest, "rest-pairs"), with_facts, keyed).union(
+            ids.filter("component <> ca").select("a", F.col("doc_id").alias("b"))), "rest-links")
+        if more.limit(1).count():
+            found = components(links.union(more), "a", "b")
     return facts.join(found, facts.doc_id == found.node, "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
         F.col("node").isNotNull().alias("in_component"))

@@ -150,6 +150,68 @@ def test_sketches_of_two_lengths_and_the_key_bitmap(spark):
     assert parity_join.sets_of(docs, wanted.limit(0)).count() == 0
 
 
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def linked_with(sets):
+    """The least key reachable by links, by comparing all pairs."""
+    least = {k: k for k in sets}
+    changed = True
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and jaccard(sets[a], sets[b]) >= 0.75]
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(least[a], least[b])
+            changed |= least[a] != low or least[b] != low
+            least[a] = least[b] = low
+    return least, links
+
+
+def test_strangers_on_one_template_form_no_pairs(spark, monkeypatch):
+    """Documents that share 0.54 of a template and nothing else, among them a few that are linked."""
+    rng = random.Random(31)
+    template = text("template", 75)
+    made = {i: f"{template} {text(f'own{i}', 31)}" for i in range(1, 301)}
+    for i in range(301, 321):
+        made[i] = f"{template} {text(f'own{rng.randint(1, 300)}', 29)} {text(f'tail{i}', rng.randint(1, 4))}"
+    docs = spark.createDataFrame(list(made.items()), "doc_id long, text string").repartition(7)
+    formed = []
+    real = parity_join.pairs_apart
+    monkeypatch.setattr(parity_join, "pairs_apart", lambda d, m: formed.append((d, m)) or real(d, m))
+    got = {r.doc_id: r.component_id for r in parity_join.near_duplicates(docs).collect()}
+    want, links = linked_with({i: set(shingles(s)) for i, s in made.items()})
+    assert got == want and any(want[i] != i for i in want)
+    members = spark.createDataFrame([(i, i) for i in made], "doc_id long, component long")
+    keyed = docs.select(docs.doc_id.alias("key"), docs.text.alias("body"))
+    pairs = {(r.a, r.b) for r in real(keyed, members).collect()}
+    assert set(links) <= pairs and len(pairs) < 3 * len(made)
+
+
+def test_copies_whose_first_document_is_no_link(spark):
+    """Every block of the copies is one of a longer document with the least key."""
+    short, more = text("short", 40), text("more", 20)
+    made = {1: f"{short} {more}", **{i: short for i in range(2, 120)}, 200: text("else", 50), 201: None, 202: ""}
+    docs = spark.createDataFrame(list(made.items()), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in parity_join.near_duplicates(docs).collect()}
+    want = {**{i: 2 for i in range(2, 120)}, **{i: i for i in (1, 200, 201, 202)}}
+    assert got == want
+
+
+@pytest.mark.parametrize("share", [0.02, 0.1, 0.2])
+def test_every_link_among_members_is_a_candidate(spark, share):
+    rng = random.Random(share)
+    base = text("base", 90).split()
+    made = {}
+    for i in range(60):
+        own = [w if rng.random() > share / 2 else f"x{i}y{rng.randint(0, 9)}" for w in base]
+        made[i] = " ".join(own[:rng.randint(55, 90)])
+    docs = spark.createDataFrame(list(made.items()), "key long, body string")
+    members = spark.createDataFrame([(i, i) for i in made], "doc_id long, component long")
+    _, links = linked_with({i: set(shingles(s)) for i, s in made.items()})
+    assert set(links) <= {(r.a, r.b) for r in parity_join.pairs_apart(docs, members).collect()}
+
+
 def test_repeated_windows_against_brute_force(docs, empty, rows):
     first = {}
     for k, s in rows:
