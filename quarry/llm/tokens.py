@@ -18,6 +18,8 @@ from quarry.llm import arrays as A
 
 #: Pieces a worker remembers before it starts anew: about 40 MB.
 REMEMBERED_PIECES = 200_000
+#: Pieces handed to the tokenizer in one call, whose result takes over a kilobyte for each.
+PIECES_A_CALL = 500
 _CUT_MARKS = np.zeros(256, dtype=bool)
 _CUT_MARKS[list(b'.,!?;:%$&*#"()')] = True
 _LETTERS = np.zeros(256, dtype=bool)
@@ -55,9 +57,11 @@ class PieceEncoder:
         lists = [[x.id for x in model.tokenize(s.translate(letters))] if plain(s) else None
                  for s in texts]
         other = [i for i, x in enumerate(lists) if x is None]
-        for i, e in zip(other, self.tokenizer.encode_batch_fast([texts[i] for i in other],
-                                                                add_special_tokens=False)):
-            lists[i] = e.ids
+        for k in range(0, len(other), PIECES_A_CALL):
+            some = other[k:k + PIECES_A_CALL]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([texts[i] for i in some],
+                                                                   add_special_tokens=False)):
+                lists[i] = e.ids
         return lists
 
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
