@@ -83,36 +83,33 @@ def fact_patient(visits: DataFrame, dim: DataFrame, visit_lab: DataFrame,
 
 
 def fact_lines(visits: DataFrame, dim: DataFrame, lines: DataFrame, item: str,
-               measure: str, preaggregate: bool = True, skew: str = "aqe") -> DataFrame:
+               measure: str, preaggregate: bool = False, skew: str = "aqe") -> DataFrame:
     """Grain provider x item x month for one line table:
     ``patient_count, visit_count, <measure>`` (row counts of lines whose
     visit has a patient / a date, and of lines).
 
-    Repeated ``(visit_id, item)`` lines are first counted map-side
-    (``preaggregate``), so copies collapse before anything shuffles; the
-    pairs then join their visit once (many to one on ``visit_id``) and the
-    counts aggregate partially before the exchange on the fact grain.
-    Visits that hold a large share of the pairs are left to AQE's skew-join
+    Lines join their visit once (many to one on ``visit_id``) and are counted before the
+    exchange on the fact grain. ``preaggregate`` counts the copies of a ``(visit_id, item)``
+    line first: one more exchange of all lines, which pays where most lines are copies.
+    Visits that hold a large share of the lines are left to AQE's skew-join
     split; ``skew='salt'`` counts them first and salts them
     (quarry.operators.joins), for sessions without AQE.
     """
-    it = lines.filter(F.col(item).isNotNull())
+    it = lines.filter(F.col(item).isNotNull()).select("visit_id", item)
     if preaggregate:
         it = it.groupBy("visit_id", item).agg(F.count(item).alias("_n"))
-    else:
-        it = it.select("visit_id", item, F.lit(1).cast("long").alias("_n"))
     keys = ["provider_id", item, "date_id"]
     vm = _keys_present(visit_month(visits.select("visit_id", "provider_id", "patient_id",
                                                  "visit_date"), dim),
                        ["provider_id", "date_id"])
     j = skew_join(it, vm, "visit_id") if skew == "salt" else it.join(vm, "visit_id", "inner")
-    zero = F.lit(0).cast("long")
-    return j.groupBy(*keys).agg(
-        F.sum(F.when(F.col("patient_id").isNotNull(), F.col("_n")).otherwise(zero))
-        .alias("patient_count"),
-        F.sum(F.when(F.col("visit_date").isNotNull(), F.col("_n")).otherwise(zero))
-        .alias("visit_count"),
-        F.sum("_n").alias(measure))
+    if preaggregate:
+        counts = [F.sum(F.when(F.col("patient_id").isNotNull(), F.col("_n")).otherwise(F.lit(0).cast("long"))), F.sum("_n")]
+    else:
+        counts = [F.count("patient_id"), F.count(F.lit(1))]
+    # a visit with a month has a date: its lines are counted once for both columns
+    return j.groupBy(*keys).agg(counts[0].alias("patient_count"), counts[1].alias(measure)).select(
+        *keys, "patient_count", F.col(measure).alias("visit_count"), measure)
 
 
 ITEM_FACTS = {  # fact: (line table, item column, measure)

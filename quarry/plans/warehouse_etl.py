@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.operators import calendar as cal, quality as dq, warehouse as wh
 from quarry.schemas import WAREHOUSE
-from quarry.session import scratch_path
+from quarry.session import rows_in_memory, scratch_path
 from quarry.sources import versions
 from quarry.sources.sinks import write_warehouse
 
@@ -37,7 +37,8 @@ def run_etl(spark: SparkSession, src: dict[str, DataFrame], root: str, by_month:
         paths.update(write_warehouse(spark, wh.facts(staged_src, dim_time), folder,
                                      facts_by="date_id" if by_month else None))
         return list(paths)
-    return versions.rebuild(spark, root, write)
+    with rows_in_memory(spark):
+        return versions.rebuild(spark, root, write)
 
 
 def load(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -53,6 +54,20 @@ def tune(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
     return spark
 
 
+@contextmanager
+def rows_in_memory(spark: SparkSession, target: str = "16m"):
+    """While it holds, AQE joins small shuffle partitions up to ``target`` only. Rows of keys and
+    counts take ten times their shuffled bytes in hash maps and sort buffers: partitions of the
+    default 64 MB do not fit a task's share of memory and are spilled."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, target)
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

@@ -284,3 +284,42 @@ def test_positional_insert_checks_count_and_types(spark, tmp_dir):
     insert_positional(spark.createDataFrame([(9, "z", 2)], "p int, q string, r int"), "quarry_ins", overwrite=True)
     assert sorted(tuple(r) for r in spark.table("quarry_ins").collect()) == [(1, "x", 1), (9, "z", 2)]
     spark.sql("DROP TABLE quarry_ins")
+
+
+def _exchanges(frame):
+    import re
+    return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", frame._jdf.queryExecution().executedPlan().toString())
+
+
+def _hospital(spark, tmp_dir):
+    v = _visits(spark, [(i, i % 3, i % 5, D(2024, 1 + i % 4, 3)) for i in range(40)])
+    lab = _lines(spark, [(i % 40, i % 7) for i in range(200)], "lab_id")
+    v.write.parquet(tmp_dir + "/v")
+    lab.write.parquet(tmp_dir + "/l")
+    return spark.read.parquet(tmp_dir + "/v"), spark.read.parquet(tmp_dir + "/l")
+
+
+def test_fact_lines_are_exchanged_once_before_their_grouping(spark, tmp_dir):
+    v, lab = _hospital(spark, tmp_dir)
+    dim = spark.createDataFrame(cal.dim_time(v).collect(), cal.dim_time(v).schema)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        fact = wh.fact_lines(v, dim, lab, "lab_id", "lab_count")
+        assert len(_exchanges(fact)) == 3  # lines, visits, groups
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    copies = wh.fact_lines(v, dim, lab, "lab_id", "lab_count", preaggregate=True)
+    assert sorted(map(tuple, fact.collect())) == sorted(map(tuple, copies.collect()))
+    assert fact.columns == copies.columns == ["provider_id", "lab_id", "date_id", "patient_count", "visit_count", "lab_count"]
+
+
+def test_etl_bounds_its_partitions_and_gives_the_setting_back(spark, tmp_dir, monkeypatch):
+    from quarry.plans import warehouse_etl
+    from quarry.sources import sinks
+    from quarry.sources.standins import Tables, clinical_sources
+    name, seen, real = "spark.sql.adaptive.advisoryPartitionSizeInBytes", [], sinks.save_table
+    before = spark.conf.get(name)
+    monkeypatch.setattr(sinks, "save_table", lambda *a, **k: seen.append(spark.conf.get(name)) or real(*a, **k))
+    warehouse_etl.run_etl(spark, clinical_sources(Tables(spark, "/root/testdata/sf0.001")), tmp_dir + "/wh")
+    assert set(seen) == {"16m"} and spark.conf.get(name) == before
