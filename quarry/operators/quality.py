@@ -35,20 +35,15 @@ def source_measure(visits: DataFrame, lines: DataFrame | None, keys: list[str],
     ``keys`` plus the visit's month start ``month``.
 
     With ``require_item`` (the left join plus ``item IS NOT NULL``, i.e. an
-    inner join) lines are counted per ``(visit_id, item)`` and join visits once. Without it,
-    a line column is counted per visit first, so the left join is one row
+    inner join) lines join visits once; a hot visit is left to AQE's skew-join split. Without
+    it, a line column is counted per visit first, so the left join is one row
     per visit whatever a single visit's share of the lines."""
     v = visits.withColumn("month", month_start("visit_date"))
     if lines is None:
         return v.groupBy(*keys, "month").agg(F.count(counted).alias("value"))
     if require_item:
-        # copies of a line are counted map-side first; counts are weighted by them
-        pairs = (lines.filter(F.col(require_item).isNotNull())
-                 .groupBy("visit_id", require_item).agg(F.count(F.lit(1)).alias("_n")))
-        j = pairs.join(v, "visit_id")
-        present = F.col(counted).isNotNull() if counted != "visit_id" else F.lit(True)
-        return j.groupBy(*keys, "month").agg(
-            F.sum(F.when(present, F.col("_n")).otherwise(F.lit(0))).cast("long").alias("value"))
+        j = lines.filter(F.col(require_item).isNotNull()).join(v, "visit_id")
+        return j.groupBy(*keys, "month").agg(F.count(counted).alias("value"))
     if counted in lines.columns and counted != "visit_id":
         per = lines.groupBy("visit_id").agg(F.count(counted).alias("_c"))
         j = v.join(per, "visit_id", "left")

@@ -323,3 +323,15 @@ def test_etl_bounds_its_partitions_and_gives_the_setting_back(spark, tmp_dir, mo
     monkeypatch.setattr(sinks, "save_table", lambda *a, **k: seen.append(spark.conf.get(name)) or real(*a, **k))
     warehouse_etl.run_etl(spark, clinical_sources(Tables(spark, "/root/testdata/sf0.001")), tmp_dir + "/wh")
     assert set(seen) == {"16m"} and spark.conf.get(name) == before
+
+
+def test_source_lines_are_exchanged_once(spark, tmp_dir):
+    v, lab = _hospital(spark, tmp_dir)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = dq.source_measure(v, lab, ["provider_id", "lab_id"], "lab_id", "lab_id")
+        assert len(_exchanges(found)) == 3  # lines, visits, groups
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found.agg(F.sum("value")).first()[0] == 200
