@@ -151,35 +151,40 @@ def table_findings(name: str, table: DataFrame, parents: dict[str, DataFrame]) -
     ``orphans`` (rows whose key has no row in ``parents``, the dimension by column).
 
     The table is read once and grouped by its primary key; every check is a total over those
-    groups. For the foreign keys the groups collapse to the rows per value of each
-    column, all of them in one exchange, and meet the dimensions' keys in one anti join."""
+    groups. Each group adds to one entry of the whole table and to one per foreign key
+    and value, all of them in one exchange; the entries of values meet the dimensions' keys in one
+    join. Nothing is read, grouped or joined twice."""
     keys = PRIMARY_KEYS[name]
     others = [c for c in not_null_columns(WAREHOUSE[name]) if c not in keys]
     groups = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"),
                                       *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"_no_{c}") for c in others])
     complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     nothing = F.lit(0).cast("long")
-    totals = groups.agg(
-        F.coalesce(F.sum("_rows"), nothing).alias("rows"),
-        F.count(F.when(complete & (F.col("_rows") > 1), 1)).alias("duplicates"),
-        *[F.coalesce(F.sum(F.when(F.col(k).isNull(), F.col("_rows"))), nothing).alias(f"_no_{k}") for k in keys],
-        *[F.coalesce(F.sum(f"_no_{c}"), nothing).alias(f"_no_{c}") for c in others])
-    rows = [("rows", None, "rows"), ("duplicates", None, "duplicates"), *[("null", c, f"_no_{c}") for c in keys + others]]
-    out = totals.select(F.explode(F.array(*[
-        F.struct(F.lit(check).alias("check"), F.lit(c).cast("string").alias("column_name"), F.col(v).alias("findings"))
-        for check, c, v in rows])).alias("x")).select("x.*")
+    found = {("rows", None): F.col("_rows"),
+             ("duplicates", None): F.when(complete & (F.col("_rows") > 1), 1).otherwise(0).cast("long")}
+    found |= {("null", k): F.when(F.col(k).isNull(), F.col("_rows")).otherwise(nothing) for k in keys}
+    found |= {("null", c): F.col(f"_no_{c}") for c in others}
+
+    def entry(column: str | None):
+        """What a group adds to the entry of the table, or of its value of a foreign key (numbers:
+        one column holds the values of all of them)."""
+        value = F.lit(None) if column is None else F.col(column)
+        counts = [(x if column is None or i == 0 else nothing).alias(f"_{i}") for i, x in enumerate(found.values())]
+        return F.struct(F.lit(column).cast("string").alias("column_name"), value.cast("long").alias("value"), *counts)
+    entries = (groups.select(F.explode(F.array(entry(None), *[entry(c) for c in parents])).alias("x")).select("x.*")
+               .filter("column_name IS NULL OR value IS NOT NULL").groupBy("column_name", "value")
+               .agg(*[F.sum(f"_{i}").alias(f"_{i}") for i in range(len(found))]))
+    sums = {(check, c): F.when(F.col("column_name").isNull(), F.col(f"_{i}")) for i, (check, c) in enumerate(found)}
     if parents:
-        # foreign keys are numbers: one column holds the values of all of them
-        values = groups.select("_rows", F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column_name"), F.col(c).cast("long").alias("value")) for c in parents])).alias("x"))
-        per_value = values.select("x.*", "_rows").filter("value IS NOT NULL").groupBy("column_name", "value").agg(
-            F.sum("_rows").alias("_rows"))
         known = reduce(DataFrame.unionByName, [
             p.select(F.lit(c).alias("column_name"), F.col(c).cast("long").alias("value")).distinct() for c, p in parents.items()])
-        lost = per_value.join(known, ["column_name", "value"], "left_anti").groupBy("column_name").agg(F.sum("_rows").alias("n"))
-        every = table.sparkSession.createDataFrame([(c,) for c in parents], "column_name string")
-        out = out.unionByName(every.join(lost, "column_name", "left").select(
-            F.lit("orphans").alias("check"), "column_name", F.coalesce("n", nothing).alias("findings")))
+        entries = entries.join(known.withColumn("_known", F.lit(True)), ["column_name", "value"], "left")
+        sums |= {("orphans", c): F.when((F.col("column_name") == c) & F.col("_known").isNull(), F.col("_0")) for c in parents}
+    # one row, whatever the table holds; an empty one has no entry
+    totals = entries.agg(*[F.coalesce(F.sum(x), nothing).alias(f"_{i}") for i, x in enumerate(sums.values())])
+    out = totals.select(F.explode(F.array(*[
+        F.struct(F.lit(check).alias("check"), F.lit(c).cast("string").alias("column_name"), F.col(f"_{i}").alias("findings"))
+        for i, (check, c) in enumerate(sums)])).alias("x")).select("x.*")
     return out.select(F.lit(name).alias("table_name"), "check", "column_name", "findings")
 
 

@@ -335,3 +335,19 @@ def test_source_lines_are_exchanged_once(spark, tmp_dir):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert found.agg(F.sum("value")).first()[0] == 200
+
+
+def test_findings_group_a_table_once(spark, tmp_dir):
+    from quarry.schemas import WAREHOUSE
+    names = WAREHOUSE["fact_lab"].names
+    spark.range(50).select(*[(F.col("id") % (i + 2)).cast("int").alias(c) if c == "date_id" else
+                             (F.col("id") % (i + 2)).alias(c) for i, c in enumerate(names)]).write.parquet(tmp_dir + "/f")
+    fact = spark.read.parquet(tmp_dir + "/f")
+    dims = {c: spark.range(2).select(F.col("id").alias(c)) for c in ("provider_id", "lab_id", "date_id")}
+    frame = dq.table_findings("fact_lab", fact, dims)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    assert len([e for e in _exchanges(frame) if e.startswith("provider_id")]) == 1
+    got = {(r.check, r.column_name): r.findings for r in frame.collect()}
+    assert got[("rows", None)] == 50 and got[("duplicates", None)] == 12
+    assert got[("orphans", "provider_id")] == 0 and got[("orphans", "lab_id")] == 16
