@@ -61,8 +61,9 @@ def _running(hashes: np.ndarray, kind) -> np.ndarray:
 def simhash_windows(sums: np.ndarray, start: np.ndarray, length) -> np.ndarray:
     """SimHashes of the windows from running sums of :func:`_bits` (modulo the range of
     their type, which is exact for the windows that :func:`_sum_type` names it for)."""
-    positive = (sums[start + length] - sums[start]) > 0
-    return np.packbits(positive, axis=1, bitorder="little").view("<u8").ravel()
+    total = np.take(sums, start + length, axis=0)
+    total -= np.take(sums, start, axis=0)
+    return np.packbits(total > 0, axis=1, bitorder="little").view("<u8").ravel()
 
 
 def _word_hashes(chunk: A.Chunk):
@@ -115,9 +116,15 @@ class ItemIndex:
                 value = (block[:, None] ^ near[None, :]).ravel()
                 owner = np.repeat(np.arange(len(members)), len(near))
                 order = np.argsort(value, kind="stable")
-                tables.append((np.searchsorted(value[order], np.arange(65537)), owner[order]))
+                first = np.searchsorted(value[order], np.arange(65537))
+                # which values occur is a table of its own: 64 KB, and few windows need the others
+                tables.append((np.diff(first) > 0, first, owner[order]))
             self.classes[length] = (np.array(members), prints, tables)
         self._index_shingles()
+        #: Leading bits of all items' shingles: most words of a text start none of them.
+        self.any_lead = np.zeros(1 << LEAD_BITS, bool)
+        for own in self.shingles:
+            self.any_lead[own >> _U(64 - LEAD_BITS)] = True
 
     def _index_shingles(self) -> None:
         """Of each item the shingles that fewest items hold, more than a share of
@@ -163,15 +170,15 @@ class ItemIndex:
         """(window, item) pairs whose fingerprints are within the radius."""
         members, own, tables = self.classes[length]
         found = []
-        for b, (first, owner) in enumerate(tables):
-            block = ((prints >> _U(16 * b)) & _U(0xFFFF)).astype(np.int64)
-            n = first[block + 1] - first[block]
-            at = np.flatnonzero(n)
+        blocks = np.ascontiguousarray(prints.astype("<u8", copy=False).view("<u2").reshape(-1, BLOCKS).T)
+        for block, (occurs, first, owner) in zip(blocks, tables):
+            at = np.flatnonzero(occurs[block])
             if not len(at):
                 continue
-            n = n[at]
+            value = block[at].astype(np.int64)
+            n = first[value + 1] - first[value]
             window = np.repeat(at, n)
-            item = owner[np.repeat(first[block[at]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            item = owner[np.repeat(first[value] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             close = np.bitwise_count(prints[window] ^ own[item]) <= RADIUS
             found.append(window[close] * len(members) + item[close])
         if not found:
@@ -221,12 +228,19 @@ class ItemIndex:
         lo = np.maximum(row_first[rows], start - slack)
         hi = np.minimum(row_first[rows + 1], start + slack + self.lengths[item]) - SHINGLE + 1
         n = np.maximum(np.minimum(hi, len(grams)) - lo, 0)
+        needed, small = THRESHOLD * (self.lengths[item] - SHINGLE + 1), self.lengths[item] < SHINGLE
+        # a bound first: shingles of any item, counted once for the chunk
+        known = np.concatenate([[0], np.cumsum(self.any_lead[grams >> _U(64 - LEAD_BITS)])])
+        lo = np.minimum(lo, len(grams))
+        may = np.flatnonzero((known[lo + n] - known[lo] >= needed) & ~small)
+        lo, n, item = lo[may], n[may], item[may]
         ends = np.cumsum(n)
-        at = np.repeat(lo - (ends - n), n) + np.arange(ends[-1])
+        at = np.repeat(lo - (ends - n), n) + np.arange(n.sum())
         mark = grams[at] + A.mix(item.astype(_U))[np.repeat(np.arange(len(item)), n)]
         inside = self.marks[np.minimum(np.searchsorted(self.marks, mark), len(self.marks) - 1)] == mark
         hits = np.diff(np.concatenate([[0], np.cumsum(inside)])[np.concatenate([[0], ends])])
-        return (hits >= THRESHOLD * (self.lengths[item] - SHINGLE + 1)) | (self.lengths[item] < SHINGLE)
+        small[may] = hits >= needed[may]
+        return small
 
     def _verify(self, hashes, lo, hi, start, item, slack) -> tuple[float, int]:
         """Similarity and first word of the best item-sized stretch that starts within

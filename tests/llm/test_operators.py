@@ -603,3 +603,31 @@ def test_table_of_every_format(spark):
     for value in made["phone"]:
         number = int(value.replace("-", ""))
         assert int(image[value].replace("-", "")) == pii.feistel(number, 10 ** 10, b"k", "phone")
+
+
+def test_candidates_are_bounded_before_their_shingles_are_compared(monkeypatch):
+    """Only stretches that hold enough shingles of any item are compared shingle by shingle, and the
+    bound keeps every stretch that has enough in common."""
+    import numpy as np
+    from quarry.llm import arrays as A, decontaminate as dc
+    items = [(i, " ".join(f"item{i}w{j}" for j in range(20 + 3 * i))) for i in range(8)]
+    index = dc.ItemIndex(items + [(8, "two words")])
+    texts = [" ".join(f"plain{k}x{j}" for j in range(400)) for k in range(20)] + [
+        " ".join([f"a{i}"] * i + t.split()[:len(t.split()) - i // 2]) for i, t in items]
+    raw = [t.encode() for t in texts]
+    chunk = A.Chunk(0, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]))
+    words, hashes = dc._word_hashes(chunk)
+    grams = A.shingle_hashes(hashes, np.array([0, len(hashes)]), dc.SHINGLE)[0]
+    rows, item = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(9), indexing="ij"))
+    start, slack = words.row_first[rows], np.full(len(rows), 5)
+    compared, real = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *x, **k: compared.append(np.size(v)) or real(a, v, *x, **k))
+    got = index._enough_in_common(grams, words.row_first, rows, item, start, slack)
+    monkeypatch.undo()
+    assert sum(compared) < 2000  # all stretches hold 8,000 words and more
+    for k, (row, i) in enumerate(zip(rows.tolist(), item.tolist())):
+        lo, hi = words.row_first[row], min(words.row_first[row + 1], words.row_first[row] + 5 + index.lengths[i])
+        own = set(index.shingles[i].tolist())
+        hits = sum(g in own for g in grams[lo:hi - dc.SHINGLE + 1].tolist())
+        assert got[k] == (index.lengths[i] < 5 or hits >= 0.75 * (index.lengths[i] - 4)), (row, i)
+    assert 8 <= got[rows >= 20].sum() and not got[(rows < 20) & (item < 8)].any()
