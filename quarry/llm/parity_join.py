@@ -13,7 +13,9 @@ their symmetric difference is at most d = floor(n * (1 - t) / t) for either size
   Blocks with many shingles come first and blocks that hold a frequent shingle
   last, so that passages shared by many documents seldom bring strangers together.
 * Documents with an equal block are compared with its first document (star). A star
-  leaves those groups undecided whose members are not all in one component. Their members
+  leaves those groups undecided whose members are not all in one component. Each member meets
+  hubs of other components that share many groups with it, which gathers near copies of one
+  text without all their pairs. Members of groups that are undecided after that
   meet by the pigeonhole principle a second time, now on single shingles, rarest first: of
   two linked sets of n <= m, the least common shingle is one of the first n / 7 + 1 of the
   smaller and the first m / 4 + 1 of the larger. Documents on one template whose
@@ -55,6 +57,10 @@ FREQUENT_SHARE = 0.01
 #: input. Any counts give the same links.
 COUNT_CELLS = 1 << 20
 
+#: How often undecided documents meet another hub of their groups before all that are left
+#: meet each other. Any number gives the same components.
+HUB_ROUNDS = 2
+
 #: Text a worker handles at a time: with its hashes about 60 bytes for each of them.
 CHUNK_BYTES = 1 << 20
 
@@ -365,6 +371,25 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
             .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
 
 
+def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(signature, doc_id, component) of group members; a document without a link is its own."""
+    return members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "signature", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+
+
+def hub_pairs(placed: DataFrame, lane: int) -> DataFrame:
+    """One pair (a, b) at most for each document of (signature, doc_id, component): with the hub
+    of another component that it shares most groups with. A group's hub is, of the members that
+    hash to ``lane`` of HUB_ROUNDS, the one in most groups: of near copies one with few changes."""
+    groups = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("groups"))
+    some = placed.filter(F.pmod(F.xxhash64("doc_id"), F.lit(HUB_ROUNDS)) == lane).join(groups, "doc_id")
+    hubs = some.groupBy("signature").agg(F.max(F.struct("groups", "doc_id", "component")).alias("hub"))
+    return (placed.join(hubs, "signature").filter("component <> hub.component")
+            .groupBy("doc_id", F.col("hub.doc_id").alias("hub")).agg(F.count(F.lit(1)).alias("shared"))
+            .groupBy("doc_id").agg(F.max(F.struct("shared", "hub")).alias("best"))
+            .select(F.least("doc_id", "best.hub").alias("a"), F.greatest("doc_id", "best.hub").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least doc_id reachable
     by links of Jaccard similarity 0.75 or more on distinct word 5-grams, itself included)
@@ -402,16 +427,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # groups that the stars leave in several components
     members = groups.select("signature", "doc_id").union(
         groups.select("signature", F.col("hub").alias("doc_id"))).distinct()
-    placed = written(members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "signature", "doc_id", F.coalesce("component", "doc_id").alias("component")), "signature-members")
+    placed = written(_placed(members, found), "signature-members")
     # signatures held by the very same documents are one group
     mixed = (placed.groupBy("signature").agg(
         F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"),
         F.bit_xor(F.xxhash64("doc_id")).alias("who"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("also"))
         .filter("size > 2 AND lo < hi")
         .groupBy("size", "who", "also").agg(F.min("signature").alias("signature")).select("signature"))
-    undecided = written(placed.join(mixed, "signature", "left_semi").select("doc_id", "component").distinct(),
-                        "undecided")
+    placed = written(placed.join(mixed, "signature", "left_semi"), "undecided-groups")
+    undecided = written(placed.select("doc_id", "component").distinct(), "undecided")
     if undecided.limit(1).count():
         # equal sets are links; one of them stands for all
         same = ["n_shingles", "set_sum", "set_xor"]
@@ -419,10 +443,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         first = ids.groupBy(same).agg(F.min(F.struct("doc_id", "component")).alias("first"))
         ids = written(ids.join(first, same).select(
             "doc_id", "component", F.col("first.doc_id").alias("a"), F.col("first.component").alias("ca")), "equal-sets")
-        rest = pairs_apart(keyed, ids.filter("doc_id = a").select("doc_id", "component")).join(
-            stars, ["a", "b"], "left_anti")
-        more = written(verified(written(rest, "rest-pairs"), with_facts, keyed).union(
-            ids.filter("component <> ca").select("a", F.col("doc_id").alias("b"))), "rest-links")
+        links = links.union(ids.filter("component <> ca").select("a", F.col("doc_id").alias("b")))
+        placed = placed.join(ids.filter("doc_id = a").select("doc_id"), "doc_id", "left_semi")
+        tried = stars
+        for i in range(HUB_ROUNDS):
+            pairs = written(hub_pairs(placed, i).join(tried, ["a", "b"], "left_anti"), "hub-pairs")
+            links = links.union(written(verified(pairs, with_facts, keyed), "hub-links"))
+            tried = tried.union(pairs)
+            found = written(components(links, "a", "b"), "hub-components")
+            placed = _placed(placed.select("signature", "doc_id"), found)
+            still = placed.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+            placed = written(placed.join(still.filter("lo < hi").select("signature"), "signature", "left_semi"),
+                             "undecided-groups")
+        rest = pairs_apart(keyed, placed.select("doc_id", "component").distinct()).join(tried, ["a", "b"], "left_anti")
+        more = written(verified(written(rest, "rest-pairs"), with_facts, keyed), "rest-links")
         if more.limit(1).count():
             found = components(links.union(more), "a", "b")
     return facts.join(found, facts.doc_id == found.node, "left").select(

@@ -631,3 +631,40 @@ def test_candidates_are_bounded_before_their_shingles_are_compared(monkeypatch):
         hits = sum(g in own for g in grams[lo:hi - dc.SHINGLE + 1].tolist())
         assert got[k] == (index.lengths[i] < 5 or hits >= 0.75 * (index.lengths[i] - 4)), (row, i)
     assert 8 <= got[rows >= 20].sum() and not got[(rows < 20) & (item < 8)].any()
+
+
+def test_near_copies_of_one_text_meet_hubs_before_each_other(spark, monkeypatch):
+    """Hundreds of near copies, many of them too far from the first one: hubs gather them, so that few pairs
+    are left to meet one by one, and the components are those of all pairs."""
+    import random
+    draw = random.Random(3)
+    base = [f"w{i}" for i in range(140)]
+    texts = []
+    for i in range(240):
+        words = list(base)
+        for _ in range(draw.randrange(1, 9)):
+            words[draw.randrange(140)] = f"x{i}y{draw.randrange(10**6)}"
+        texts.append(" ".join(words))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(t.split()[k:k + 5]) for k in range(136)} for t in texts]
+    least = list(range(240))
+    for i in range(240):  # components by all pairs
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and least[i] != least[j]:
+                low, high = sorted((least[i], least[j]))
+                least = [low if x == high else x for x in least]
+    real, met = parity_join.written, {}
+
+    def counted(df, name):
+        out = real(df, name)
+        if name == "rest-pairs":
+            met[parity_join.HUB_ROUNDS] = out.count()
+        return out
+    monkeypatch.setattr(parity_join, "written", counted)
+    rounds = parity_join.HUB_ROUNDS
+    for n in (rounds, 0):
+        monkeypatch.setattr(parity_join, "HUB_ROUNDS", n)
+        got = {r.doc_id: r.component_id for r in parity_join.near_duplicates(table).collect()}
+        assert got == dict(enumerate(least))
+    print(met)
+    assert met.get(rounds, 0) * 4 <= met[0]
