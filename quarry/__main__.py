@@ -109,6 +109,7 @@ def main(argv: list[str] | None = None) -> int:
             # a text column has a row per distinct value: stored, not shown
             out = scratch_path(spark, f"profile-{name}") if a.out is None else f"{a.out.rstrip('/')}/{name}"
             frame.write.mode("overwrite").parquet(out)
+            print(f"-- {name}")
             print(json.dumps({"frame": name, "rows": spark.read.schema(frame.schema).parquet(out).count(), "stored": out}))
     elif a.job == "loan":
         from quarry.plans.loan_job import LoanRoles, run
