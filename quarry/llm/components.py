@@ -1,5 +1,6 @@
 """Connected components of a link table by alternating large-star and small-star
-steps: every step is a grouped minimum and a join, and only link rows move."""
+steps: every step is a grouped minimum and a join, and only link rows move. Links that
+come later extend known components by steps over those alone that they join."""
 
 from __future__ import annotations
 
@@ -9,8 +10,13 @@ from pyspark.sql import functions as F
 from quarry.llm.scratch import written
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum("v")).first())
+def _all_stars(links: DataFrame) -> bool:
+    """Whether every node hangs on one other at most, and none hangs on a node that hangs."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(
+        links.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    wrong = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).filter(
+        "hangs > 1 OR (hangs = 1 AND holds = 1)")
+    return wrong.limit(1).count() == 0
 
 
 def _star(links: DataFrame, both_ways: bool) -> DataFrame:
@@ -33,12 +39,26 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     links = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
                     .filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
                     .distinct(), "links")
-    before = _state(links)
-    while True:
+    while not _all_stars(links):
         links = written(_star(written(_star(links, True), "large-star"), False), "small-star")
-        after = _state(links)
-        if after == before:
-            break
-        before = after
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def named(links: DataFrame, found: DataFrame) -> DataFrame:
+    """Links (a, b) whose ends are not in one component of ``found``, with these components
+    (ca, cb); a node that ``found`` lacks is its own."""
+    return (links.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+            .join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+            .select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+            .filter("ca <> cb"))
+
+
+def extended(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` of the links that ``found`` comes from and more ``links`` (a, b): only
+    those between two components are followed."""
+    merged = components(named(links, found).select("ca", "cb"), "ca", "cb")
+    nodes = found.select("node", F.col("component").alias("c")).union(
+        merged.select("node", F.col("node").alias("c"))).distinct()
+    into = merged.select(F.col("node").alias("c"), F.col("component").alias("into"))
+    return nodes.join(into, "c", "left").select("node", F.coalesce("into", "c").alias("component"))

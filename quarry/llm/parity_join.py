@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import arrays as A
-from quarry.llm.components import components
+from quarry.llm.components import components, extended, named
 from quarry.llm.scratch import written
 
 WORDS_PER_SHINGLE = 5
@@ -364,13 +364,6 @@ def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame) -> DataFrame:
         both.filter(_reaches(shared, F.col("n"), F.col("m"))).select("a", "b"))
 
 
-def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose ends are not in one component."""
-    return (pairs.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-            .join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-            .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-
-
 def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
     """(signature, doc_id, component) of group members; a document without a link is its own."""
     return members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
@@ -418,11 +411,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     links = written(verified(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), with_facts, keyed),
                     "star-links")
     found = written(components(links, "a", "b"), "star-components")
-    other = written(_apart(stars, found), "other-stars")
+    other = written(named(stars, found).select("a", "b"), "other-stars")
     more = written(verified(other, with_facts, keyed), "other-links")
     if more.limit(1).count():
-        links = links.union(more)
-        found = written(components(links, "a", "b"), "star-components")
+        found = written(extended(found, more), "star-components")
 
     # groups that the stars leave in several components
     members = groups.select("signature", "doc_id").union(
@@ -443,14 +435,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         first = ids.groupBy(same).agg(F.min(F.struct("doc_id", "component")).alias("first"))
         ids = written(ids.join(first, same).select(
             "doc_id", "component", F.col("first.doc_id").alias("a"), F.col("first.component").alias("ca")), "equal-sets")
-        links = links.union(ids.filter("component <> ca").select("a", F.col("doc_id").alias("b")))
-        placed = placed.join(ids.filter("doc_id = a").select("doc_id"), "doc_id", "left_semi")
+        links = ids.filter("component <> ca").select("a", F.col("doc_id").alias("b"))
+        placed = written(placed.join(ids.filter("doc_id = a").select("doc_id"), "doc_id", "left_semi"),
+                         "undecided-groups")
         tried = stars
         for i in range(HUB_ROUNDS):
             pairs = written(hub_pairs(placed, i).join(tried, ["a", "b"], "left_anti"), "hub-pairs")
             links = links.union(written(verified(pairs, with_facts, keyed), "hub-links"))
             tried = tried.union(pairs)
-            found = written(components(links, "a", "b"), "hub-components")
+            if links.limit(1).count():
+                found = written(extended(found, links), "hub-components")
+            links = links.limit(0)
             placed = _placed(placed.select("signature", "doc_id"), found)
             still = placed.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
             placed = written(placed.join(still.filter("lo < hi").select("signature"), "signature", "left_semi"),
@@ -458,7 +453,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         rest = pairs_apart(keyed, placed.select("doc_id", "component").distinct()).join(tried, ["a", "b"], "left_anti")
         more = written(verified(written(rest, "rest-pairs"), with_facts, keyed), "rest-links")
         if more.limit(1).count():
-            found = components(links.union(more), "a", "b")
+            found = extended(found, more)
     return facts.join(found, facts.doc_id == found.node, "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
         F.col("node").isNotNull().alias("in_component"))

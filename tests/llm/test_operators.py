@@ -668,3 +668,24 @@ def test_near_copies_of_one_text_meet_hubs_before_each_other(spark, monkeypatch)
         assert got == dict(enumerate(least))
     print(met)
     assert met.get(rounds, 0) * 4 <= met[0]
+
+
+def test_stars_take_no_round_and_later_links_only_those_they_join(spark, monkeypatch):
+    """Links that are stars already are read off; later links extend known components by
+    the links between them alone, with the components of all links."""
+    from quarry.llm import components as C
+    rounds, followed = [], []
+    star, whole = C._star, C.components
+    monkeypatch.setattr(C, "_star", lambda links, both: rounds.append(both) or star(links, both))
+    monkeypatch.setattr(C, "components", lambda links, a, b: followed.append(links.count()) or whole(links, a, b))
+    links = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    read = lambda found: {r.node: r.component for r in found.collect()}
+    first = [(1, n) for n in range(2, 30)] + [(40, 41), (40, 42), (50, 51), (None, 3), (7, 7)]
+    found = whole(links(first), "a", "b")
+    assert read(found) == {**{n: 1 for n in range(1, 30)}, 40: 40, 41: 40, 42: 40, 50: 50, 51: 50}
+    assert not rounds
+    later = [(3, 9), (41, 51), (60, 61), (61, 62), (62, 42), (70, 71), (2, 28), (2, 28)]
+    more = C.extended(found, links(later))
+    assert read(more) == read(whole(links(first + later), "a", "b"))
+    assert more.count() == 39 and followed == [5]
+    assert read(C.extended(found, links([]))) == read(found)
