@@ -55,17 +55,22 @@ def tune(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
 
 
 @contextmanager
-def rows_in_memory(spark: SparkSession, target: str = "16m"):
+def rows_in_memory(spark: SparkSession, target: str = "16m", scanned: str | None = None):
     """While it holds, AQE joins small shuffle partitions up to ``target`` only. Rows of keys and
     counts take ten times their shuffled bytes in hash maps and sort buffers: partitions of the
-    default 64 MB do not fit a task's share of memory and are spilled."""
-    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    before = spark.conf.get(name)
+    default 64 MB do not fit a task's share of memory and are spilled. ``scanned``: bytes of
+    files that a task reads, where those hold some 5 bytes a row and are grouped before an exchange."""
+    sizes = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": target}
+    if scanned:
+        sizes["spark.sql.files.maxPartitionBytes"] = scanned
+    before = {name: spark.conf.get(name) for name in sizes}
     try:
-        spark.conf.set(name, target)
+        for name, value in sizes.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def checkpoint_root(spark: SparkSession) -> str:

@@ -351,3 +351,30 @@ def test_findings_group_a_table_once(spark, tmp_dir):
     got = {(r.check, r.column_name): r.findings for r in frame.collect()}
     assert got[("rows", None)] == 50 and got[("duplicates", None)] == 12
     assert got[("orphans", "provider_id")] == 0 and got[("orphans", "lab_id")] == 16
+
+
+def test_tables_of_a_kind_are_written_side_by_side(monkeypatch):
+    """Two dimensions are under way at once, and facts begin when every dimension is written."""
+    import threading
+
+    from quarry.sources import sinks
+    both, done = threading.Barrier(2), []
+
+    def save(df, path, *_):
+        if "/dim_" in path:
+            both.wait(20)
+        done.append(path)
+        return path
+    monkeypatch.setattr(sinks, "save_table", save)
+    out = sinks.write_warehouse(None, dict.fromkeys(("fact_a", "dim_b", "dim_a")), "/root_of_all/")
+    assert out == {n: f"/root_of_all/{n}" for n in ("dim_a", "dim_b", "fact_a")}
+    assert done[-1].endswith("fact_a")
+
+
+def test_small_partitions_hold_for_the_block_alone(spark):
+    from quarry.session import rows_in_memory
+    names = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
+    before = [spark.conf.get(n) for n in names]
+    with rows_in_memory(spark, "1m", scanned="2m"):
+        assert [spark.conf.get(n) for n in names] == ["1m", "2m"]
+    assert [spark.conf.get(n) for n in names] == before
