@@ -8,7 +8,7 @@ Log jobs read a comma-split log and store a tab-separated result folder:
   hour      LOG_TM OUT
   datepart  LOG_TM OUT
 Warehouse (operational tables as Parquet folders named visit, visit_lab, ...):
-  etl       SOURCE_DIR TARGET_DIR [--check]
+  etl       SOURCE_DIR TARGET_DIR [--check]   (a published version, and its tables as TARGET_DIR/<table>)
 Loan job and table profile (header CSV or Parquet):
   loan      INPUT [--key K --label L --categorical a,b ...]
   profile   INPUT [--key K --label L --out DIR]
@@ -90,11 +90,14 @@ def main(argv: list[str] | None = None) -> int:
     elif a.job == "datepart":
         print(wj.busiest_date_part_job(spark, a.log, a.out))
     elif a.job == "etl":
-        from quarry.plans.warehouse_etl import run_checks, run_etl
+        from quarry.plans.warehouse_etl import load, run_checks, run_etl
         names = ("visit visit_lab visit_procedure visit_diagnosis patient provider lab "
                  "clinical_procedures diagnosis").split()
         src = {n: spark.read.parquet(f"{a.source_dir.rstrip('/')}/{n}") for n in names}
         paths = run_etl(spark, src, a.target_dir)
+        # the version that was published, also under the tables' plain names
+        for name, df in load(spark, paths).items():
+            df.write.mode("overwrite").parquet(f"{a.target_dir.rstrip('/')}/{name}")
         print(json.dumps(paths))
         if a.check:
             for name, df in run_checks(spark, src, paths).items():
