@@ -1,48 +1,44 @@
 """Connected components of a link table by alternating large-star and small-star
-steps: every step is a grouped minimum and a join, and only link rows move. Links that
+steps: every step is one exchange of link rows and a minimum per node. Links that
 come later extend known components by steps over those alone that they join."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.scratch import written
 
 
-def _all_stars(links: DataFrame) -> bool:
-    """Whether every node hangs on one other at most, and none hangs on a node that hangs."""
-    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(
-        links.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
-    wrong = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).filter(
-        "hangs > 1 OR (hangs = 1 AND holds = 1)")
-    return wrong.limit(1).count() == 0
+def _hung(links: DataFrame, both_ways: bool) -> DataFrame:
+    """(u, v, m, lead): the distinct links of each node u, seen from both ends or one; m is the
+    least of u and its neighbours, and each node has one row that leads."""
+    ends = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    seen = links.select(F.inline(ends)) if both_ways else links
+    by_node = Window.partitionBy("u").orderBy("v")
+    rows = seen.select("u", "v", F.least(F.first("v").over(by_node), "u").alias("m"),
+                       F.lag("v").over(by_node).alias("before"))
+    return rows.filter("before IS NULL OR before < v").select("u", "v", "m", F.isnull("before").alias("lead"))
 
 
-def _star(links: DataFrame, both_ways: bool) -> DataFrame:
+def _star(hung: DataFrame, both_ways: bool) -> DataFrame:
     """Hang neighbours of each node on the least of them: the larger ones (large star,
     links seen from both ends) or all smaller ones and the node itself (small star)."""
-    seen = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if both_ways else links
-    least = seen.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    hung = seen.join(least, "u")
     if both_ways:
-        out = hung.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-            least.select("u", F.col("m").alias("v")))
-    return out.filter("u <> v").distinct()
+        return hung.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return hung.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node that has a link to another one; the component
     is its least node. Nulls, self links and repeated links are ignored."""
-    links = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-                    .filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-                    .distinct(), "links")
-    while not _all_stars(links):
-        links = written(_star(written(_star(links, True), "large-star"), False), "small-star")
-    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    hung = written(_hung(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+                         .filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))), True), "links")
+    # until every node hangs on one other at most, and none on a node that hangs
+    while hung.filter("(v < u AND v <> m) OR (v > u AND m < u)").limit(1).count():
+        smaller = _star(_hung(_star(hung, True), False), False)
+        hung = written(_hung(smaller, True), "stars")
+    return hung.filter("lead").select(F.col("u").alias("node"), F.col("m").alias("component"))
 
 
 def named(links: DataFrame, found: DataFrame) -> DataFrame:
@@ -58,7 +54,7 @@ def extended(found: DataFrame, links: DataFrame) -> DataFrame:
     """``components`` of the links that ``found`` comes from and more ``links`` (a, b): only
     those between two components are followed."""
     merged = components(named(links, found).select("ca", "cb"), "ca", "cb")
-    nodes = found.select("node", F.col("component").alias("c")).union(
-        merged.select("node", F.col("node").alias("c"))).distinct()
     into = merged.select(F.col("node").alias("c"), F.col("component").alias("into"))
-    return nodes.join(into, "c", "left").select("node", F.coalesce("into", "c").alias("component"))
+    # a component's name is one of its nodes: what only ``into`` has are new nodes
+    return found.join(into, found.component == into.c, "full_outer").select(
+        F.coalesce("node", "c").alias("node"), F.coalesce("into", "component").alias("component"))

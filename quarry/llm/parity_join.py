@@ -12,9 +12,10 @@ their symmetric difference is at most d = floor(n * (1 - t) / t) for either size
   content alone, two linked documents share one of their first d + 1 blocks.
   Blocks with many shingles come first and blocks that hold a frequent shingle
   last, so that passages shared by many documents seldom bring strangers together.
+* Equal sets are links at once, and the least document stands for all of them.
 * Documents with an equal block are compared with its first document (star). A star
   leaves those groups undecided whose members are not all in one component. Each member meets
-  hubs of other components that share many groups with it, which gathers near copies of one
+  the hub of other components that shares most groups with it, which gathers near copies of one
   text without all their pairs. Members of groups that are undecided after that
   meet by the pigeonhole principle a second time, now on single shingles, rarest first: of
   two linked sets of n <= m, the least common shingle is one of the first n / 7 + 1 of the
@@ -33,7 +34,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import arrays as A
@@ -54,12 +55,13 @@ FREQUENT_SHINGLES = 1 << 16
 FREQUENT_SHARE = 0.01
 
 #: Cells of the counts by which undecided documents' shingles are ordered: 8 MB, whatever the
-#: input. Any counts give the same links.
+#: input. Any counts give the same links. A task's counts move in rows of so many cells.
 COUNT_CELLS = 1 << 20
+CELLS_A_ROW = 1 << 10
 
 #: How often undecided documents meet another hub of their groups before all that are left
 #: meet each other. Any number gives the same components.
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 
 #: Text a worker handles at a time: with its hashes about 60 bytes for each of them.
 CHUNK_BYTES = 1 << 20
@@ -181,37 +183,6 @@ def frequent_shingles(facts: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.h for r in rows], np.int64).view(_U))
 
 
-def signature_rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(signature, doc_id, lane, hub): the first document of a chunk with a signature has
-    neither lane nor hub; the chunk's others are already tied to it (hub), and their
-    lane deals them out, so that a signature held by a large share of all documents
-    meets in one task with one row per chunk."""
-    def run(batches):
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for chunk in A.chunks(A.string_column(batch, "body"), CHUNK_BYTES):
-                sets = shingle_sets(chunk)
-                flat = np.concatenate(sets)
-                if not len(flat):
-                    continue
-                common = np.zeros(len(flat), bool)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)
-                    common = frequent[at] == flat
-                ends = np.cumsum([len(s) for s in sets])
-                found = [block_signatures(s, common[e - len(s):e]) for s, e in zip(sets, ends)]
-                doc = np.repeat(keys[chunk.first_row:chunk.first_row + chunk.rows], [len(f) for f in found])
-                signature = np.concatenate(found)
-                _, first, back = np.unique(signature, return_index=True, return_inverse=True)
-                hub = doc[first][back]
-                lead = first[back] == np.arange(len(signature))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(signature.view(np.int64)), pa.array(doc, pa.int64()),
-                    pa.array(doc, pa.int64(), mask=lead), pa.array(hub, pa.int64(), mask=lead),
-                ], names=["signature", "doc_id", "lane", "hub"])
-    return docs.mapInArrow(A.tidy(run), "signature bigint, doc_id bigint, lane bigint, hub bigint")
-
-
 def _key_places(keys: np.ndarray) -> np.ndarray:
     return (A.mix(keys.view(_U)) & _U(KEY_BITS - 1)).astype(np.int64)
 
@@ -240,6 +211,66 @@ def _wanted_sets(batches, bitmap):
             yield keys.slice(chunk.first_row, chunk.rows), shingle_sets(chunk)
 
 
+def signature_rows(docs: DataFrame, frequent: np.ndarray, wanted: DataFrame) -> DataFrame:
+    """(signature, doc_id, hub) of the rows (key, body) whose keys are ``wanted`` (and perhaps of
+    a few others): the first document of a chunk with a signature leads the chunk's others,
+    which are already tied to it (hub). A leader's hub is itself, null if it leads none."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(wanted))
+
+    def run(batches):
+        for keys, sets in _wanted_sets(batches, bitmap.value):
+            flat = np.concatenate(sets)
+            if not len(flat):
+                continue
+            common = np.zeros(len(flat), bool)
+            if len(frequent):
+                at = np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)
+                common = frequent[at] == flat
+            ends = np.cumsum([len(s) for s in sets])
+            found = [block_signatures(s, common[e - len(s):e]) for s, e in zip(sets, ends)]
+            doc = np.repeat(keys.to_numpy(zero_copy_only=False), [len(f) for f in found])
+            signature = np.concatenate(found)
+            _, first, back, held = np.unique(signature, return_index=True, return_inverse=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(signature.view(np.int64)), pa.array(doc, pa.int64()),
+                pa.array(doc[first][back], pa.int64(), mask=held[back] == 1),
+            ], names=["signature", "doc_id", "hub"])
+    return docs.mapInArrow(A.tidy(run), "signature bigint, doc_id bigint, hub bigint")
+
+
+def signature_groups(rows: DataFrame) -> DataFrame:
+    """(signature, hub, doc_id, many) of every document of ``signature_rows`` but the hubs of whole
+    groups, the least leaders. Not ``many``: the two are the whole group. A group that goes
+    on in another Arrow batch keeps its hub. Only leaders are dealt by signature, so that one
+    held by a large share of all documents meets in one task with one row per chunk."""
+    def run(batches):
+        last, least = None, 0
+        for batch in batches:
+            signature, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            alone = batch.column(2).is_null().to_numpy(zero_copy_only=False)
+            hub = np.where(alone, doc, batch.column(2).fill_null(0).to_numpy(zero_copy_only=False))
+            tied = hub != doc
+            parts = [(signature[tied], hub[tied], doc[tied], np.ones(tied.sum(), bool))]
+            if not tied.all():
+                signature, doc, alone = signature[~tied], doc[~tied], alone[~tied]
+                start = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1]]))
+                size = np.diff(np.append(start, len(doc)))
+                hubs = np.minimum.reduceat(doc, start)
+                many = (size > 2) | ~np.logical_and.reduceat(alone, start)
+                many[[0, -1]] = True  # may go on in other batches
+                if signature[0] == last:
+                    hubs[0] = least
+                last, least = signature[-1], hubs[-1]
+                hub = np.repeat(hubs, size)
+                rest = hub != doc
+                parts.append((signature[rest], hub[rest], doc[rest], np.repeat(many, size)[rest]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)],
+                                             names=["signature", "hub", "doc_id", "many"])
+    lane = F.when(F.col("hub") != F.col("doc_id"), F.col("doc_id"))
+    return (rows.repartition("signature", lane).sortWithinPartitions("signature")
+            .mapInArrow(A.tidy(run), "signature bigint, hub bigint, doc_id bigint, many boolean"))
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Shingle sets of the rows (key, body) whose keys are ``wanted``, and perhaps a few others."""
     bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(wanted))
@@ -256,56 +287,67 @@ def _cells(shingles: np.ndarray) -> np.ndarray:
     return (A.mix(shingles ^ _U(0x2545F4914F6CDD1D)) & _U(COUNT_CELLS - 1)).astype(np.int64)
 
 
-def rarest_shingles(docs: DataFrame, wanted: DataFrame, t: Fraction = THRESHOLD) -> DataFrame:
-    """(shingle, doc_id, n, place, probes): the first floor(n (1 - t)) + 1 shingles of each
-    row (key, body) whose key is ``wanted`` (and perhaps of a few others), rarest among them
-    first; ``probes``: one of the first floor(n (1 - t) / (1 + t)) + 1."""
-    sc = docs.sparkSession.sparkContext
-    bitmap = sc.broadcast(key_bitmap(wanted))
-
+def shingle_counts(docs: DataFrame, bitmap) -> np.ndarray:
+    """How often the shingles of each cell occur in the rows (key, body) of the bitmap's keys."""
     def count(batches):
         total = np.zeros(COUNT_CELLS, np.int64)
         for _, sets in _wanted_sets(batches, bitmap.value):
-            cell, n = np.unique(_cells(np.concatenate(sets)), return_counts=True)
-            total[cell] += n
-        cell = np.flatnonzero(total)
-        for i in range(0, len(cell), 1 << 16):
-            part = cell[i:i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["cell", "n"])
-    found = docs.mapInArrow(A.tidy(count), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    holders = np.zeros(COUNT_CELLS, np.int64)
-    holders[found["cell"].to_numpy()] = found["n"].to_numpy()
-    holders = sc.broadcast(holders)
+            total += np.bincount(_cells(np.concatenate(sets)), minlength=COUNT_CELLS)
+        yield from packed({i: row for i, row in enumerate(total.reshape(-1, CELLS_A_ROW)) if row.any()})
+
+    def add(batches):
+        total = {}
+        for batch in batches:
+            for i, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[i] = total.get(i, 0) + np.frombuffer(cells, np.int64)
+        yield from packed(total)
+
+    def packed(rows):
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()),
+                                              pa.array([r.tobytes() for r in rows.values()], pa.binary())],
+                                             names=["row", "cells"])
+    form = "row bigint, cells binary"
+    found = docs.mapInArrow(A.tidy(count), form).repartition("row").mapInArrow(A.tidy(add), form).toArrow()
+    total = np.zeros((COUNT_CELLS // CELLS_A_ROW, CELLS_A_ROW), np.int64)
+    for i, cells in zip(found["row"].to_pylist(), found["cells"].to_pylist()):
+        total[i] = np.frombuffer(cells, np.int64)
+    return total.ravel()
+
+
+def rarest_shingles(docs: DataFrame, wanted: DataFrame, t: Fraction = THRESHOLD) -> DataFrame:
+    """(doc_id, n, shingles): the first floor(n (1 - t)) + 1 shingles of each row (key, body)
+    whose key is ``wanted`` (and perhaps of a few others), rarest among them first."""
+    sc = docs.sparkSession.sparkContext
+    bitmap = sc.broadcast(key_bitmap(wanted))
+    holders = sc.broadcast(shingle_counts(docs, bitmap))
 
     def run(batches):
         for keys, sets in _wanted_sets(batches, bitmap.value):
-            keys = keys.to_numpy(zero_copy_only=False)
-            sizes = np.array([len(s) for s in sets], np.int64)
             kept = [s[np.lexsort((s, holders.value[_cells(s)]))[:largest_loss(len(s), t) + 1]] for s in sets]
-            n = np.array([len(k) for k in kept], np.int64)
-            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            size = np.repeat(sizes, n)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(kept).view(np.int64)), pa.array(np.repeat(keys, n), pa.int64()),
-                pa.array(size), pa.array(place),
-                pa.array(place * (t.denominator + t.numerator) <= size * (t.denominator - t.numerator)),
-            ], names=["shingle", "doc_id", "n", "place", "probes"])
-    return docs.mapInArrow(A.tidy(run), "shingle bigint, doc_id bigint, n bigint, place bigint, probes boolean")
+                keys, pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([k.view(np.int64) for k in kept], pa.list_(pa.int64())),
+            ], names=["doc_id", "n", "shingles"])
+    return docs.mapInArrow(A.tidy(run), "doc_id bigint, n bigint, shingles array<bigint>")
 
 
 def pairs_apart(docs: DataFrame, members: DataFrame, t: Fraction = THRESHOLD) -> DataFrame:
     """Distinct candidate pairs (a, b), a < b, among ``members`` (doc_id, component) of different
     components: every link between two of them is one. A pair is met where the smaller set
-    probes, and only where what follows their shingle suffices for the threshold."""
+    probes with its first floor(n (1 - t) / (1 + t)) + 1 shingles, and only where what follows
+    their shingle suffices for the threshold."""
     rows = written(rarest_shingles(docs, members.select("doc_id"), t).join(members, "doc_id"), "rarest-shingles")
 
-    def side(x: str) -> DataFrame:
-        return rows.select("shingle", "probes", *(F.col(c).alias(c + x) for c in ("doc_id", "component", "n", "place")))
+    def side(x: str, shingles: Column) -> DataFrame:
+        return rows.select(*(F.col(c).alias(c + x) for c in ("doc_id", "component", "n")),
+                           F.posexplode(shingles).alias("place" + x, "shingle"))
 
     # |A & B| >= (n + m) t / (1 + t), all of it at the least common shingle's place or behind
     share = t.numerator, t.denominator + t.numerator
     needed = (F.col("n_a") + F.col("n_b")) * share[0]
-    return (side("_a").filter("probes").join(side("_b").drop("probes"), "shingle")
+    probes = F.slice("shingles", F.lit(1), F.expr(f"int(n * {t.denominator - t.numerator} div {share[1]}) + 1"))
+    return (side("_a", probes).join(side("_b", F.col("shingles")), "shingle")
             .filter("component_a <> component_b AND (n_a < n_b OR (n_a = n_b AND doc_id_a < doc_id_b))")
             .filter((F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) * share[1] >= needed))
             .select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"))
@@ -399,59 +441,47 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 .union(rows.filter("key IS NULL")))
         facts = written(document_facts(rows), "shingle-facts")
     keyed = rows.filter("key IS NOT NULL")
-    frequent = frequent_shingles(facts)
-    by_signature = Window.partitionBy("signature", "lane").orderBy("doc_id")
-    groups = written(signature_rows(keyed, frequent)
-                     .withColumn("hub", F.coalesce("hub", F.first("doc_id").over(by_signature)))
-                     .filter("hub <> doc_id").select("signature", "hub", "doc_id"), "signature-groups")
+    with_facts = facts.filter("doc_id IS NOT NULL")
+    # equal sets are links; the least document stands for all
+    same = ["n_shingles", "set_sum", "set_xor"]
+    ids = with_facts.filter("n_shingles > 0").select("doc_id", *same)
+    copies = written(ids.join(ids.groupBy(same).agg(F.min("doc_id").alias("a")), same).select(
+        "a", F.col("doc_id").alias("b")), "equal-sets")
+    groups = written(signature_groups(signature_rows(keyed, frequent_shingles(facts), copies.filter("a = b").select("a"))),
+                     "signature-groups")
     order = (F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b"))
     stars = written(groups.select(*order).distinct(), "star-pairs")
-    with_facts = facts.filter("doc_id IS NOT NULL")
-    # each document with its least hub first; other hubs only where that leaves them apart
-    links = written(verified(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), with_facts, keyed),
-                    "star-links")
+    links = verified(stars, with_facts, keyed).union(copies.filter("a < b"))
     found = written(components(links, "a", "b"), "star-components")
-    other = written(named(stars, found).select("a", "b"), "other-stars")
-    more = written(verified(other, with_facts, keyed), "other-links")
-    if more.limit(1).count():
-        found = written(extended(found, more), "star-components")
-
-    # groups that the stars leave in several components
-    members = groups.select("signature", "doc_id").union(
-        groups.select("signature", F.col("hub").alias("doc_id"))).distinct()
-    placed = written(_placed(members, found), "signature-members")
-    # signatures held by the very same documents are one group
-    mixed = (placed.groupBy("signature").agg(
-        F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"),
-        F.bit_xor(F.xxhash64("doc_id")).alias("who"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("also"))
-        .filter("size > 2 AND lo < hi")
-        .groupBy("size", "who", "also").agg(F.min("signature").alias("signature")).select("signature"))
-    placed = written(placed.join(mixed, "signature", "left_semi"), "undecided-groups")
-    undecided = written(placed.select("doc_id", "component").distinct(), "undecided")
+
+    # groups that the stars leave in several components; those of the very same pairs are one
+    apart = named(stars, found).select("a", "b", F.lit(1).alias("apart"))
+    several = groups.filter("many")
+    mixed = (several.select("signature", *order).join(apart, ["a", "b"], "left").groupBy("signature").agg(
+        F.count(F.lit(1)).alias("pairs"), F.max("apart").alias("apart"),
+        F.bit_xor(F.xxhash64("a", "b")).alias("who"), F.bit_xor(F.xxhash64("b", "a")).alias("also"))
+        .filter("pairs > 1 AND apart = 1")
+        .groupBy("pairs", "who", "also").agg(F.min("signature").alias("signature")).select("signature"))
+    undecided = written(several.join(mixed, "signature", "left_semi").select("signature", "hub", "doc_id"),
+                        "undecided-groups")
     if undecided.limit(1).count():
-        # equal sets are links; one of them stands for all
-        same = ["n_shingles", "set_sum", "set_xor"]
-        ids = undecided.join(with_facts.select("doc_id", *same), "doc_id")
-        first = ids.groupBy(same).agg(F.min(F.struct("doc_id", "component")).alias("first"))
-        ids = written(ids.join(first, same).select(
-            "doc_id", "component", F.col("first.doc_id").alias("a"), F.col("first.component").alias("ca")), "equal-sets")
-        links = ids.filter("component <> ca").select("a", F.col("doc_id").alias("b"))
-        placed = written(placed.join(ids.filter("doc_id = a").select("doc_id"), "doc_id", "left_semi"),
-                         "undecided-groups")
+        members = undecided.select("signature", "doc_id").union(
+            undecided.select("signature", F.col("hub").alias("doc_id"))).distinct()
+        placed = written(_placed(members, found), "undecided-members")
         tried = stars
         for i in range(HUB_ROUNDS):
             pairs = written(hub_pairs(placed, i).join(tried, ["a", "b"], "left_anti"), "hub-pairs")
-            links = links.union(written(verified(pairs, with_facts, keyed), "hub-links"))
+            links = written(verified(pairs, with_facts, keyed), "hub-links")
             tried = tried.union(pairs)
             if links.limit(1).count():
                 found = written(extended(found, links), "hub-components")
-            links = links.limit(0)
-            placed = _placed(placed.select("signature", "doc_id"), found)
-            still = placed.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-            placed = written(placed.join(still.filter("lo < hi").select("signature"), "signature", "left_semi"),
-                             "undecided-groups")
-        rest = pairs_apart(keyed, placed.select("doc_id", "component").distinct()).join(tried, ["a", "b"], "left_anti")
-        more = written(verified(written(rest, "rest-pairs"), with_facts, keyed), "rest-links")
+                placed = _placed(placed.select("signature", "doc_id"), found)
+                still = placed.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+                placed = written(placed.join(still.filter("lo < hi").select("signature"), "signature", "left_semi"),
+                                 "undecided-members")
+        left = written(placed.select("doc_id", "component").distinct(), "undecided")
+        rest = written(pairs_apart(keyed, left).join(tried, ["a", "b"], "left_anti"), "rest-pairs")
+        more = written(verified(rest, with_facts, keyed), "rest-links")
         if more.limit(1).count():
             found = extended(found, more)
     return facts.join(found, facts.doc_id == found.node, "left").select(
